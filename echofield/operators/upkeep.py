@@ -57,7 +57,7 @@ def fold_by_step(
     rule: str = "fatigue",
     start: float = 0.0,
     accumulation: float = 0.02,
-    recovery: float = 0.01,
+    recovery: float | None = None,
     rate: float = 0.05,
     first_step: int | None = None,
     block: int = 128,
@@ -66,8 +66,11 @@ def fold_by_step(
 
     Every step counts from ``first_step`` (default: the first in the table),
     recorded or not.  Rows: (key, step, n reactions, fatigue|attentionSpan).
+    ``recovery`` defaults to the rule's own rate.
     """
     require(rule in ("fatigue", "attention"), f"unknown rule {rule}")
+    if recovery is None:
+        recovery = 0.01 if rule == "fatigue" else 0.02
     counts = events.groupBy(key, F.col(step).cast("long").alias(step)).agg(
         F.count_if(F.col("reacted")).alias("n")
     )

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from echofield.plans import (  # noqa: F401
+    exposure,
     graph,
+    metrics,
     sampling,
+    state,
 )
 from echofield.plans.registry import ORACLES, QUERIES
 
