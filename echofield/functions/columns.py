@@ -52,14 +52,18 @@ def poisson_small(u: Column, mean: Column) -> Column:
     A uniform with 52 bits can reach at most POISSON_MAX, so the inversion is
     complete, not cut off.
     """
+    # The uniform and the mean ride along in the state: a column used inside a
+    # lambda may be inlined by the optimizer and would be hashed again per step.
     start = F.struct(
-        F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k")
+        u.alias("u"), mean.alias("mean"), F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k")
     )
 
     def climb(s: Column, i: Column) -> Column:
-        term = s["term"] * mean / i
-        higher = F.struct(term.alias("term"), (s["cdf"] + term).alias("cdf"), i.alias("k"))
-        return F.when(u < s["cdf"], s).otherwise(higher)
+        term = s["term"] * s["mean"] / i
+        higher = F.struct(
+            s["u"].alias("u"), s["mean"].alias("mean"), term.alias("term"), (s["cdf"] + term).alias("cdf"), i.alias("k")
+        )
+        return F.when(s["u"] < s["cdf"], s).otherwise(higher)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_MAX)), start, climb, lambda s: s["k"])
 

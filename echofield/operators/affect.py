@@ -39,8 +39,8 @@ def weighted_affect(df: DataFrame, key: str = "humanId") -> DataFrame:
     """Intensity-weighted mean affect per entity, and the total intensity."""
     w = F.col("intensity")
     return df.groupBy(key).agg(
-        (F.sum(F.col("contentValence") * w) / F.sum(w)).alias("content_valence"),
-        (F.sum(F.col("contentArousal") * w) / F.sum(w)).alias("content_arousal"),
+        F.try_divide(F.sum(F.col("contentValence") * w), F.sum(w)).alias("content_valence"),
+        F.try_divide(F.sum(F.col("contentArousal") * w), F.sum(w)).alias("content_arousal"),
         F.sum(w).alias("total_intensity"),
     )
 

@@ -77,7 +77,7 @@ def random_edges(nodes: DataFrame, k: float, key: str = "id", seed: int = 42) ->
     ids = nodes.select(F.col(key).alias("source")).withColumn("_n", n)
     ids = ids.withColumn("_above", F.col("_n") - 1 - F.col("source"))
     # k >= n-1 asks for the complete graph, which no finite mean gives; 40 leaves 4e-18.
-    p = F.lit(float(k)) / (F.col("_n") - 1)
+    p = F.try_divide(F.lit(float(k)), F.col("_n") - 1)
     mean = F.when(p >= 1.0, F.lit(40.0)).otherwise(-F.log1p(-p)) * F.col("_above")
     draws = poisson_draws(ids, mean, seed, "random.count", ["source"])
     target = F.col("source") + 1 + F.floor(

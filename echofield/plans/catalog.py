@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from echofield.plans import (  # noqa: F401
+    bandit,
+    calibration,
     exposure,
     graph,
     metrics,
+    quality,
     sampling,
     state,
+    stats,
 )
 from echofield.plans.registry import ORACLES, QUERIES
 
