@@ -68,6 +68,17 @@ def poisson_small(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_MAX)), start, climb, lambda s: s["k"])
 
 
+def poisson_unit(u: Column) -> Column:
+    """Poisson variate of mean 1 from one uniform: the thresholds are constants."""
+    weight, edge = math.exp(-1.0), math.exp(-1.0)
+    k = F.when(u < F.lit(edge), F.lit(0))
+    for i in range(1, POISSON_MAX):
+        weight /= i
+        edge += weight
+        k = k.when(u < F.lit(edge), F.lit(i))
+    return k.otherwise(F.lit(POISSON_MAX))
+
+
 def poisson_draws(
     df: DataFrame, mean: Column, seed: int, salt: str, keys: Sequence[str], draw: str = "draw"
 ) -> DataFrame:

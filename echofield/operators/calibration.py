@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import poisson_small, uni
+from echofield.functions.columns import poisson_unit, uni
 from echofield.operators.metrics import class_counts
 
 Z95 = 1.959963984540054
@@ -160,7 +160,7 @@ def sobol_confidence(
     """95% half-widths S1_conf and ST_conf, from b Poisson-weighted repeats of the base rows."""
     wide = _wide(_centred(design), names, key).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
     wide = wide.withColumn("_u", uni(seed, "sobol", key, "_rep"))
-    wide = wide.withColumn("_w", poisson_small(F.col("_u"), F.lit(1.0)))
+    wide = wide.withColumn("_w", poisson_unit(F.col("_u")))
     w = F.col("_w")
     out = None
     for part, name in ((_first, "S1_conf"), (_total, "ST_conf")):

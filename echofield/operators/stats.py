@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import poisson_small, require, total, uni
+from echofield.functions.columns import poisson_unit, require, total, uni
 from echofield.functions.ranking import quantiles
 from echofield.functions.special import f_tail, t_two_sided
 
@@ -133,7 +133,7 @@ def bootstrap_band(
     """
     rows = df.filter(F.col(col).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
     rows = rows.withColumn("_u", uni(seed, "boot", *keys, "_rep"))
-    rows = rows.withColumn("_w", poisson_small(F.col("_u"), F.lit(1.0)))
+    rows = rows.withColumn("_w", poisson_unit(F.col("_u")))
     sums = rows.groupBy(*by, step, "_rep").agg(
         F.try_divide(F.sum(F.col("_w") * F.col(col)), F.sum("_w")).alias("_m")
     )

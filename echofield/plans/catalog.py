@@ -10,8 +10,10 @@ from echofield.plans import (  # noqa: F401
     metrics,
     quality,
     sampling,
+    sources,
     state,
     stats,
+    streams,
 )
 from echofield.plans.registry import ORACLES, QUERIES
 
