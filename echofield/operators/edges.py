@@ -48,10 +48,13 @@ def edges_from_sequence(
     """
     cols = list(dict.fromkeys([group, bucket, entity, *order]))
     inside = Window.partitionBy(group, bucket).orderBy(*order)
-    rows = df.select(*cols).withColumn("_prev", F.lag(entity).over(inside))
-    tails = df.groupBy(group, bucket).agg(
-        F.max_by(entity, F.struct(*order)).alias("_tail"),
-        F.min_by(entity, F.struct(*order)).alias("_head"),
+    rows = df.select(*cols).withColumns({
+        "_prev": F.lag(entity).over(inside), "_next": F.lead(entity).over(inside),
+    })
+    # The ends of a bucket sit in the task that ordered it, so this needs no shuffle.
+    tails = rows.filter(F.col("_prev").isNull() | F.col("_next").isNull()).groupBy(group, bucket).agg(
+        F.max(F.when(F.col("_prev").isNull(), F.col(entity))).alias("_head"),
+        F.max(F.when(F.col("_next").isNull(), F.col(entity))).alias("_tail"),
     )
     carried = tails.select(
         F.col("_head").alias("_x"),

@@ -23,6 +23,8 @@ def local_session(cores: str | int = "*", app: str = "echofield") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Local tables are small: let every core have a share of them.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
