@@ -127,13 +127,19 @@ def quantiles(
         F.min("v").alias("_min"),
         F.max("v").alias("_max"),
     )
-    # Ranks within the slack of either end are bracketed by the true extremes.
+    # A group of at most ``accuracy`` rows is kept whole: there the slack is less
+    # than the one rank that interpolation reaches beyond its position.  Ranks
+    # within the slack of either end are bracketed by the true extremes.
+    small = F.col("n") <= accuracy
+
+    def edge(at_end: bool, extreme: str, mark: int, name: str) -> Column:
+        whole = F.col(extreme)
+        return (whole if at_end else F.when(small, whole).otherwise(F.col("_m")[mark])).alias(name)
+
     brackets = sketch.select(
         *by, "n",
-        *[F.col("_min").alias(f"_lo{i}") if probs[i] <= slack
-          else F.col("_m")[2 * i].alias(f"_lo{i}") for i in range(len(probs))],
-        *[F.col("_max").alias(f"_hi{i}") if probs[i] + slack >= 1.0
-          else F.col("_m")[2 * i + 1].alias(f"_hi{i}") for i in range(len(probs))],
+        *[edge(p <= slack, "_min", 2 * i, f"_lo{i}") for i, p in enumerate(probs)],
+        *[edge(p + slack >= 1.0, "_max", 2 * i + 1, f"_hi{i}") for i, p in enumerate(probs)],
     )
     if by:
         tagged = rows.join(brackets, by)

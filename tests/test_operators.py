@@ -106,6 +106,19 @@ def test_gini_and_quantiles_with_one_hot_group(spark):
             assert r[f"q{i}"] == pytest.approx(xs[lo] + (xs[hi] - xs[lo]) * (pos - lo))
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 37, 101, 294])
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_of_small_groups(spark, n, accuracy):
+    xs = sorted(random.Random(n).sample(range(10_000), n))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    r = one(ranking.quantiles(df, "x", probs, accuracy=accuracy))
+    for i, p in enumerate(probs):
+        pos = (n - 1) * p
+        lo, hi = xs[int(pos)], xs[min(int(pos) + 1, n - 1)]
+        assert r[f"q{i}"] == pytest.approx(lo + (hi - lo) * (pos - int(pos)))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=40))
 def test_gini_properties(spark, xs):
