@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield import schemas as S
 from echofield.functions.columns import as_col, clip, require
+from echofield.functions.sequence import beside
 from echofield.functions.skew import hot_keys, salted_join
 
 
@@ -147,15 +148,12 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
 def fill_missing_steps(states: DataFrame, key: str = "humanId", step: str = "step") -> DataFrame:
     """All steps between each entity's first and last record, the missing ones interpolated.
 
-    ``states`` has one row per (key, step), so a window sees at most one row per step.
+    ``states`` has one row per (key, step).
     """
     require({key, step, "valence", "arousal"} <= set(states.columns), "states needs valence and arousal")
-    w = Window.partitionBy(key).orderBy(step)
-    ahead = states.select(
-        key, step, "valence", "arousal",
-        F.lead(step).over(w).alias("_s"), F.lead("valence").over(w).alias("_v"),
-        F.lead("arousal").over(w).alias("_a"),
-    )
+    ahead = beside(
+        states.select(key, step, "valence", "arousal"), key, [step], [step, "valence", "arousal"], "next"
+    ).withColumnsRenamed({f"next_{step}": "_s", "next_valence": "_v", "next_arousal": "_a"})
     last = F.coalesce(F.col("_s") - 1, F.col(step))
     grid = ahead.withColumn("_at", F.explode(F.sequence(F.col(step), last)))
     alpha = (F.col("_at") - F.col(step)) / (F.col("_s") - F.col(step))

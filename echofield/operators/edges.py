@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import poisson_draws, require, total, uni
+from echofield.functions.sequence import beside
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -43,27 +44,15 @@ def edges_from_sequence(
     weight counts how often the pair followed each other.  The result grows
     with the rows, never with the square of a group.  ``bucket`` is a coarse
     form of the first order column (a day, an hour): rows are ordered within
-    (group, bucket), and the last entity of each bucket is carried into the
-    next one, so a group with most of the rows is still ordered by many tasks.
+    (group, bucket) and only the ends of the buckets per group, so a group with
+    most of the rows is still ordered by many tasks.
     """
     cols = list(dict.fromkeys([group, bucket, entity, *order]))
-    inside = Window.partitionBy(group, bucket).orderBy(*order)
-    rows = df.select(*cols).withColumns({
-        "_prev": F.lag(entity).over(inside), "_next": F.lead(entity).over(inside),
-    })
-    # The ends of a bucket sit in the task that ordered it, so this needs no shuffle.
-    tails = rows.filter(F.col("_prev").isNull() | F.col("_next").isNull()).groupBy(group, bucket).agg(
-        F.max(F.when(F.col("_prev").isNull(), F.col(entity))).alias("_head"),
-        F.max(F.when(F.col("_next").isNull(), F.col(entity))).alias("_tail"),
-    )
-    carried = tails.select(
-        F.col("_head").alias("_x"),
-        F.lag("_tail").over(Window.partitionBy(group).orderBy(bucket)).alias("_y"),
-    )
-    steps = rows.select(F.col(entity).alias("_x"), F.col("_prev").alias("_y")).unionByName(carried)
+    steps = beside(df.select(*cols), group, order, [entity], bucket=F.col(bucket))
+    x, y = F.col(entity), F.col(f"previous_{entity}")
     pairs = (
-        steps.filter(F.col("_y").isNotNull() & (F.col("_x") != F.col("_y")))
-        .groupBy(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b"))
+        steps.filter(y.isNotNull() & (x != y))
+        .groupBy(F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b"))
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
     return both_directions(pairs)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield import schemas as S
 from echofield.functions.ranking import gini, quantiles
+from echofield.functions.sequence import beside, numbered
 
 
 
@@ -161,14 +162,13 @@ def population_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def step_metrics(
-    state: DataFrame, interactions: DataFrame, step: str = "step", key: str = "humanId",
-    gini_of_attention: bool = True,
+    state: DataFrame, interactions: DataFrame, step: str = "step", key: str = "humanId"
 ) -> DataFrame:
     """The whole metrics row of every step at once.
 
     One aggregate over the states and one over the interactions give counts
-    and means; the two Gini coefficients and the fatigue percentile add one
-    ranking each.  Everything joined at the end has one row per step.
+    and means; both Gini coefficients share one ranking and the fatigue
+    percentile adds another.  Everything joined at the end has one row per step.
     """
     base = state.groupBy(step).agg(
         _rows().alias("n"),
@@ -189,17 +189,20 @@ def step_metrics(
         F.sum("_pos").alias("positiveInteractions"),
         F.sum("_neg").alias("negativeInteractions"),
     )
-    engagement = state.select(step, key).join(per_entity.select(step, key, "engagement"), [step, key], "left")
-    engagement = engagement.select(step, F.coalesce("engagement", F.lit(0)).alias("engagement"))
-    parts = [
-        gini(engagement, "engagement", [step]).select(step, F.col("gini").alias("engagementGini")),
-        quantiles(state, "fatigue", [0.95], [step], kind="rank").select(step, F.col("q0").alias("fatigueP95")),
-    ]
-    if gini_of_attention:
-        parts.append(gini(state, "attentionSpan", [step]).select(step, F.col("gini").alias("attentionGini")))
-    out = base.join(acts, step, "left")
-    for part in parts:
-        out = out.join(part, step, "left")
+    engaged = state.select(step, key, "attentionSpan").join(
+        per_entity.select(step, key, "engagement"), [step, key], "left"
+    )
+    levels = F.explode(F.array(
+        F.struct(F.lit("engagement").alias("of"), F.coalesce("engagement", F.lit(0)).cast("double").alias("x")),
+        F.struct(F.lit("attention").alias("of"), F.col("attentionSpan").alias("x")),
+    ))
+    spread = gini(engaged.select(step, levels.alias("_l")).select(step, "_l.*"), "x", [step, "of"])
+    inequality = spread.groupBy(step).agg(
+        F.max(F.when(F.col("of") == "engagement", F.col("gini"))).alias("engagementGini"),
+        F.max(F.when(F.col("of") == "attention", F.col("gini"))).alias("attentionGini"),
+    )
+    tired = quantiles(state, "fatigue", [0.95], [step], kind="rank").select(step, F.col("q0").alias("fatigueP95"))
+    out = base.join(acts, step, "left").join(inequality, step, "left").join(tired, step, "left")
     zero = F.lit(0).cast("long")
     counts = {c: F.coalesce(c, zero) for c in ("totalInteractions", "positiveInteractions", "negativeInteractions")}
     out = out.withColumns(counts).withColumns({
@@ -268,12 +271,10 @@ def trajectories(
     list is a sample, and the optimizer broadcasts it only if it is small.
     """
     chosen = states.join(keys.select(key).distinct(), key, "left_semi")
-    w = Window.partitionBy(key).orderBy(step)
-    return chosen.select(
-        key, step, "valence", "arousal",
-        F.row_number().over(w).alias("position"),
-        F.lag(step).over(w).isNull().alias("is_start"),
-        F.lead(step).over(w).isNull().alias("is_end"),
+    placed = numbered(chosen.select(key, step, "valence", "arousal"), key, step)
+    return placed.select(
+        key, step, "valence", "arousal", "position",
+        (F.col("position") == 1).alias("is_start"), (F.col("position") == F.col("size")).alias("is_end"),
     )
 
 
@@ -301,8 +302,8 @@ def spread_convergence(states: DataFrame, step: str = "step") -> DataFrame:
 
 def transition_matrix(states: DataFrame, key: str = "humanId", step: str = "step") -> DataFrame:
     """Counts and row shares of class changes between consecutive recorded steps, all 9 cells."""
-    w = Window.partitionBy(key).orderBy(step)
-    moves = states.select(F.lag("mood").over(w).alias("from_class"), F.col("mood").alias("to_class"))
+    paired = beside(states.select(key, step, "mood"), key, [step], ["mood"])
+    moves = paired.select(F.col("previous_mood").alias("from_class"), F.col("mood").alias("to_class"))
     moves = moves.filter(F.col("from_class").isNotNull())
     # One row per source class with a column per target keeps the empty cells.
     wide = moves.groupBy("from_class").agg(

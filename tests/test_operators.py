@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echofield import schemas as S
 from echofield.functions import columns as col
-from echofield.functions import ranking, special
+from echofield.functions import ranking, sequence, special
 from echofield.functions.skew import hot_keys, salted_join
 from echofield.operators import (
     affect, bandit, calibration, edges, exposure, graph, metrics, quality, sampling, stats, transitions, upkeep,
@@ -134,6 +134,21 @@ def test_dense_index_is_dense_and_stable(spark):
     assert sorted(i for _, i in a) == list(range(len(a)))
 
 
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_beside_and_numbered_across_blocks(spark, block):
+    data = [(k, s) for k in range(3) for s in random.Random(k).sample(range(40), 15)]
+    df = spark.createDataFrame(data, "k long, s long").repartition(4)
+    prev = {(r.k, r.s): r.previous_s for r in sequence.beside(df, "k", ["s"], ["s"], "previous", F.floor(F.col("s") / block)).collect()}
+    nxt = {(r.k, r.s): r.next_s for r in sequence.beside(df, "k", ["s"], ["s"], "next", F.floor(F.col("s") / block)).collect()}
+    place = {(r.k, r.s): (r.position, r["size"]) for r in sequence.numbered(df, "k", "s", block).collect()}
+    for k in range(3):
+        order = sorted(s for j, s in data if j == k)
+        for i, s in enumerate(order):
+            assert prev[k, s] == (order[i - 1] if i else None)
+            assert nxt[k, s] == (order[i + 1] if i + 1 < len(order) else None)
+            assert place[k, s] == (i + 1, 15)
+
+
 def test_salted_join_equals_plain_join(spark):
     big = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200)).alias("k"), "id")
     small = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
