@@ -129,8 +129,7 @@ def selection_agreement(
     keys = ["contentId", "_trial"]
     scored = beta_draws(bandit_scores(runs, rate, mode, seed, keys), seed, keys)
     picks = scored.groupBy("_trial").agg(
-        F.max(F.struct("score", "contentId")).getField("contentId").alias("_noisy"),
-        F.max(F.struct("draw", "contentId")).getField("contentId").alias("_exact"),
+        F.max_by("contentId", "score").alias("_noisy"), F.max_by("contentId", "draw").alias("_exact")
     )
     same = F.count_if(F.col("_noisy") == F.col("_exact"))
     n = F.count(F.lit(1))

@@ -126,11 +126,10 @@ def explore_mix(
     """
     pairs = sparse_pairs(people, items, F.lit(person_share * item_share), seed, "explore")
     mixed = candidates.select(*CANDIDATE).unionByName(_fill_pairs(pairs, people, items))
-    rest = [c for c in CANDIDATE if c not in ("humanId", "contentId", "neighbor_count")]
-    best = F.max(F.struct("neighbor_count", *rest)).alias("_b")
-    return mixed.groupBy("humanId", "contentId").agg(best).select(
-        "humanId", "contentId", "_b.*"
-    ).select(*CANDIDATE)
+    # Everything but the count is determined by the pair, so grouping by all of it
+    # gives one row per pair while the aggregate itself stays a hash aggregate.
+    pair = [c for c in CANDIDATE if c != "neighbor_count"]
+    return mixed.groupBy(*pair).agg(F.max("neighbor_count").alias("neighbor_count")).select(*CANDIDATE)
 
 
 def cold_start(people: DataFrame, items: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:

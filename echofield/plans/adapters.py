@@ -54,23 +54,24 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item: first step seen, most common type, keyed intensity and half-life."""
-    seen = (
-        interactions(spark, sf_dir)
-        .groupBy("contentId", "emotionType")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("step").alias("_first"))
-        .groupBy("contentId")
-        .agg(
-            F.max(F.struct("_n", "emotionType")).getField("emotionType").alias("emotionType"),
-            F.min("_first").alias("createdAtStep"),
-        )
+    kind = F.col("emotionType")
+    seen = interactions(spark, sf_dir).groupBy("contentId").agg(
+        F.min("step").alias("createdAtStep"),
+        *[F.count_if(kind == t).alias(f"_{t}") for t in S.TYPES],
     )
+    good, plain, bad = (F.col(f"_{t}") for t in S.TYPES)
+    most = F.when((good >= plain) & (good >= bad), S.POSITIVE).when(plain >= bad, S.NEUTRAL).otherwise(S.NEGATIVE)
+    seen = seen.select("contentId", most.alias("emotionType"), "createdAtStep")
     return draw_range(seen, S.ITEM_RANGES, ["contentId"])
 
 
+def edges_of(acts: DataFrame) -> DataFrame:
+    """Who touched an item right after whom."""
+    return edges_from_sequence(acts, "contentId", "humanId", ["ts", "eventId"], "step")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges_from_sequence(
-        interactions(spark, sf_dir), "contentId", "humanId", ["ts", "eventId"], "step"
-    )
+    return edges_of(interactions(spark, sf_dir))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:

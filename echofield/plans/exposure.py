@@ -17,9 +17,11 @@ def visible_items(spark, sf_dir):
     return op.visibility(a.items(spark, sf_dir), NOW)
 
 
-def candidates(spark, sf_dir):
-    activity = graph.neighbor_activity(a.edges(spark, sf_dir), a.interactions(spark, sf_dir))
-    return op.neighbor_candidates(a.people(spark, sf_dir), activity, visible_items(spark, sf_dir))
+def inputs(spark, sf_dir):
+    """People, visible items and neighbour candidates, each built once."""
+    acts, people, items = a.interactions(spark, sf_dir), a.people(spark, sf_dir), visible_items(spark, sf_dir)
+    activity = graph.neighbor_activity(a.edges_of(acts), acts)
+    return people, items, op.neighbor_candidates(people, activity, items)
 
 
 CTES["visible"] = """
@@ -84,7 +86,7 @@ _CAND = f"""humanId, {r('attentionSpan')} AS attentionSpan, {r('addictionCoeff')
 
 @query("neighbor_candidates", f"SELECT {_CAND} FROM candidates")
 def neighbor_candidates(spark, sf_dir):
-    return candidates(spark, sf_dir)
+    return inputs(spark, sf_dir)[2]
 
 
 def _sql_pairs(p: str, salt: str) -> str:
@@ -113,9 +115,8 @@ FROM (SELECT * FROM candidates UNION ALL SELECT * FROM explored) GROUP BY humanI
 
 @query("explore_mix", f"SELECT {_CAND} FROM mixed")
 def explore_mix(spark, sf_dir):
-    return op.explore_mix(
-        candidates(spark, sf_dir), a.people(spark, sf_dir), visible_items(spark, sf_dir)
-    )
+    people, items, near = inputs(spark, sf_dir)
+    return op.explore_mix(near, people, items)
 
 
 @query("cold_start", f"SELECT {_CAND} FROM cold")
@@ -127,9 +128,8 @@ def cold_start(spark, sf_dir):
 SELECT humanId, contentId, neighbor_count, {r('1.0e0 - pow(0.5e0, neighbor_count)')} AS social_proof FROM activity
 """)
 def social_proof(spark, sf_dir):
-    return op.social_proof(
-        graph.neighbor_activity(a.edges(spark, sf_dir), a.interactions(spark, sf_dir))
-    )
+    acts = a.interactions(spark, sf_dir)
+    return op.social_proof(graph.neighbor_activity(a.edges_of(acts), acts))
 
 
 CTES["item_scores"] = """

@@ -213,7 +213,8 @@ FROM edges e JOIN interactions i ON e.target = i.humanId GROUP BY 1, 2
 
 @query("neighbor_activity", "SELECT humanId, contentId, neighbor_count FROM activity")
 def neighbor_activity(spark, sf_dir):
-    return op.neighbor_activity(a.edges(spark, sf_dir), a.interactions(spark, sf_dir))
+    acts = a.interactions(spark, sf_dir)
+    return op.neighbor_activity(a.edges_of(acts), acts)
 
 
 CTES["neighbor_affect"] = """
