@@ -20,6 +20,7 @@ _SCALE = float(2 ** (4 * _HEX_DIGITS))
 
 # P(Poisson(1) > 18) is below 2**-52, the resolution of `uni`.
 POISSON_MAX = 18
+SPAN = 1 << 16  # cells held as one array while a row fans out
 
 
 def as_col(c: Column | str) -> Column:
@@ -87,20 +88,24 @@ def poisson_draws(
     A Poisson count is the sum of counts over cells of mean at most one, so the
     row is first split into ``ceil(mean)`` cells and each cell inverts its own
     uniform.  The number of rows made is proportional to the number kept; a
-    row with a very large mean fans out inside the task without being shuffled.
+    row with a very large mean fans out inside the task, a span of cells at a time.
     ``draw`` is a string unique within the row's keys.
     """
+    zero = F.lit(0).cast("long")
     return (
         df.withColumn("_mean", mean)
         .filter(F.col("_mean") > 0)
         .withColumn("_cells", F.ceil("_mean").cast("long"))
-        .withColumn("_cell", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cells"))))
+        .withColumn("_span", F.explode(F.sequence(zero, F.floor((F.col("_cells") - 1) / F.lit(SPAN)))))
+        .withColumn("_cell", F.explode(F.sequence(
+            F.col("_span") * SPAN + 1, F.least(F.col("_cells"), (F.col("_span") + 1) * SPAN)
+        )))
         .withColumn("_u", uni(seed, salt, *keys, "_cell"))
         .withColumn("_k", poisson_small(F.col("_u"), F.col("_mean") / F.col("_cells")))
         .filter(F.col("_k") > 0)
         .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
         .withColumn(draw, F.concat_ws(".", F.col("_cell"), F.col("_i")))
-        .drop("_mean", "_cells", "_cell", "_u", "_k", "_i")
+        .drop("_mean", "_cells", "_span", "_cell", "_u", "_k", "_i")
     )
 
 

@@ -143,9 +143,9 @@ def _first_valid(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     free = candidates.join(
         taken.select(F.col("u").alias("_a"), F.col("v").alias("_b")), ["_a", "_b"], "left_anti"
     )
-    best = F.min(F.struct("_t", "_a", "_b")).alias("_m")
-    return free.groupBy("u", "v", "_roll").agg(best).select(
-        "u", "v", "_roll", F.col("_m._a").alias("_a"), F.col("_m._b").alias("_b")
+    first = free.groupBy("u", "v", "_roll").agg(F.min_by("_x", "_t").alias("_x"))
+    return first.select(
+        "u", "v", "_roll", F.least("u", "_x").alias("_a"), F.greatest("u", "_x").alias("_b")
     )
 
 

@@ -86,8 +86,8 @@ def sampled_exposures(
         numbered.select("_idx", "contentId", *ITEM_COLUMNS), "_idx"
     ).withColumn("exposureProb", F.col("_own") * F.col("visibility"))
     kept = kept.filter(F.col("_thin") * F.col("_rate") < -F.log1p(-F.least("exposureProb", F.lit(1.0 - 1e-12))))
-    once = kept.dropDuplicates(["humanId", "contentId"])
-    return _as_exposures(once, "exposureProb")
+    # A pair picked twice gives two equal rows, so whole rows can be compared.
+    return _as_exposures(kept, "exposureProb").distinct()
 
 
 def _as_exposures(df: DataFrame, *extra: str) -> DataFrame:

@@ -322,19 +322,16 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def describe_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, one row per column and group."""
-    out = None
-    for c in columns:
-        moments = df.groupBy(*by).agg(
-            F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")
-        )
-        marks = quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0], by).drop("n")
-        names = dict(zip(("q0", "q1", "q2", "q3", "q4"), ("min", "p25", "p50", "p75", "max")))
-        marks = marks.withColumnsRenamed(names)
-        if by:
-            row = moments.join(marks, list(by), "left")
-        else:
-            packed = marks.select(F.struct(*names.values()).alias("_q")).scalar()
-            row = moments.withColumn("_q", packed).select("count", "mean", "std", "_q.*")
-        row = row.select(*by, F.lit(c).alias("column"), *[x for x in row.columns if x not in by])
-        out = row if out is None else out.unionByName(row)
-    return out
+    # One row per value: all columns share the same passes over the table.
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns
+    ]))
+    keys = [*by, "column"]
+    long = df.select(*by, cells.alias("_c")).select(*by, "_c.*")
+    moments = long.groupBy(*keys).agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")
+    )
+    marks = quantiles(long, "x", [0.0, 0.25, 0.5, 0.75, 1.0], keys)
+    names = ("min", "p25", "p50", "p75", "max")
+    marks = marks.select(*keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    return moments.join(marks, keys, "left")
