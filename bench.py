@@ -34,7 +34,7 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cores, "echofield-bench")
     spark.sparkContext.setLogLevel("ERROR")
     only = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
