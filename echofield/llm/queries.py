@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import langid, packing, simhash
+from echofield.llm import langid, packing, pii, simhash
 from echofield.llm.common import fold_of
 
+#: The key of the surrogates in the registered runs; a real run passes its own secret.
+SURROGATE_KEY = "registered-run"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -26,6 +28,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of replacements."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY, found="n_entities")
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of power-of-two length."""
     packed = packing.sequences(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -39,5 +47,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_binary_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_surrogate_pii, op6_binary_packing, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
