@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import langid, packing, simhash
+from echofield.llm import langid, packing, pii, simhash
 from echofield.llm.common import shared_table
-from echofield.llm.queries import BYTE_BPE, table
+from echofield.llm.queries import BYTE_BPE, SURROGATE_KEY, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by surrogates; n_chars follows the text."""
+    replaced = pii.replace_entities(docs, SURROGATE_KEY)
+    return replaced.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two length with their token ids."""
     return packing.sequences(docs, BYTE_BPE).withColumn("ids_crc32", F.crc32("ids"))
@@ -28,6 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("surrogates", surrogates),
     ("packing", packed),
 ]
 
