@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import langid, packing, pii, simhash
+from echofield.llm import langid, lm, packing, pii, simhash
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
@@ -34,6 +34,16 @@ def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs, SURROGATE_KEY, found="n_entities")
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree and unigram scores of every document, learned from the documents outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    counts = lm.count_training(docs.filter(~held_out))
+    return lm.score_texts(docs, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of power-of-two length."""
     packed = packing.sequences(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -47,5 +57,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_surrogate_pii, op6_binary_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_surrogate_pii, op4_suffix_tree_lm, op6_binary_packing, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
