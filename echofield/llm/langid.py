@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 TEXTS, CHARS = 96, 256
+READ = 4  # characters read for each symbol kept
 ALPHABET = 120
 BLOCK = 1024
 _LANES = 1 << 14
@@ -36,13 +37,12 @@ def training_sample(docs: DataFrame, use: Column, texts: int = TEXTS, chars: int
     partitions.  Rows without label, without letters or not in ``use`` are left out.
     """
     rows = docs.filter(use & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
-    )
-    best = rows.groupBy("lang", F.pmod("h", F.lit(texts)).alias("bin")).agg(F.min("h").alias("h")).select("lang", "h")
-    snippet = F.substring(F.lower(F.regexp_replace("text", r"\P{L}+", " ")), 1, chars)
-    found = rows.join(best, ["lang", "h"]).select("lang", "h", snippet.alias("text")).groupBy("lang", "h").agg(
-        F.min("text").alias("text")
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("h"),
+        F.substring(F.col(text), 1, READ * chars).alias("text"),
     )
+    best = rows.groupBy("lang", F.pmod("h", F.lit(texts)).alias("bin")).agg(F.min(F.struct("h", "text")).alias("s"))
+    snippet = F.substring(F.lower(F.regexp_replace("s.text", r"\P{L}+", " ")), 1, chars)
+    found = best.select("lang", "s.h", snippet.alias("text"))
     return [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))]
 
 
