@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import langid, lm, packing, pii, simhash
+from echofield.llm import ann, langid, lm, packing, pii, simhash
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
@@ -28,6 +28,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and the number of replacements."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,5 +63,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_surrogate_pii, op4_suffix_tree_lm, op6_binary_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op6_binary_packing, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
