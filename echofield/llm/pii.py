@@ -44,18 +44,19 @@ _END = r"(?![\p{L}\p{N}])"
 _WORD = r"\p{Lu}[\p{L}'’\-]+"
 _TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"
-NAME = _EDGE + _TITLE + f" {_WORD}(?: {_WORD})?"
-IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
-HEX = _EDGE + r"(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}" + _END
-SECRET = _EDGE + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-_]{20,}|xox[abpr]-[0-9A-Za-z\-]{10,})" + _END
-IBAN = _EDGE + r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END
-SSN = _EDGE + r"\d{3}-\d{2}-\d{4}" + _END
-CARD = _EDGE + r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}" + _END
+# The rest start where no letter or digit comes before, see ANY.
+NAME = _TITLE + f" {_WORD}(?: {_WORD})?"
+IP = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
+HEX = r"(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}" + _END
+SECRET = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-_]{20,}|xox[abpr]-[0-9A-Za-z\-]{10,})" + _END
+IBAN = r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _END
+SSN = r"\d{3}-\d{2}-\d{4}" + _END
+CARD = r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}" + _END
 PHONE = (
-    r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
+    r"(?<!\+)(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
     r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})" + _END
 )
-ANY = "|".join([EMAIL, NAME, IP, HEX, SECRET, IBAN, SSN, PHONE, CARD])
+ANY = EMAIL + "|" + _EDGE + "(?:" + "|".join([NAME, IP, HEX, SECRET, IBAN, SSN, PHONE, CARD]) + ")"
 MAYBE = r"[0-9@]|" + _TITLE + r" \p{Lu}"
 
 
@@ -205,26 +206,27 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text", found: st
 
     All columns and rows are kept; a null text stays null, a text without
     entities stays as it is.  One entity has one surrogate in all documents.
-    Only texts with entities are shuffled, keyed by their SHA-256, so that
-    copies of a text share one row on the side that is looked up.
+    Only texts that may hold entities are shuffled, keyed by their SHA-256, so
+    that copies of a text share one row on the side that is looked up.
     """
     names = [c for c in docs.columns if c != found]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
-    marked = rows.withColumn("hit", F.coalesce(F.col("text").rlike(MAYBE) & F.col("text").rlike(ANY), F.lit(False)))
-    hits = marked.filter("hit").select("row", "text", F.sha2("text", 256).alias("key"))
+    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    hits = rows.filter(maybe).withColumn("key", F.sha2("text", 256))
+    # An outer explode, because an inner one would have the segments computed twice.
     mentions = shared_table(
-        _with_segments(hits.select("key", "text")).select("key", F.posexplode("segments").alias("pos", "s"))
+        _with_segments(hits.select("key", "text")).select("key", F.posexplode_outer("segments").alias("pos", "s"))
         .filter(F.col("s.kind") != "").select("key", "pos", "s.kind", "s.canon", "s.raw").distinct(),
         "mentions",
     )
     surrogates = assign(mentions, secret)
     written = mentions.join(surrogates, ["kind", "canon"]).select("key", "pos", F.expr(_written()).alias("out"))
     patches = written.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "out"))).alias("patch"))
-    mended = _with_segments(hits.join(patches, "key")).select(
-        "row",
-        F.expr("array_join(transform(segments, (s, i) -> coalesce(patch[i], s.raw)), '')").alias("text"),
-        F.size("patch").cast("long").alias("n"),
+    patched = f"array_join(transform({_segments()}, (s, i) -> coalesce(patch[i], s.raw)), '')"
+    mended = hits.join(patches, "key", "left").select(
+        "row", F.expr(f"CASE WHEN patch IS NULL THEN text ELSE {patched} END").alias("text"),
+        F.coalesce(F.size("patch"), F.lit(0)).cast("long").alias("n"),
     )
-    whole = marked.filter(~F.col("hit")).select("row", "text", F.lit(0).cast("long").alias("n")).unionByName(mended)
+    whole = rows.filter(~maybe).select("row", "text", F.lit(0).cast("long").alias("n")).unionByName(mended)
     columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in names]
     return whole.select(*columns, *([F.col("n").alias(found)] if found else []))
