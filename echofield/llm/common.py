@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,15 @@ def binary_texts(column) -> list[bytes]:
     return [v or b"" for v in column.cast("binary").to_pylist()]
 
 
+def small(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have about ``size`` bytes; a longer text is a slice of its own."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    group = (np.cumsum(lengths) - lengths) // size
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    for lo, hi in zip(starts, [*starts[1:], len(lengths)]):
+        yield batch.slice(lo, hi - lo)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b).
 

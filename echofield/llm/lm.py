@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofield.llm.common import binary_texts, shared_table
+from echofield.llm.common import binary_texts, shared_table, small
 
 DEPTH = 6
 SHARE = 3e-6
@@ -33,9 +33,9 @@ DIVERGENCE = 0.02
 WORD_SHARE = 1e-6
 LANE = 512
 _PAD = b"\0" * (DEPTH - 1) + b"\n"
-_CHUNK = 1 << 23
-_WORDS = 1 << 19
-_LANES = 1 << 15
+_CHUNK = 1 << 22
+_WORDS = 1 << 18
+_LANES = 1 << 14
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -253,32 +253,33 @@ def score_texts(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: s
         known, tree_ = sent.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            bodies = [words_of(b) for b in binary_texts(batch.column(1))]
-            scores = tree_.score([symbols_of(b) for b in bodies])
-            n_tokens, n_known, base, rare, times = [], [], [], [], []
-            for body in bodies:
-                counted = Counter(body)
-                counted[b""] = 1
-                here, hits, odd = 0.0, 0, []
-                for word, n in counted.items():
-                    value = known.get(word)
-                    if value is None:
-                        odd.append(word)
-                    else:
-                        hits += n
-                        here += n * value
-                n_tokens.append(len(body) + 1)
-                n_known.append(hits)
-                base.append(here - floor * (len(body) + 1))
-                rare.append(odd)
-                times.append([counted[w] for w in odd])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + len(bodies)), pa.int64()), batch.column(0),
-                pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
-                pa.array(times, pa.list_(pa.int64())),
-            ], names)
-            row += len(bodies)
+            for part in small(batch, 1):
+                bodies = [words_of(b) for b in binary_texts(part.column(1))]
+                scores = tree_.score([symbols_of(b) for b in bodies])
+                n_tokens, n_known, base, rare, times = [], [], [], [], []
+                for body in bodies:
+                    counted = Counter(body)
+                    counted[b""] = 1
+                    here, hits, odd = 0.0, 0, []
+                    for word, n in counted.items():
+                        value = known.get(word)
+                        if value is None:
+                            odd.append(word)
+                        else:
+                            hits += n
+                            here += n * value
+                    n_tokens.append(len(body) + 1)
+                    n_known.append(hits)
+                    base.append(here - floor * (len(body) + 1))
+                    rare.append(odd)
+                    times.append([counted[w] for w in odd])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(range(row, row + len(bodies)), pa.int64()), part.column(0),
+                    pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+                    pa.array(times, pa.list_(pa.int64())),
+                ], names)
+                row += len(bodies)
 
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     names = ["row", "key", "n_tokens", "n_known", "base", "score", "rare", "times"]
