@@ -33,8 +33,9 @@ DIVERGENCE = 0.02
 WORD_SHARE = 1e-6
 LANE = 512
 _PAD = b"\0" * (DEPTH - 1) + b"\n"
-_CHUNK = 1 << 22
-_WORDS = 1 << 18
+_CHUNK = 1 << 21
+_GRAMS = 1 << 21
+_WORDS = 400_000
 _LANES = 1 << 14
 
 
@@ -69,37 +70,41 @@ def count_training(docs: DataFrame, text: str = "text") -> DataFrame:
     the shared folder.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, held = Counter(), [], bytearray()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> Iterator[pa.RecordBatch]:
-            keys, owner = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-            totals = np.bincount(owner, np.concatenate([n for _, n in grams]))
-            yield from _rows(None, keys.view(np.int64), totals.astype(np.int64))
-
+        words: Counter = Counter()
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for body in binary_texts(batch.column(0)):
-                parts = words_of(body)
-                words.update(parts)
-                words[b""] += 1
-                held += symbols_of(parts)
-                if len(held) > _CHUNK:
-                    grams.append(grams_of(bytes(held)))
-                    held = bytearray()
+            for part in small(batch, 0):
+                held = bytearray()
+                for body in binary_texts(part.column(0)):
+                    found = words_of(body)
+                    words.update(found)
+                    words[b""] += 1
+                    held += symbols_of(found)
+                for lo in range(0, len(held), _CHUNK):
+                    # Windows that span two chunks belong to the first.
+                    keys, counts = _merged(keys, counts, *grams_of(bytes(held[lo:lo + _CHUNK + DEPTH])))
                 if len(words) > _WORDS:
                     yield from _rows(list(words), None, np.fromiter(words.values(), np.int64, len(words)))
                     words = Counter()
-            if sum(len(k) for k, _ in grams) > 1 << 22:
-                yield from merged()
-                grams = []
-        grams.append(grams_of(bytes(held)))
-        yield from merged()
+                if len(keys) > _GRAMS:
+                    yield from _rows(None, keys.view(np.int64), counts)
+                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield from _rows(None, keys.view(np.int64), counts)
         yield from _rows(list(words), None, np.fromiter(words.values(), np.int64, len(words)))
 
     partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, gram bigint, n bigint")
     return shared_table(partial.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
 
 
+def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Add the counts ``n`` of the sorted keys ``more`` to those of the sorted ``keys``."""
+    every, totals = np.concatenate([keys, more]), np.concatenate([counts, n])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[starts], np.add.reduceat(totals[order], starts) if len(starts) else totals
+
+
 def _rows(words: list[bytes] | None, grams: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(n), 1 << 16):
         part = slice(lo, lo + (1 << 16))
