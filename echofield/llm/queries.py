@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import ann, chat, html, langid, lm, packing, pii, simhash, spotsigs
+from echofield.llm import ann, chat, html, langid, lattice, lm, packing, pii, simhash, spotsigs
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
 SURROGATE_KEY = "registered-run"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -50,6 +51,11 @@ def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoding of every document, in figures: words, pieces, score of the best path, digest of the ids."""
+    return lattice.summarize(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of power-of-two length."""
     packed = packing.sequences(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -123,6 +129,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op6_binary_packing, op7_spot_signatures, op8_reply_trees,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op5_piece_lattice,
+                                   op6_binary_packing, op7_spot_signatures, op8_reply_trees,
                                    op9_main_content, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op8_reply_trees": SQL_OP8}
