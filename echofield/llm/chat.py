@@ -28,13 +28,16 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """The same for a role, which must also stay on one line."""
-    return F.replace(F.regexp_replace(escape(role), r"\\(\\*)n", r"\\\\$1n"), F.lit("\n"), F.lit("\\n"))
+    """The same for a role, which must also stay on one line.
+
+    A line end becomes backslash and n; backslashes right before an n or a line end are doubled.
+    """
+    return F.replace(F.regexp_replace(escape(role), r"(\\+)([n\n])", "$1$1$2"), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    lines = F.regexp_replace(role, r"(?<!\\)\\n", "\n")
-    return unescape(F.regexp_replace(lines, r"\\(\\+)n", "$1n"))
+    lines = F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    return unescape(F.regexp_replace(lines, r"(?<!\\)(\\+)\1([n\n])", "$1$2"))
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -47,26 +50,32 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     given = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = given.select(F.col("id").alias("parent"), F.col("id").alias("up"))
-    reach = shared_table(
+    reached = shared_table(
         given.join(known, "parent", "left").select("id", "up", F.col("score").alias("sum"), F.lit(1).alias("steps"),
                                                    F.col("id").alias("top")),
         "replies",
     )
-    jumps = [reach.filter(F.col("up").isNotNull()).select("id", "up")]
-    limit = max(1, reach.count()).bit_length() + 1
-    while len(jumps) <= limit and not reach.filter(F.col("up").isNotNull()).isEmpty():
-        far = reach.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"),
-                           F.col("steps").alias("_steps"), F.col("top").alias("_top"))
-        reach = shared_table(
-            reach.join(far, "up", "left").select(
-                "id", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_top", "top").alias("top"),
+    at_root, climbing = reached.filter(F.col("up").isNull()), reached.filter(F.col("up").isNotNull())
+    jumps = [climbing.select("id", "up")]
+    limit = max(1, reached.count()).bit_length() + 1
+    while len(jumps) <= limit and not climbing.isEmpty():
+        # Only messages that have not reached their root yet are joined again.
+        far = at_root.union(climbing).select(
+            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"),
+            F.col("steps").alias("_steps"), F.col("top").alias("_top"),
+        )
+        reached = shared_table(
+            climbing.join(far, "up").select(
+                "id", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"),
+                (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_top").alias("top"),
             ),
             "replies",
         )
-        jumps.append(reach.filter(F.col("up").isNotNull()).select("id", "up"))
+        at_root = at_root.union(reached.filter(F.col("up").isNull()))
+        climbing = reached.filter(F.col("up").isNotNull())
+        jumps.append(climbing.select("id", "up"))
     answered = given.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
-    leaves = reach.filter(F.col("up").isNull()).join(answered, "id", "left_anti")
+    leaves = at_root.join(answered, "id", "left_anti")
     order = Window.partitionBy("top").orderBy(F.desc("sum"), F.desc("steps"), "id")
     best = leaves.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= branches)
     listed = shared_table(best.select(F.col("top").alias("tree"), F.col("id").alias("leaf"), "id",
