@@ -206,9 +206,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     )
     # visits * (k + 1) entries per query at most.
     order = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
-    best = scored.select("q", order.alias("top")).groupBy("q").agg(F.collect_list("top").alias("all")).select(
-        "q", F.explode(F.slice(F.array_sort(F.array_distinct(F.flatten("all"))), 1, k + 1)).alias("x")
-    )
+    gathered = scored.select("q", order.alias("top")).groupBy("q").agg(F.collect_list("top").alias("all"))
+    # A vector met in several leaves has the same score in each, so its repeats stand side by side.
+    ranked = F.transform(F.array(F.array_sort(F.flatten("all"))), lambda a: F.filter(
+        a, lambda x, i: (i == 0) | (x["id"] != F.get(a, i - 1)["id"])))
+    best = gathered.select("q", F.explode(F.slice(ranked[0], 1, k + 1)).alias("x"))
     spread = best.select("q", "x.s", "x.id").join(index.select("id", "copies"), "id").groupBy("q").agg(
         F.collect_list(F.transform("copies", lambda c: F.struct(F.col("s"), c.alias("id")))).alias("all")
     )
