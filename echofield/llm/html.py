@@ -150,7 +150,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if kind.startswith("<"):
             run.append((kind, value, -TAG_COST))
         else:
-            run.append((kind, value, len(value.split()) * weights.get(kind, _weight(kind))))
+            told = entities.unescape(value)
+            run.append((kind, told, len(told.split()) * weights.get(kind, _weight(kind))))
     best = total = 0.0
     first = start = end = 0
     for i, (_, _, score) in enumerate(run):
@@ -168,8 +169,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append("".join(open_block))
             open_block = []
     blocks.append("".join(open_block))
-    told = (" ".join(entities.unescape(b).split()) for b in blocks)
-    return " ".join(b for b in told if b)
+    return " ".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
 def extract(pages: DataFrame, weights: dict[str, float], html: str = "html", name: str = "text") -> DataFrame:
