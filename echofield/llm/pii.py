@@ -57,7 +57,7 @@ PHONE = (
     r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})" + _END
 )
 ANY = EMAIL + "|" + _EDGE + "(?:" + "|".join([NAME, IP, HEX, SECRET, IBAN, SSN, PHONE, CARD]) + ")"
-MAYBE = r"[0-9@]|" + _TITLE + r" \p{Lu}"
+MAYBE = r"[0-9@]|AKIA|gh[pousr]_|sk-|xox[abpr]-|" + _TITLE + r" \p{Lu}"
 
 
 def _sql(text: str) -> str:
