@@ -51,12 +51,14 @@ def bandit_scores_beta(spark, sf_dir):
 
 def sql_beta(source: str, keys: list[str]) -> str:
     def gam(n: str, salt: str) -> str:
-        return (f"list_sum(list_transform(generate_series(1, CAST({n} AS BIGINT)), "
-                f"lambda i: -ln(1.0e0 - {sql_uni(42, salt, *keys, 'i')})))")
-    normal = f"least(1.0e0, greatest(0.0e0, {_MEAN} + {_SD} * {sql_gauss(42, 'beta', *keys)}))"
-    return f"""SELECT *, CASE WHEN successes + failures + 2 <= 1000 THEN ga / (ga + gb) ELSE {normal} END AS draw
-FROM (SELECT *, CASE WHEN successes + failures + 2 <= 1000 THEN {gam('successes + 1', 'beta.ga')} END AS ga,
-             CASE WHEN successes + failures + 2 <= 1000 THEN {gam('failures + 1', 'beta.gb')} END AS gb FROM {source})"""
+        d, x, u = f"({n} - 1.0e0 / 3.0e0)", sql_gauss(42, f"{salt}.n", *keys, "i"), sql_uni(42, f"{salt}.u", *keys, "i")
+        root = f"(1.0e0 + x / (3.0e0 * sqrt({d})))"
+        kept = (f"CASE WHEN v > 0 AND ln(1.0e0 - {u}) < x * x / 2.0e0 + {d} - {d} * v + {d} * ln(greatest(v, 1e-300)) "
+                f"THEN {d} * v END")
+        one = (f"list_transform([{x}], lambda x: list_transform([{root} * {root} * {root}], lambda v: {kept})[1])[1]")
+        return f"list_filter(list_transform(generate_series(1, 32), lambda i: {one}), lambda y: y IS NOT NULL)[1]"
+    return f"""SELECT *, ga / (ga + gb) AS draw
+FROM (SELECT *, {gam('(successes + 1)', 'beta.ga')} AS ga, {gam('(failures + 1)', 'beta.gb')} AS gb FROM {source})"""
 
 
 @query("beta_draws", f"SELECT contentId, {r('draw')} AS draw FROM ({sql_beta('arms', ['contentId'])})")
