@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from echofield.functions.columns import require
 
 _BUCKET_DIGITS = 3
+SLICES = 64
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -112,7 +113,7 @@ def quantiles(
 
     ``kind="linear"`` interpolates at position p(n-1); ``kind="rank"`` takes the
     0-based row floor(p n).  A quantile sketch first brackets each wanted rank
-    (its rank error is at most n/accuracy).  Rows outside every bracket are
+    (its rank error is at most n/accuracy; a rank outside its bracket is an error).  Rows outside every bracket are
     folded onto the nearest bracket edge below them, which keeps the order, so
     the exact ranking only sees the few distinct values inside the brackets.
     """
@@ -153,25 +154,49 @@ def quantiles(
         kept = kept | v.between(lo, hi)
     edges = [F.when(hi < v, hi) for _, hi in spans]
     folded = F.when(kept, v).otherwise(F.greatest(*edges) if len(edges) > 1 else edges[0])
-    counts = tagged.groupBy(*by, "n", folded.alias("w")).agg(F.count(F.lit(1)).alias("c"))
-    cum = F.sum("c").over(
-        Window.partitionBy(*by).orderBy(F.col("w").asc_nulls_first())
+    # Where a value stands between the edges of its bracket, in SLICES steps, summed
+    # over the brackets: never falls as the value grows, so it cuts the order in chunks.
+    def place(w: Column, lo: Column, hi: Column) -> Column:
+        along = F.when(hi > lo, F.floor((w - lo) / (hi - lo) * SLICES)).otherwise(F.when(w >= hi, SLICES).otherwise(0))
+        return F.greatest(F.lit(0), F.least(F.lit(SLICES), along))
+
+    placed = tagged.withColumns({"_w": folded, "_in": kept})
+    along_all = sum((place(F.col("_w"), lo, hi) for lo, hi in spans), F.lit(0))
+    chunk = F.when(F.col("_w").isNull(), F.lit(-1)).otherwise(along_all)
+    counts = placed.groupBy(*by, "n", F.col("_w").alias("w"), chunk.cast("int").alias("_chunk"),
+                            *[c for i in range(len(probs)) for c in (f"_lo{i}", f"_hi{i}")]).agg(
+        F.count(F.lit(1)).alias("c"), F.count_if("_in").alias("_own")
+    )
+    # Sums of chunks: SLICES rows per probability and group at most.
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*by, "_chunk").agg(F.sum("c").alias("_size"))
+    offsets = sums.select(*by, "_chunk", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"))
+    inside = F.sum("c").over(
+        Window.partitionBy(*by, "_chunk").orderBy(F.col("w").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counts.withColumn("_cum", cum)
+    ranked = counts.withColumn("_within", inside).join(offsets, [*by, "_chunk"]).withColumn(
+        "_cum", F.col("_off") + F.col("_within")
+    )
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.col("w")))
+    def at(rank: Column, i: int) -> Column:
+        """The value of a rank.  Folded rows do not count there: the rank must fall on a row of the bracket."""
+        reached = F.col("_cum") - F.col("c") + F.col("_own") > rank
+        whole = reached & F.col("w").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        found = F.min(F.when(F.col("_cum") > rank, F.struct(F.col("w").alias("w"), whole.alias("ok"))))
+        return F.when(found["ok"], found["w"]).otherwise(
+            F.raise_error(F.lit("a quantile sketch missed its rank error; raise accuracy")).cast("double")
+        )
 
     n = F.col("n")
     picks, out = [], []
     for i, p in enumerate(probs):
         if kind == "rank":
-            picks.append(at(F.least(F.floor(n * F.lit(p)), n - 1)).alias(f"q{i}"))
+            picks.append(at(F.least(F.floor(n * F.lit(p)), n - 1), i).alias(f"q{i}"))
             out.append(F.col(f"q{i}"))
         else:
             pos = (n - 1) * F.lit(float(p))
-            picks += [at(F.floor(pos)).alias(f"_a{i}"), at(F.ceil(pos)).alias(f"_z{i}")]
+            picks += [at(F.floor(pos), i).alias(f"_a{i}"), at(F.ceil(pos), i).alias(f"_z{i}")]
             frac = pos - F.floor(pos)
             a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
             out.append((a + (z - a) * frac).alias(f"q{i}"))
