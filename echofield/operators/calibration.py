@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import poisson_unit, uni
+from echofield.functions.columns import poisson_unit, uni, total
 from echofield.operators.metrics import class_counts
 
 Z95 = 1.959963984540054
@@ -34,10 +34,15 @@ def abc_distance(runs: DataFrame, observed: DataFrame) -> DataFrame:
     return df.withColumn("distance", F.coalesce(spread, zero) + F.coalesce(polar, zero)).drop("_o")
 
 
-def abc_accept(runs: DataFrame, eps: float, n: int, draw: str = "draw") -> DataFrame:
-    """The first n draws with distance below eps among the first 10 n draws."""
-    tried = runs.orderBy(draw).limit(10 * n)
-    return tried.filter(F.col("distance") < eps).orderBy(draw).limit(n)
+def abc_accept(runs: DataFrame, eps: float, n: int, draw: str = "draw", max_draws: int | None = None) -> DataFrame:
+    """The first ``n`` draws with distance below eps, and ``tried``, the number of draws looked at.
+
+    All draws are looked at, or the first ``max_draws`` of them.  Fewer than n
+    rows mean that these did not hold enough.  Each task keeps n rows at most.
+    """
+    looked = runs if max_draws is None else runs.orderBy(draw).limit(max_draws)
+    tried = total(looked, F.count(F.lit(1)))
+    return looked.filter(F.col("distance") < eps).orderBy(draw).limit(n).withColumn("tried", tried)
 
 
 # --- Sensitivity: blocks A, B, AB:<p>, BA:<p> of one base row share its id ---

@@ -45,10 +45,10 @@ def abc_distance(spark, sf_dir):
 
 
 @query("abc_accept", f"""
-SELECT humanId, {r('distance')} AS distance FROM (SELECT * FROM distances ORDER BY humanId LIMIT 200) WHERE distance < 0.3e0 ORDER BY humanId LIMIT 20
+SELECT humanId, {r('distance')} AS distance, (SELECT count(*) FROM distances) AS tried FROM distances WHERE distance < 0.3e0 ORDER BY humanId LIMIT 20
 """)
 def abc_accept(spark, sf_dir):
-    return op.abc_accept(distances(spark, sf_dir), 0.3, 20, "humanId").select("humanId", "distance")
+    return op.abc_accept(distances(spark, sf_dir), 0.3, 20, "humanId").select("humanId", "distance", "tried")
 
 
 # Fixed bounds of the parameters varied here.

@@ -38,10 +38,8 @@ def read_snapshot(spark, sf_dir):
 @query("read_snapshots", f"SELECT {_STATE} FROM states")
 def read_snapshots(spark, sf_dir):
     path = scratch_path(spark, "steps")
-    snap.write_snapshot(_states(spark, sf_dir), f"{path}/all")
-    for step in range(30):  # the events span 30 days; one path per step, as written elsewhere
-        snap.read_snapshot(spark, f"{path}/all", step).drop("step").write.parquet(f"{path}/state/step_{step:05d}.parquet")
-    return snap.read_snapshots(spark, f"{path}/state/step_*.parquet")
+    snap.write_snapshot(_states(spark, sf_dir), path)
+    return snap.read_snapshots(spark, f"{path}/step=*", pattern=snap.STEP_FOLDER)
 
 
 CTES["class_rows"] = """

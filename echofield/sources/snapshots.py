@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STEP_FILE = r"step_(\d+)\.parquet"  # fixed format of path-encoded snapshots
+STEP_FOLDER = r"step=(\d+)/"  # folders of ``write_snapshot``
 
 
 def write_snapshot(df: DataFrame, path: str, step: int | None = None) -> None:
@@ -46,11 +47,13 @@ def read_snapshot(
     return reader.parquet(path).filter(F.col("step") == step).withColumn("step", F.col("step").cast("long"))
 
 
-def read_snapshots(spark: SparkSession, glob: str, schema: T.StructType | None = None) -> DataFrame:
-    """All path-encoded steps matching ``glob``, with the step taken from the path."""
+def read_snapshots(
+    spark: SparkSession, glob: str, schema: T.StructType | None = None, pattern: str = STEP_FILE
+) -> DataFrame:
+    """All path-encoded steps matching ``glob``; the step is the first group of ``pattern`` in the path."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(glob)
-    step = F.regexp_extract(F.col("_metadata.file_path"), STEP_FILE, 1).cast("long")
+    step = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("long")
     return df.select("*", step.alias("step"))
 
 
