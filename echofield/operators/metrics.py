@@ -305,14 +305,20 @@ def transition_matrix(states: DataFrame, key: str = "humanId", step: str = "step
     paired = beside(states.select(key, step, "mood"), key, [step], ["mood"])
     moves = paired.select(F.col("previous_mood").alias("from_class"), F.col("mood").alias("to_class"))
     moves = moves.filter(F.col("from_class").isNotNull())
-    # One row per source class with a column per target keeps the empty cells.
-    wide = moves.groupBy("from_class").agg(
-        *[F.count_if(F.col("to_class") == c).alias(c) for c in S.CLASSES], _rows().alias("_n")
-    )
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("to_class"), F.col(c).alias("n")) for c in S.CLASSES]))
-    return wide.select("from_class", "_n", cells.alias("_c")).select(
-        "from_class", "_c.to_class", "_c.n", (F.col("_c.n") / F.col("_n")).alias("share")
-    )
+    # One row with a count per cell, so that cells and classes without moves are there too.
+    pairs = [(x, y) for x in S.CLASSES for y in S.CLASSES]
+    counts = moves.agg(*[
+        F.count_if((F.col("from_class") == x) & (F.col("to_class") == y)).alias(f"{x}>{y}") for x, y in pairs
+    ])
+    cells = [
+        F.struct(
+            F.lit(x).alias("from_class"), F.lit(y).alias("to_class"), F.col(f"{x}>{y}").alias("n"),
+            F.coalesce(F.try_divide(F.col(f"{x}>{y}"), sum((F.col(f"{x}>{z}") for z in S.CLASSES), F.lit(0))),
+                       F.lit(0.0)).alias("share"),
+        )
+        for x, y in pairs
+    ]
+    return counts.select(F.inline(F.array(*cells)))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -51,7 +51,7 @@ FROM (SELECT DISTINCT id AS a, id + 1 + CAST(floor({sql_uni(42, 'random.target',
      {_BOTH}
 """)
 def random_edges(spark, sf_dir):
-    return make.random_edges(nodes(spark, sf_dir), 6.0)
+    return make.random_edges(nodes(spark, sf_dir), 6.0, dense=True)
 
 
 CTES["lattice"] = """
@@ -62,7 +62,7 @@ FROM nodes, (VALUES (1), (2), (3)) AS t(j)
 
 @query("ring_lattice_edges", f"SELECT source, target, 1.0e0 AS weight FROM lattice, {_BOTH}")
 def ring_lattice_edges(spark, sf_dir):
-    return make.ring_lattice_edges(nodes(spark, sf_dir), 6)
+    return make.ring_lattice_edges(nodes(spark, sf_dir), 6, dense=True)
 
 
 CTES["rewired"] = f"""
@@ -84,7 +84,7 @@ SELECT source, target, 1.0e0 AS weight FROM (SELECT a, b FROM kept UNION ALL SEL
 """)
 def rewire_edges(spark, sf_dir):
     ids = nodes(spark, sf_dir)
-    lattice = make.ring_lattice_edges(ids, 6)
+    lattice = make.ring_lattice_edges(ids, 6, dense=True)
     return make.rewire_edges(lattice, 0.2, total(ids, F.count(F.lit(1))))
 
 
@@ -95,20 +95,61 @@ def _pick(e: str) -> str:
     return _PICK.format(u=sql_uni(42, "attach", e), e=e)
 
 
-@query("preferential_edges", f"""
-WITH grown AS (SELECT id AS b, 6 + (id - 4) * 3 + j AS e FROM nodes, (VALUES (0), (1), (2)) AS t(j) WHERE id > 3),
-walk(b, slot) AS (
-  SELECT b, {_pick('e')} FROM grown
+def sql_preferential(nodes: str) -> str:
+    """SQL of ``preferential_edges`` with m = 3 over (id): a node's first three different ends among its draws."""
+    again = _PICK.format(u=sql_uni(42, "attach.again", "e", "i"), e="e")
+    return f"""
+grown AS (SELECT id AS b, 6 + (id - 4) * 3 AS e, i FROM {nodes}, range(0, 64) AS t(i) WHERE id > 3),
+walk(b, i, slot) AS (
+  SELECT b, i, CASE WHEN i < 3 THEN {_pick('(e + i)')} ELSE {again} END FROM grown
   UNION ALL
-  SELECT b, {_pick('(slot // 2)')} FROM walk WHERE slot >= 12 AND slot % 2 = 1),
-ends AS (SELECT CASE WHEN slot < 12 THEN slot // 3 ELSE (slot // 2 - 6) // 3 + 4 END AS a, b
+  SELECT b, i, {_pick('(slot // 2)')} FROM walk WHERE slot >= 12 AND slot % 2 = 1),
+ends AS (SELECT CASE WHEN slot < 12 THEN slot // 3 ELSE (slot // 2 - 6) // 3 + 4 END AS a, b, i
          FROM walk WHERE slot < 12 OR slot % 2 = 0),
-pairs AS (SELECT a, b FROM ends UNION
-          SELECT x.id, y.id FROM nodes x, nodes y WHERE x.id <= 3 AND y.id <= 3 AND x.id < y.id)
-SELECT source, target, 1.0e0 AS weight FROM pairs, {_BOTH}
-""")
+pairs AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY min(i)) AS place FROM ends GROUP BY a, b) WHERE place <= 3
+          UNION ALL SELECT x.id, y.id FROM {nodes} x, {nodes} y WHERE x.id <= 3 AND y.id <= 3 AND x.id < y.id)"""
+
+
+@query("preferential_edges", f"WITH {sql_preferential('nodes')} SELECT source, target, 1.0e0 AS weight FROM pairs, {_BOTH}")
 def preferential_edges(spark, sf_dir):
-    return make.preferential_edges(nodes(spark, sf_dir), 3)
+    return make.preferential_edges(nodes(spark, sf_dir), 3, dense=True)
+
+
+# Customers have ids from 1 on: numbered inside the operators and mapped back.
+CTES["shoppers"] = """
+SELECT c_custkey AS name, count(*) OVER () AS n,
+       row_number() OVER (ORDER BY substr(md5(CAST(c_custkey AS VARCHAR)), 1, 3), c_custkey) - 1 AS id FROM customer
+"""
+_NAMES = "JOIN shoppers x ON x.id = source JOIN shoppers y ON y.id = target"
+
+
+def shoppers(spark, sf_dir):
+    return a.table(spark, sf_dir, "customer").select("c_custkey")
+
+
+@query("ring_lattice_edges_any_ids", f"""
+SELECT x.name AS source, y.name AS target, 1.0e0 AS weight
+FROM (SELECT DISTINCT least(id, (id + j) % n) AS a, greatest(id, (id + j) % n) AS b FROM shoppers, (VALUES (1), (2)) AS t(j)), {_BOTH} {_NAMES}
+""")
+def ring_lattice_edges_any_ids(spark, sf_dir):
+    return make.ring_lattice_edges(shoppers(spark, sf_dir), 4, "c_custkey")
+
+
+@query("random_edges_any_ids", f"""
+SELECT x.name AS source, y.name AS target, 1.0e0 AS weight
+FROM (SELECT DISTINCT id AS a, id + 1 + CAST(floor({sql_uni(42, 'random.target', 'id', 'draw')} * above) AS BIGINT) AS b
+      FROM ({sql_poisson('(SELECT id, n, n - 1 - id AS above FROM shoppers)', '-ln(1.0e0 - 4.0e0 / (n - 1)) * above', 'random.count', ['id'])})),
+     {_BOTH} {_NAMES}
+""")
+def random_edges_any_ids(spark, sf_dir):
+    return make.random_edges(shoppers(spark, sf_dir), 4.0, "c_custkey")
+
+
+@query("preferential_edges_any_ids", f"""
+WITH {sql_preferential('shoppers')} SELECT x.name AS source, y.name AS target, 1.0e0 AS weight FROM pairs, {_BOTH} {_NAMES}
+""")
+def preferential_edges_any_ids(spark, sf_dir):
+    return make.preferential_edges(shoppers(spark, sf_dir), 3, "c_custkey")
 
 
 @query("symmetrize", f"""
@@ -202,7 +243,7 @@ FROM (SELECT count(*) AS m, (SELECT count(*) FROM nodes) AS n FROM lattice)
 """)
 def degree_check(spark, sf_dir):
     ids = nodes(spark, sf_dir)
-    return op.degree_check(make.ring_lattice_edges(ids, 6), 6.0, total(ids, F.count(F.lit(1))))
+    return op.degree_check(make.ring_lattice_edges(ids, 6, dense=True), 6.0, total(ids, F.count(F.lit(1))))
 
 
 CTES["activity"] = """

@@ -221,10 +221,11 @@ def spread_convergence(spark, sf_dir):
 
 @query("transition_matrix", f"""
 WITH m AS (SELECT lag(mood) OVER (PARTITION BY humanId ORDER BY step) AS f, mood AS t FROM states)
-SELECT f.f AS from_class, t.c AS to_class, count(m.t) AS n, {r('count(m.t) / max(f.n)')} AS share
-FROM (SELECT f, count(*) AS n FROM m WHERE f IS NOT NULL GROUP BY f) f
-CROSS JOIN (VALUES ('JOY'), ('NEUTRAL'), ('RAGE')) t(c) LEFT JOIN m ON m.f = f.f AND m.t = t.c
-GROUP BY f.f, t.c
+SELECT f.c AS from_class, t.c AS to_class, count(m.t) AS n,
+       {r('coalesce(count(m.t) / nullif((SELECT count(*) FROM m x WHERE x.f = f.c), 0), 0)')} AS share
+FROM (VALUES ('JOY'), ('NEUTRAL'), ('RAGE')) f(c)
+CROSS JOIN (VALUES ('JOY'), ('NEUTRAL'), ('RAGE')) t(c) LEFT JOIN m ON m.f = f.c AND m.t = t.c
+GROUP BY f.c, t.c
 """)
 def transition_matrix(spark, sf_dir):
     return op.transition_matrix(a.states(spark, sf_dir))

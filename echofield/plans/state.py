@@ -11,7 +11,7 @@ from echofield.plans.registry import CTES, query, r, sql_uni
 
 # One entity-day as an entity of its own, so that one update covers the whole table.
 def _day():
-    return (F.col("humanId") * 10_000 + F.col("step")).alias("stateId")
+    return F.concat_ws(":", "humanId", "step").alias("stateId")
 
 
 def day_states(spark, sf_dir):
@@ -24,11 +24,11 @@ def day_interactions(spark, sf_dir):
 
 _DELTA = """CASE WHEN reacted THEN CASE emotionType WHEN 'POSITIVE' THEN 0.1e0 WHEN 'NEGATIVE' THEN -0.15e0 ELSE 0.0e0 END
      ELSE CASE emotionType WHEN 'POSITIVE' THEN 0.02e0 WHEN 'NEGATIVE' THEN -0.03e0 ELSE 0.0e0 END END"""
-CTES["deltas"] = f"SELECT *, {_DELTA} AS emotionDelta, humanId * 10000 + step AS stateId FROM interactions"
+CTES["deltas"] = f"SELECT *, {_DELTA} AS emotionDelta, concat_ws(':', humanId, step) AS stateId FROM interactions"
 CTES["totals"] = """
 SELECT stateId, CAST(sum(CAST(emotionDelta AS DECIMAL(18, 6))) AS DOUBLE) AS totalEmotionDelta FROM deltas GROUP BY stateId
 """
-CTES["day_states"] = "SELECT *, humanId * 10000 + step AS stateId FROM states"
+CTES["day_states"] = "SELECT *, concat_ws(':', humanId, step) AS stateId FROM states"
 CTES["pressure"] = """
 SELECT (count(*) FILTER (mood = 'JOY') / count(*)) * 1.0e0 * 0.1e0 AS joy,
        (count(*) FILTER (mood = 'RAGE') / count(*)) * 1.2e0 * 0.1e0 AS rage FROM states
