@@ -22,8 +22,9 @@ from echofield.llm.common import shared_table, small
 
 MARK = "▁"  # stands for the blank before a word
 BYTE_COST = 10.0
-WORD_SHARE = 1e-6
+WORD_SHARE = 5e-7
 PRIME = (1 << 31) - 1
+SPREAD = 4
 
 
 @lru_cache(maxsize=2)
@@ -57,52 +58,60 @@ def word_list(text: Column) -> Column:
     return F.when((text.isNull()) | (text == ""), F.array().cast("array<string>")).otherwise(F.split(text, " ", -1))
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
+def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -> DataFrame:
     """(word, ids, score) of distinct words: the path of the largest total score, by Viterbi.
 
     Of equal paths the one whose last piece is longest wins, at every place.
     A mark inside a word is written in bytes, so that only the blank before a
     word is read as a mark.  Edges stay where the word is: the piece table is
-    broadcast, its size being that of the vocabulary.
+    broadcast, its size being that of the vocabulary, and words that are already
+    partitioned by ``word`` are not shuffled.  ``carry`` names further columns of
+    ``words``; without it repeated words and nulls are dropped.
     """
     spark = words.sparkSession
     pieces = _pieces(model)
     longest = max(len(p) for p, _, _ in pieces)
     floor = min(s for _, _, s in pieces) - BYTE_COST
-    distinct = words.select("word").filter(F.col("word").isNotNull()).distinct().withColumn("_w", F.concat(F.lit(MARK), "word"))
+    kept = ["word", *(carry or [])]
+    rows = words.select(*kept) if carry else words.select("word").filter(F.col("word").isNotNull()).distinct()
+    marked = rows.withColumn("_w", F.concat(F.lit(MARK), "word"))
     place = F.explode(F.sequence(F.lit(1), F.char_length("_w"))).alias("start")
     length = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("_w") - F.col("start") + 1))).alias("len")
-    parts = distinct.select("word", "_w", place).select("word", "start", "_w", length).select(
-        "word", (F.col("start") + F.col("len") - 1).alias("end"), "len", F.substr("_w", "start", "len").alias("part"),
-        F.col("start") == 1,
-    ).toDF("word", "end", "len", "part", "first")
-    inner = F.when(F.col("first"), F.expr("substr(part, 2)")).otherwise(F.col("part"))
+    parts = marked.select(*kept, "_w", place).select(*kept, "start", "_w", length).select(
+        *kept, (F.col("start") + F.col("len") - 1).alias("end"), "len", F.substr("_w", "start", "len").alias("part")
+    )
+    inner = F.when(F.col("end") == F.col("len"), F.expr("substr(part, 2)")).otherwise(F.col("part"))
     table = F.broadcast(piece_table(spark, model))
     edges = parts.join(table, F.col("part") == F.col("piece"), "left").withColumn(
         "id", F.when(~F.contains(inner, F.lit(MARK)), F.col("id"))
     ).filter((F.col("len") == 1) | F.col("id").isNotNull())
-    octets = F.array(*[F.lit(i) for i in _bytes(model)])
-    spelled = F.transform(
-        F.sequence(F.lit(1), F.octet_length("part")),
-        lambda i: F.get(octets, F.conv(F.hex(F.substr(F.col("part").cast("binary"), i, F.lit(1))), 16, 10).cast("int")),
-    )
+    # A step of the path is a piece id, or minus the place of a character that is written in bytes.
     edge = F.struct(
         "end", (-F.col("len")).alias("back"), F.when(F.col("id").isNull(), F.lit(floor)).otherwise(F.col("score")).alias("score"),
-        F.when(F.col("id").isNull(), spelled).otherwise(F.array("id")).alias("ids"),
+        F.coalesce("id", -F.col("end")).alias("step"),
     )
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy(*kept).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     # The state: the place reached, its best path so far, and the best paths to the places before it.
     best = F.expr(f"""aggregate(edges,
-        named_struct('at', 0, 'score', 0D, 'ids', CAST(array() AS ARRAY<INT>),
-                     'past', CAST(array() AS ARRAY<STRUCT<score: DOUBLE, ids: ARRAY<INT>>>)),
+        named_struct('at', 0, 'score', 0D, 'path', CAST(array() AS ARRAY<INT>),
+                     'past', CAST(array() AS ARRAY<STRUCT<score: DOUBLE, path: ARRAY<INT>>>)),
         (s, e) -> transform(array(CASE WHEN e.end > s.at
-                THEN slice(concat(array(named_struct('score', s.score, 'ids', s.ids)), s.past), 1, {longest}) ELSE s.past END),
+                THEN slice(concat(array(named_struct('score', s.score, 'path', s.path)), s.past), 1, {longest}) ELSE s.past END),
             past -> transform(array(past[-e.back - 1]), p -> CASE
                 WHEN e.end > s.at OR p.score + e.score > s.score
-                THEN named_struct('at', e.end, 'score', p.score + e.score, 'ids', concat(p.ids, e.ids), 'past', past)
+                THEN named_struct('at', e.end, 'score', p.score + e.score, 'path', array_append(p.path, e.step), 'past', past)
                 ELSE s END)[0])[0],
-        s -> named_struct('ids', s.ids, 'score', s.score))""")
-    return lattice.select("word", best.alias("b")).select("word", "b.ids", "b.score")
+        s -> named_struct('path', s.path, 'score', s.score))""")
+    octets = F.array(*[F.lit(i) for i in _bytes(model)])
+
+    def written(step: Column) -> Column:
+        char = F.substr(F.concat(F.lit(MARK), "word"), -step, F.lit(1)).cast("binary")
+        return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.get(
+            octets, F.conv(F.hex(F.substr(char, i, F.lit(1))), 16, 10).cast("int")))
+
+    found = lattice.select(*kept, best.alias("b"))
+    ids = F.flatten(F.transform("b.path", lambda x: F.when(x >= 0, F.array(x)).otherwise(written(x))))
+    return found.select(*kept, ids.alias("ids"), "b.score")
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,7 +160,9 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> Dat
         yield from _counted(totals)
 
     partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+    # The tasks have combined already; many small partitions keep the lattices of one in memory.
+    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partial.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(totals: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +182,13 @@ def summarize(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     tasks, the others are joined.
     """
     spark = docs.sparkSession
-    counts = shared_table(count_words(docs, text), "words")
     coded = shared_table(
-        encode_words(counts, model).join(counts, "word").select(
+        encode_words(count_words(docs, text), model, ["n"]).select(
             "word", "n", F.size("ids").cast("long").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(PRIME)).alias("h")
         ),
         "encodings",
     )
-    least = word_share * (counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    least = word_share * (coded.agg(F.sum("n").alias("n")).first()["n"] or 0)
     head = coded.filter(F.col("n") >= least).toArrow()
     columns = [head.column(c).to_pylist() for c in ("word", "pieces", "score", "h")]
     sent = spark.sparkContext.broadcast({w: v for w, *v in zip(*columns)})
@@ -188,47 +198,39 @@ def summarize(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in small(batch, 1):
-                out: list[list] = [[] for _ in range(7)]
-                for body in part.column(1).to_pylist():
+                out: list[list] = [[] for _ in range(8)]
+                for body, owner in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
                     words = pieces = digest = 0
-                    score, rare, times, places = 0.0, [], [], []
+                    score, rare = 0.0, []
                     for word, (n, weight) in _weights(body).items():
                         words += n
                         value = known.get(word)
                         if value is None:
-                            rare.append(word)
-                            times.append(n)
-                            places.append(weight % PRIME)
+                            rare.append((row, None, word, n, weight % PRIME, 0, 0.0, 0))
                         else:
                             pieces += n * value[0]
                             score += n * value[1]
                             digest += weight * value[2]
-                    for column, value in zip(out, (words, pieces, score, digest % PRIME, rare, times, places)):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()),
-                         pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(part)), pa.int64()), part.column(0),
-                     *(pa.array(c, k) for c, k in zip(out, kinds))],
-                    ["row", "key", "n_words", "pieces", "score", "digest", "rare", "times", "places"],
-                )
-                row += len(part)
+                    # The text's own row: its key, and a name that no word has, for it holds a blank.
+                    for values in [*rare, (row, owner, f" {row}", words, 0, pieces, score, digest % PRIME)]:
+                        for column, value in zip(out, values):
+                            column.append(value)
+                    row += 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(out[0], pa.int64()), pa.array(out[1], part.column(0).type), pa.array(out[2], pa.string()),
+                    *(pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(out[3:])),
+                ], ["row", "key", "word", "times", "places", "pieces", "score", "digest"])
 
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     kind = slim.schema["_key"].dataType.simpleString()
-    schema = f"row bigint, key {kind}, n_words bigint, pieces bigint, score double, digest bigint, rare array<string>, " \
-        "times array<bigint>, places array<bigint>"
-    found = shared_table(slim.mapInArrow(look_up, schema), "looked-up")
-    mentions = found.select("row", F.explode(F.arrays_zip("rare", "times", "places")).alias("m")).select(
-        "row", F.col("m.rare").alias("word"), "m.times", "m.places"
-    )
-    rest = mentions.join(coded.filter(F.col("n") < least), "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("pieces")).alias("p"), F.sum(F.col("times") * F.col("score")).alias("s"),
-        F.sum(F.col("places") * F.col("h") % PRIME).alias("d"),
-    )
+    schema = f"row bigint, key {kind}, word string, times bigint, places bigint, pieces bigint, score double, digest bigint"
+    found = slim.mapInArrow(look_up, schema)
+    seldom = coded.filter(F.col("n") < least).select("word", F.col("pieces").alias("p"), F.col("score").alias("s"), "h")
     zero = F.lit(0).cast("long")
-    return found.join(rest, "row", "left").select(
-        F.col("key").alias(key), "n_words", (F.col("pieces") + F.coalesce("p", zero)).alias("n_pieces"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
-        ((F.col("digest") + F.coalesce("d", zero)) % PRIME).alias("digest"),
-    )
+    own = F.col("word").startswith(" ")
+    return found.join(seldom, "word", "left").groupBy("row").agg(
+        F.max("key").alias(key), F.sum(F.when(own, F.col("times"))).alias("n_words"),
+        F.sum(F.when(own, F.col("pieces")).otherwise(F.col("times") * F.coalesce("p", zero))).alias("n_pieces"),
+        F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.coalesce("s", F.lit(0.0)))).alias("score"),
+        F.sum(F.when(own, F.col("digest")).otherwise(F.col("places") * F.coalesce("h", zero) % PRIME)).alias("d"),
+    ).select(key, "n_words", "n_pieces", "score", (F.col("d") % PRIME).alias("digest"))
