@@ -50,7 +50,10 @@ def stream_fold(
     ``counts`` is the stream of the table that ``stream_step_counts`` writes
     (Spark allows no grouped state right after a streaming aggregate).  State
     is the last step and level of the entity; idle steps are caught up in
-    closed form.  The result equals the batch fold over the same steps.
+    closed form.  The result equals the batch fold over the same steps, however
+    they are dealt to micro-batches.  Steps of an entity have to arrive in order
+    from one micro-batch to the next: what has been written cannot be taken
+    back, so a step at or before the last one is refused with an error.
     """
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, level = state.get if state.exists else (-1, start)
@@ -58,6 +61,8 @@ def stream_fold(
         pdf = pd.concat(list(parts)).sort_values("step")
         levels = []
         for s, n in zip(pdf["step"], pdf["n"]):
+            if int(s) <= at:
+                raise ValueError(f"step {s} of {k[0]} arrived after step {at}")
             level = _advance(level, int(s) - at - 1, int(n), accumulation, recovery)
             at = int(s)
             levels.append(level)

@@ -8,9 +8,17 @@ from pyspark.sql import types as T
 from echofield.session import scratch_path
 
 
-def parquet_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; ``pattern`` selects file names."""
+def parquet_stream(
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """Parquet files of a folder as a stream, oldest first.
+
+    ``pattern`` selects file names; ``max_files`` bounds the files, and so the
+    rows held at once, of a micro-batch.
+    """
     reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(folder)

@@ -210,6 +210,27 @@ def test_generated_graphs(spark):
     assert one(graph.degree_check(lattice, 6.0, 100)).degree_ok
 
 
+@pytest.mark.parametrize("first,step", [(0, 10), (1, 1), (-7, 3)])
+def test_graphs_on_any_ids(spark, first, step):
+    ids = [first + step * i for i in range(60)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "name long")
+    lattice = edges.ring_lattice_edges(nodes, 6, "name")
+    grown = edges.preferential_edges(nodes, 5, "name")
+    for g in (lattice, grown, edges.random_edges(nodes, 6, "name"), edges.rewire_edges(lattice, 0.4, nodes=nodes, key="name")):
+        ends = {x for r in g.collect() for x in (r.source, r.target)}
+        assert ends <= set(ids) and len(ends) > 50
+    assert {r["count"] for r in lattice.groupBy("source").count().collect()} == {6}
+    # 6 nodes form a clique of 15 pairs, each of the other 54 joins exactly 5.
+    assert grown.count() == 2 * (15 + 54 * 5) == grown.distinct().count()
+
+
+def test_dense_ids_and_size_are_checked(spark):
+    for call in (lambda: edges.random_edges(spark.range(1, 20), 3, dense=True).collect(),
+                 lambda: edges.ring_lattice_edges(spark.range(4), 8).collect()):
+        with pytest.raises(Exception, match="0..n-1|needs 9 nodes"):
+            call()
+
+
 def test_random_edges_hit_the_expected_number(spark):
     n, k = 400, 10.0
     m = edges.random_edges(spark.range(n), k).count() / 2
@@ -426,7 +447,8 @@ def test_transition_matrix_rows_sum_to_one(spark):
     df = spark.createDataFrame([(1, 0, "JOY"), (1, 1, "RAGE"), (1, 2, "RAGE"), (2, 0, "JOY"), (2, 5, "JOY")], "humanId long, step long, mood string")
     got = {(r.from_class, r.to_class): r.share for r in metrics.transition_matrix(df).collect()}
     assert got == {("JOY", "JOY"): 0.5, ("JOY", "NEUTRAL"): 0.0, ("JOY", "RAGE"): 0.5,
-                   ("RAGE", "JOY"): 0.0, ("RAGE", "NEUTRAL"): 0.0, ("RAGE", "RAGE"): 1.0}
+                   ("RAGE", "JOY"): 0.0, ("RAGE", "NEUTRAL"): 0.0, ("RAGE", "RAGE"): 1.0,
+                   ("NEUTRAL", "JOY"): 0.0, ("NEUTRAL", "NEUTRAL"): 0.0, ("NEUTRAL", "RAGE"): 0.0}
 
 
 # --- bandit ---
@@ -460,6 +482,20 @@ def test_ks_matches_brute_force(spark):
     assert got.p_value == pytest.approx(2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, 60)))
 
 
+@pytest.mark.parametrize("a,b", [(6.0, 4.0), (300.0, 700.0), (400_000.0, 600_000.0), (1.0, 1.0)])
+def test_beta_draws_at_all_sizes(spark, a, b):
+    n = 3000
+    arms = spark.range(n).select(F.col("id").alias("contentId"), F.lit(a - 1).alias("successes"), F.lit(b - 1).alias("failures"))
+    got = sorted(r.draw for r in bandit.beta_draws(arms).collect())
+    mean, sd = a / (a + b), math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+    assert abs(sum(got) / n - mean) < 4 * sd / math.sqrt(n)
+    assert abs(sum((x - mean) ** 2 for x in got) / n / sd**2 - 1) < 0.15
+    import numpy as np
+    other = np.sort(np.random.default_rng(1).beta(a, b, 20_000))
+    gap = np.abs(np.searchsorted(other, got) / len(other) - np.arange(n) / n).max()
+    assert gap < 1.63 * math.sqrt(1 / n + 1 / len(other))
+
+
 def test_beta_moments_agree_with_exact_draws(spark):
     arms = spark.createDataFrame([(1, 92.0, 15.0), (2, 35.0, 80.0), (3, 8.0, 10.0)], "contentId long, successes double, failures double")
     assert one(bandit.selection_agreement(arms, 300, mode="beta_moments")).agreement > 0.9
@@ -467,10 +503,44 @@ def test_beta_moments_agree_with_exact_draws(spark):
 
 # --- statistics ---
 
+@pytest.mark.parametrize("n", [10, 1e3, 1e6, 1e9, 1e11, 1e12, 1e13])
+def test_tails_keep_their_digits(n):
+    from echofield.functions.special import _betainc
+
+    def f_tail(f, d1, d2):
+        return _betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
+
+    for f in (0.1, 1.0, 2.0, 30.0):
+        assert f_tail(f, 2, n) == pytest.approx(math.exp(-n / 2 * math.log1p(2 * f / n)), rel=1e-9)
+        # Two more degrees of freedom, in closed form.
+        z = 4 * f / n
+        exact = math.exp(-n / 2 * math.log1p(z)) * (1 + n / 2 * z / (1 + z))
+        assert f_tail(f, 4, n) == pytest.approx(exact, rel=1e-9)
+
+
+def test_quantile_chunks_hold_few_rows_per_task(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).cast("double").alias("x"))
+    xs = sorted(i * 7919 % 60_013 for i in range(60_000))
+    got = one(ranking.quantiles(df, "x", [0.01, 0.5, 0.95], kind="rank"))
+    assert (got.q0, got.q1, got.q2) == (xs[600], xs[30_000], xs[57_000])
+    plan = ranking.quantiles(df, "x", [0.5])._jdf.queryExecution().executedPlan().toString().split("\n")
+    single = [plan[i + 1] for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    # Only what has been summed up meets in one task: sketches, chunk sums and the picks.
+    assert single and all("Aggregate" in line for line in single)
+
+
+def test_hot_keys_follow_the_cluster(spark):
+    big = spark.range(100_000).select(F.when(F.col("id") % 1000 < 50, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
+    hot = hot_keys(big, "k").collect()
+    assert [(r.k, r["_salts"]) for r in hot] == [(0, 2)]
+    small = spark.range(0, 100_000, 50).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    assert salted_join(big, small, "k").count() == big.join(small, "k").count()
+
+
 def test_tail_probabilities():
     # Known quantiles: t(10) at 2.228 and F(2, 10) at 4.103 both leave 5%.
-    assert special._betainc(5, 0.5, 10 / (10 + 2.228139**2)) == pytest.approx(0.05, abs=1e-6)
-    assert special._betainc(5, 1, 10 / (10 + 2 * 4.102821)) == pytest.approx(0.05, abs=1e-6)
+    assert special._betainc(5, 0.5, 10 / (10 + 2.228139**2), 2.228139**2 / (10 + 2.228139**2)) == pytest.approx(0.05, abs=1e-6)
+    assert special._betainc(5, 1, 10 / (10 + 2 * 4.102821), 8.205642 / (10 + 8.205642)) == pytest.approx(0.05, abs=1e-6)
 
 
 def test_anova_of_two_groups_is_the_squared_t(spark):

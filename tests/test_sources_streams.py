@@ -39,6 +39,13 @@ def test_steps_from_paths(spark, tmp_path):
     assert sorted(r.step for r in df.collect()) == [3, 12]
 
 
+def test_steps_from_a_partitioned_table(spark, tmp_path):
+    path = str(tmp_path / "state")
+    snap.write_snapshot(states(spark, *[(1, s, "JOY") for s in [*range(40), 12_000]]), path)
+    df = snap.read_snapshots(spark, f"{path}/step=*", pattern=snap.STEP_FOLDER)
+    assert sorted(r.step for r in df.collect()) == [*range(40), 12_000]
+
+
 def test_read_or_default(spark, tmp_path):
     empty = snap.read_or_default(spark, str(tmp_path / "none"), S.INTERACTIONS)
     assert empty.count() == 0 and empty.schema == S.INTERACTIONS
@@ -107,3 +114,28 @@ def test_streams_equal_batch(spark, tmp_path, parts):
     got = {(r.humanId, r.step): (r.n, round(r.fatigue, 9)) for r in spark.read.parquet(str(tmp_path / "f")).collect()}
     twin = upkeep.fold_by_step(batch, start=0.5, recovery=0.1, first_step=0).filter(F.col("step") < closed)
     assert got == {(r.humanId, r.step): (r.n, round(r.fatigue, 9)) for r in twin.collect()}
+
+
+def test_fold_over_many_micro_batches(spark, tmp_path):
+    rows = [(who, step, (who * 7 + step * 3) % 4) for step in range(0, 21) for who in range(5) if (who + step) % 3]
+    schema = "humanId long, step long, n long"
+    for lo in range(0, 21, 3):
+        part = [r for r in rows if lo <= r[1] < lo + 3]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+    got = {}
+    for name, files in (("one", None), ("seven", 1)):
+        stream = parquet_stream(spark, str(tmp_path / "c"), spark.createDataFrame([], schema).schema, max_files=files)
+        drain(stream_fold(stream, start=0.5), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        # A second run picks up from the checkpoint and finds nothing new.
+        drain(stream_fold(stream, start=0.5), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        got[name] = sorted((r.humanId, r.step, r.n, round(r.fatigue, 9)) for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert got["one"] == got["seven"] and len(got["one"]) == len(rows)
+
+
+def test_a_late_step_is_refused(spark, tmp_path):
+    schema = "humanId long, step long, n long"
+    for step in (5, 1):
+        spark.createDataFrame([(1, step, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+    stream = parquet_stream(spark, str(tmp_path / "c"), spark.createDataFrame([], schema).schema, max_files=1)
+    with pytest.raises(Exception, match="arrived after step 5"):
+        drain(stream_fold(stream), str(tmp_path / "f"), str(tmp_path / "fc"))
