@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echofield.functions.columns import gauss, require, total, uni
 from echofield.functions.ranking import chunked
+from echofield.functions.skew import fanned_join
 from echofield.functions.special import kolmogorov_tail
 
 GAMMA_ROUNDS = 32  # a round is rejected with a chance below 5%, so all of them with one below 1e-41
@@ -110,9 +111,9 @@ def score_pairs(pairs: DataFrame, item_scores: DataFrame) -> DataFrame:
     The score does not depend on the person, so the full person-by-item matrix
     is never written out: consumers need it only for their candidate pairs.
     """
-    return pairs.select("humanId", "contentId").join(
-        item_scores.select("contentId", "emotionType", "score"), "contentId"
-    ).select("humanId", "contentId", "emotionType", "score")
+    scores = item_scores.select("contentId", "emotionType", "score")
+    joined = fanned_join(pairs.select("humanId", "contentId"), scores, "contentId", "humanId")
+    return joined.select("humanId", "contentId", "emotionType", "score")
 
 
 def top_k_items(scores: DataFrame, k: int) -> DataFrame:

@@ -167,13 +167,17 @@ def sobol_confidence(
     wide = wide.withColumn("_u", uni(seed, "sobol", key, "_rep"))
     wide = wide.withColumn("_w", poisson_unit(F.col("_u")))
     w = F.col("_w")
-    out = None
-    for part, name in ((_first, "S1_conf"), (_total, "ST_conf")):
-        reps = wide.groupBy("_rep").agg(
-            _variance(w).alias("_v"), *[part(i, w).alias(f"_{i}") for i in range(len(names))]
-        )
-        side = _unpivot(reps, names, ["_rep"]).groupBy("parameter").agg(
-            (F.lit(Z95) * F.stddev_samp("_x")).alias(name)
-        )
-        out = side if out is None else out.join(side, "parameter")
-    return out
+    k = range(len(names))
+    reps = wide.groupBy("_rep").agg(
+        _variance(w).alias("_v"), *[_first(i, w).alias(f"_s{i}") for i in k], *[_total(i, w).alias(f"_t{i}") for i in k]
+    )
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("parameter"), F.col(f"_s{i}").alias("s"), F.col(f"_t{i}").alias("t")) for i, n in enumerate(names)
+    ]))
+
+    def half_width(part: str) -> Column:
+        return F.lit(Z95) * F.stddev_samp(F.try_divide(F.col(part), F.col("_v")))
+
+    return reps.select("_v", cells.alias("_c")).select("_v", "_c.*").groupBy("parameter").agg(
+        half_width("s").alias("S1_conf"), half_width("t").alias("ST_conf")
+    )

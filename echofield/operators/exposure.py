@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echofield import schemas as S
 from echofield.functions.columns import poisson_draws, total, uni
 from echofield.functions.ranking import dense_index
+from echofield.functions.skew import fanned_join
 from echofield.operators.sampling import bernoulli_filter
 
 TRAITS = ("attentionSpan", "addictionCoeff", "mood")
@@ -29,9 +30,8 @@ def pair_scores(
     pairs: DataFrame, people: DataFrame, items: DataFrame, rate: float = 0.1
 ) -> DataFrame:
     """attention x addiction x visibility x rate for each given (humanId, contentId) pair."""
-    joined = pairs.select("humanId", "contentId").join(
-        people.select("humanId", *TRAITS), "humanId"
-    ).join(items.select("contentId", *ITEM_COLUMNS), "contentId")
+    traits = pairs.select("humanId", "contentId").join(people.select("humanId", *TRAITS), "humanId")
+    joined = fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId")
     return joined.withColumn(
         "exposureProb",
         F.col("attentionSpan") * F.col("addictionCoeff") * F.col("visibility") * F.lit(rate),
@@ -98,22 +98,15 @@ def _as_exposures(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def neighbor_candidates(people: DataFrame, activity: DataFrame, items: DataFrame) -> DataFrame:
-    """People with the items their neighbours touched; join sides are left to the optimizer."""
-    return (
-        activity.join(people.select("humanId", *TRAITS), "humanId")
-        .join(items.select("contentId", *ITEM_COLUMNS), "contentId")
-        .select(*CANDIDATE)
-    )
+    """People with the items their neighbours touched; the rows of a popular item meet it in many tasks."""
+    traits = activity.join(people.select("humanId", *TRAITS), "humanId")
+    return fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId").select(*CANDIDATE)
 
 
 def _fill_pairs(pairs: DataFrame, people: DataFrame, items: DataFrame) -> DataFrame:
-    return (
-        pairs.select("humanId", "contentId")
-        .join(people.select("humanId", *TRAITS), "humanId")
-        .join(items.select("contentId", *ITEM_COLUMNS), "contentId")
-        .withColumn("neighbor_count", F.lit(0).cast("long"))
-        .select(*CANDIDATE)
-    )
+    traits = pairs.select("humanId", "contentId").join(people.select("humanId", *TRAITS), "humanId")
+    filled = fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId")
+    return filled.withColumn("neighbor_count", F.lit(0).cast("long")).select(*CANDIDATE)
 
 
 def explore_mix(
@@ -159,7 +152,8 @@ def blend_scores(
     if scores is None:
         return df.withColumn("exposureProb", traits * proof)
     keys = [k for k in ("humanId", "contentId") if k in scores.columns]
-    joined = df.join(scores.select(*keys, "score"), keys, "left")
+    scored = scores.select(*keys, "score")
+    joined = fanned_join(df, scored, "contentId", "humanId", "left") if keys == ["contentId"] else df.join(scored, keys, "left")
     value = F.coalesce(F.col("score"), F.lit(0.0))
     return joined.withColumn("recommender_score", value).drop("score").withColumn(
         "exposureProb", traits * (proof * F.lit(0.5) + F.col("recommender_score") * F.lit(0.5))

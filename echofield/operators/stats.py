@@ -37,16 +37,13 @@ def anova_oneway(df: DataFrame, by: str, col: str) -> DataFrame:
     m = _moments(df, [by], col).filter("n > 0")
     n, mean = F.col("n"), F.col("mean")
     # Group means are compared with their own average to keep the sums of squares accurate.
-    sums = m.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), (F.sum(n * mean) / F.sum("n")).alias("grand"),
+    grand = total(m, F.sum(n * mean) / F.sum("n"))
+    off = mean - F.col("_grand")
+    sums = m.withColumn("_grand", grand).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(n * off * off).alias("ssb"),
         F.sum((n - 1) * F.coalesce("var", F.lit(0.0))).alias("ssw"),
-        F.collect_list(F.struct(n.cast("double").alias("n"), mean.alias("mean"))).alias("_groups"),
     )
-    ssb = F.aggregate(
-        "_groups", F.lit(0.0),
-        lambda acc, g: acc + g["n"] * (g["mean"] - F.col("grand")) * (g["mean"] - F.col("grand")),
-    )
-    out = sums.withColumn("ssb", ssb).withColumns({
+    out = sums.withColumns({
         "df1": F.col("k") - 1, "df2": F.col("N") - F.col("k"),
     }).withColumn("f_stat", F.try_divide(
         F.col("ssb") * F.col("df2"), F.col("ssw") * F.col("df1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import clip, require, total, uni
+from echofield.functions.skew import fanned_join
 
 LOW_ATTENTION = 0.5  # fixed value: attention recovers below this
 
@@ -77,12 +78,18 @@ def fold_by_step(
     origin = total(events, F.min(F.col(step).cast("long"))) if first_step is None else F.lit(first_step)
     counts = counts.withColumn("_t", F.col(step) - origin)
     if rule == "attention":
-        # Attention depends on elapsed steps only, so each row folds on its own.
+        # Attention depends on elapsed steps only: each distinct step is folded once, in
+        # spans of ``block`` steps, and the rows look their level up.
+        zero, t = F.lit(0).cast("long"), F.col("_t")
         level = F.aggregate(
-            F.sequence(F.lit(0).cast("long"), F.col("_t")), F.lit(float(start)),
-            lambda x, _: decayed(x, rate, recovery),
+            F.sequence(zero, F.floor(t / F.lit(block))), F.lit(float(start)),
+            lambda x, span: F.aggregate(
+                F.sequence(span * block, F.least(t, span * block + (block - 1))), x,
+                lambda y, _: decayed(y, rate, recovery),
+            ),
         )
-        return counts.select(key, step, "n", level.alias("attentionSpan"))
+        levels = counts.select("_t").distinct().withColumn("attentionSpan", level)
+        return fanned_join(counts, levels, "_t", key).select(key, step, "n", "attentionSpan")
     return _fold_fatigue(counts, key, step, start, accumulation, recovery, block)
 
 
