@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+CUTS = 256
 
 
 def beside(
@@ -22,26 +23,49 @@ def beside(
     columns: Sequence[str],
     side: str = "previous",
     bucket: Column | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Add ``<side>_<column>`` from the key's previous or next row in ``order``; null at the end.
 
     ``bucket`` is a coarse form of the first order column (default: blocks of
     BLOCK steps of it).  Rows are looked at within (key, bucket).  The first
     and last rows of all buckets, two per bucket at most, are then looked at
-    per key, which joins each bucket to its neighbour.
+    per key, which joins each bucket to its neighbour.  A bucket of a key with
+    more than ``most`` rows is cut in up to CUTS pieces at quantiles of the first
+    order column, a number or a time; rows that tie in it stay together.
     """
     near, far = (F.lag, F.lead) if side == "previous" else (F.lead, F.lag)
     cols, order = list(columns), list(order)
     bucket = F.floor(F.col(order[0]) / F.lit(BLOCK)) if bucket is None else bucket
-    inside = Window.partitionBy(key, "_b").orderBy(*order)
-    across = Window.partitionBy(key).orderBy("_b", *order)
-    rows = df.withColumn("_b", bucket).withColumns({
+    inside = Window.partitionBy(key, "_b", "_piece").orderBy(*order)
+    across = Window.partitionBy(key).orderBy("_b", "_piece", *order)
+    cut = _pieces(df.withColumn("_b", bucket), key, order[0], most)
+    rows = cut.withColumns({
         **{f"{side}_{c}": near(c).over(inside) for c in cols},
         "_open": near(F.lit(True)).over(inside).isNull(), "_edge": far(F.lit(True)).over(inside).isNull(),
     })
     ends = rows.filter(F.col("_open") | F.col("_edge"))
     carried = ends.withColumns({f"{side}_{c}": near(c).over(across) for c in cols}).filter("_open")
-    return rows.filter(~F.col("_open")).unionByName(carried).drop("_b", "_open", "_edge")
+    return rows.filter(~F.col("_open")).unionByName(carried).drop("_b", "_piece", "_open", "_edge")
+
+
+def _pieces(df: DataFrame, key: str, by: str, most: int | None) -> DataFrame:
+    """Add ``_piece``: 0, or the place among the quantiles of ``by`` in a (key, _b) of more than ``most`` rows."""
+    if most is None:
+        return df.withColumn("_piece", F.lit(0))
+    x = F.col(by)
+    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    large = df.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    # Quantiles are taken of the large buckets alone; where there are none this costs one count.
+    inside = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))
+    large = df.join(large, inside, "left_semi").groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(
+        F.percentile_approx(x, marks, F.lit(4 * CUTS)).alias("_cuts")
+    )
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))
+    below = F.size(F.filter("_cuts", lambda c: c < x))
+    return df.join(large, same, "left").withColumn(
+        "_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
+    ).drop("_k", "_c", "_cuts")
 
 
 def numbered(df: DataFrame, key: str, step: str, block: int = BLOCK) -> DataFrame:

@@ -149,6 +149,18 @@ def test_beside_and_numbered_across_blocks(spark, block):
             assert place[k, s] == (i + 1, 15)
 
 
+def test_one_bucket_with_all_rows_is_cut(spark):
+    from echofield.functions.sequence import _pieces
+
+    df = spark.range(20_000).select(F.lit(1).alias("g"), F.lit(0).alias("day"), F.col("id").alias("t"), (F.col("id") * 7 % 31).alias("who"))
+    whole = edges.edges_from_sequence(df, "g", "who", ["t"], "day", most=1 << 30)
+    cut = edges.edges_from_sequence(df, "g", "who", ["t"], "day", most=1000)
+    assert rows(whole, "source", "target", "weight") == rows(cut, "source", "target", "weight")
+    sizes = [r["count"] for r in _pieces(df.withColumn("_b", F.col("day")), "g", "t", 1000).groupBy("_piece").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 2 * 20_000 / len(sizes)
+    assert _pieces(df.withColumn("_b", F.col("day")), "g", "t", 1 << 30).select("_piece").distinct().count() == 1
+
+
 def test_salted_join_equals_plain_join(spark):
     big = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200)).alias("k"), "id")
     small = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
