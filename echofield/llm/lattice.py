@@ -10,9 +10,12 @@ decoding gives the text back exactly.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +25,7 @@ from echofield.llm.common import shared_table, small
 
 MARK = "▁"  # stands for the blank before a word
 BYTE_COST = 10.0
-WORD_SHARE = 5e-7
+WORD_SHARE = 3e-7
 PRIME = (1 << 31) - 1
 SPREAD = 4
 
@@ -83,24 +86,29 @@ def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -
     inner = F.when(F.col("end") == F.col("len"), F.expr("substr(part, 2)")).otherwise(F.col("part"))
     table = F.broadcast(piece_table(spark, model))
     edges = parts.join(table, F.col("part") == F.col("piece"), "left").withColumn(
-        "id", F.when(~F.contains(inner, F.lit(MARK)), F.col("id"))
+        "id", F.when(F.col("id").isNotNull() & ~F.contains(inner, F.lit(MARK)), F.col("id"))
     ).filter((F.col("len") == 1) | F.col("id").isNotNull())
     # A step of the path is a piece id, or minus the place of a character that is written in bytes.
     edge = F.struct(
         "end", (-F.col("len")).alias("back"), F.when(F.col("id").isNull(), F.lit(floor)).otherwise(F.col("score")).alias("score"),
         F.coalesce("id", -F.col("end")).alias("step"),
     )
-    lattice = edges.groupBy(*kept).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # The state: the place reached, its best path so far, and the best paths to the places before it.
+    lattice = edges.groupBy(*kept).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # The state: the place reached, its best path so far, and the best paths to the places
+    # before it, nearest first.  The first edge to a new place moves the old best there.
+    def reached(at: str, before: str, past: str) -> str:
+        return (f"named_struct('at', {at}, 'score', {before}.score + e.score, "
+                f"'path', array_append({before}.path, e.step), 'past', {past})")
+
+    moved = f"slice(concat(array(named_struct('score', s.score, 'path', s.path)), s.past), 1, {longest})"
     best = F.expr(f"""aggregate(edges,
         named_struct('at', 0, 'score', 0D, 'path', CAST(array() AS ARRAY<INT>),
                      'past', CAST(array() AS ARRAY<STRUCT<score: DOUBLE, path: ARRAY<INT>>>)),
-        (s, e) -> transform(array(CASE WHEN e.end > s.at
-                THEN slice(concat(array(named_struct('score', s.score, 'path', s.path)), s.past), 1, {longest}) ELSE s.past END),
-            past -> transform(array(past[-e.back - 1]), p -> CASE
-                WHEN e.end > s.at OR p.score + e.score > s.score
-                THEN named_struct('at', e.end, 'score', p.score + e.score, 'path', array_append(p.path, e.step), 'past', past)
-                ELSE s END)[0])[0],
+        (s, e) -> CASE
+            WHEN e.end > s.at AND e.back = -1 THEN {reached('e.end', 's', moved)}
+            WHEN e.end > s.at THEN {reached('e.end', 's.past[-e.back - 2]', moved)}
+            WHEN s.past[-e.back - 1].score + e.score > s.score THEN {reached('s.at', 's.past[-e.back - 1]', 's.past')}
+            ELSE s END,
         s -> named_struct('path', s.path, 'score', s.score))""")
     octets = F.array(*[F.lit(i) for i in _bytes(model)])
 
@@ -136,27 +144,17 @@ def decode(coded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(whole.alias("_t")).select(key, F.expr("substr(_t, 2)").alias("text"))
 
 
-def _weights(text: str) -> dict[str, tuple[int, int]]:
-    """How often each word occurs, and the sum of 2 place + 1 over its places."""
-    found: dict[str, tuple[int, int]] = {}
-    for i, word in enumerate(text.split(" ") if text else ()):
-        n, w = found.get(word, (0, 0))
-        found[word] = n + 1, w + 2 * i + 1
-    return found
-
-
-def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 20) -> DataFrame:
     """(word, n) over all texts, counted in the tasks before anything is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, int] = {}
+        totals: Counter = Counter()
         for batch in batches:
             for part in small(batch, 0):
                 for body in part.column(0).to_pylist():
-                    for word in body.split(" ") if body else ():
-                        totals[word] = totals.get(word, 0) + 1
+                    totals.update(body.split(" ") if body else ())
                 if len(totals) > most:
                     yield from _counted(totals)
-                    totals = {}
+                    totals = Counter()
         yield from _counted(totals)
 
     partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
@@ -165,7 +163,7 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> Dat
     return partial.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(totals: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _counted(totals: Counter) -> Iterator[pa.RecordBatch]:
     words, n = list(totals), list(totals.values())
     for lo in range(0, len(words), 1 << 16):
         part = slice(lo, lo + (1 << 16))
@@ -190,27 +188,29 @@ def summarize(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     )
     least = word_share * (coded.agg(F.sum("n").alias("n")).first()["n"] or 0)
     head = coded.filter(F.col("n") >= least).toArrow()
-    columns = [head.column(c).to_pylist() for c in ("word", "pieces", "score", "h")]
-    sent = spark.sparkContext.broadcast({w: v for w, *v in zip(*columns)})
+    place = {w: i for i, w in enumerate(head.column("word").to_pylist())}
+    # One entry more for the words that are not here.
+    figures = [np.append(head.column(c).to_numpy(), 0) for c in ("pieces", "score", "h")]
+    sent = spark.sparkContext.broadcast((place, figures))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, (piece_counts, scores, hashes) = sent.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in small(batch, 1):
                 out: list[list] = [[] for _ in range(8)]
                 for body, owner in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
-                    words = pieces = digest = 0
-                    score, rare = 0.0, []
-                    for word, (n, weight) in _weights(body).items():
-                        words += n
-                        value = known.get(word)
-                        if value is None:
-                            rare.append((row, None, word, n, weight % PRIME, 0, 0.0, 0))
-                        else:
-                            pieces += n * value[0]
-                            score += n * value[1]
-                            digest += weight * value[2]
+                    listed = body.split(" ") if body else []
+                    words = len(listed)
+                    at = np.fromiter(map(known.get, listed, repeat(-1)), np.int64, words)
+                    weights = (2 * np.arange(words) + 1) % PRIME
+                    pieces, score = int(piece_counts[at].sum()), float(scores[at].sum())
+                    digest = int((weights * hashes[at] % PRIME).sum())
+                    found: dict[str, tuple[int, int]] = {}
+                    for i in np.flatnonzero(at < 0).tolist():
+                        n, w = found.get(listed[i], (0, 0))
+                        found[listed[i]] = n + 1, w + 2 * i + 1
+                    rare = [(row, None, word, n, w % PRIME, 0, 0.0, 0) for word, (n, w) in found.items()]
                     # The text's own row: its key, and a name that no word has, for it holds a blank.
                     for values in [*rare, (row, owner, f" {row}", words, 0, pieces, score, digest % PRIME)]:
                         for column, value in zip(out, values):
