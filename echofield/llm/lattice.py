@@ -25,7 +25,7 @@ from echofield.llm.common import shared_table, small
 
 MARK = "▁"  # stands for the blank before a word
 BYTE_COST = 10.0
-WORD_SHARE = 3e-7
+WORD_SHARE = 5e-7
 PRIME = (1 << 31) - 1
 SPREAD = 4
 
@@ -144,7 +144,7 @@ def decode(coded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(whole.alias("_t")).select(key, F.expr("substr(_t, 2)").alias("text"))
 
 
-def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 20) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> DataFrame:
     """(word, n) over all texts, counted in the tasks before anything is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
