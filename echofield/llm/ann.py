@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by inner product with a forest of projection trees.
 
-Every vector is put into one leaf of each tree.  A query walks all trees
-through one priority queue: the most promising branch of any tree is opened
-next, until enough leaves are found.  All vectors in those leaves are scored
-exactly.  Vectors that occur more than once are indexed once.
+Every vector is put into one leaf of each tree.  A query walks all trees in
+one order of priority: the most promising leaf of any tree is visited next,
+until enough leaves are found.  How many are enough is measured on the table
+itself.  All vectors in those leaves are scored exactly.  Vectors that occur
+more than once are indexed once.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -22,9 +22,12 @@ from echofield.llm.common import shared_table
 TREES = 16
 LEAF = 256
 VISITS = 192
+RECALL = 0.95
+PROBES = 192
 SAMPLE = 65_536
 LEAST_SAMPLED = 4
 CHUNK = 256
+_ROUTED = 1 << 15
 
 
 class Forest:
@@ -73,24 +76,25 @@ class Forest:
             out[:, tree] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, query: np.ndarray, visits: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs to visit, most promising first, over all trees together."""
+    def order(self, query: np.ndarray) -> np.ndarray:
+        """All leaves, numbered tree by tree, most promising first.
+
+        A leaf is as far as the farthest hyperplane that the query would have to cross on the way to it.
+        """
         norm = np.linalg.norm(query)
         point = np.append(query * (self.top / norm if norm > 0 else 0.0), 0.0)
         margins = self.normals @ point - self.cuts
-        inner = (1 << self.depth) - 1
-        queue: list[tuple[float, int, int]] = [(0.0, tree, 0) for tree in range(self.trees)]
-        found: list[tuple[int, int]] = []
-        while queue and len(found) < visits:
-            worst, tree, node = heapq.heappop(queue)
-            row = margins[tree]
-            while node < inner:
-                side = row[node]
-                near, far = (2 * node + 2, 2 * node + 1) if side > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(worst, abs(float(side))), tree, far))
-                node = near
-            found.append((tree, node - inner))
-        return found
+        far = np.zeros((self.trees, 1))
+        for level in range(self.depth):
+            side = margins[:, (1 << level) - 1:(2 << level) - 1]
+            crossed = np.maximum(far, np.abs(side))
+            both = [np.where(side > 0, crossed, far), np.where(side > 0, far, crossed)]
+            far = np.stack(both, axis=2).reshape(self.trees, -1)
+        return np.argsort(far.reshape(-1), kind="stable")
+
+    def search(self, query: np.ndarray, visits: int) -> list[tuple[int, int]]:
+        """The (tree, leaf) pairs to visit, most promising first, over all trees together."""
+        return [divmod(x, 1 << self.depth) for x in self.order(query)[:visits].tolist()]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -121,8 +125,56 @@ def _chunks(rows: DataFrame) -> DataFrame:
     )
 
 
+def visits_for(index: DataFrame, sought: DataFrame, sent, k: int, recall: float) -> int:
+    """Leaves to visit so that ``recall`` of the ``k`` nearest vectors are among theirs.
+
+    Measured on at most PROBES queries, chosen by hash: their exact neighbours
+    are looked up in the whole table, and each is found as soon as one of its
+    leaves is visited.
+    """
+    some = sought.orderBy(F.xxhash64("id"), "id").limit(PROBES).toArrow()
+    if not len(some):
+        return 0
+    own, probes = some.column("id").to_numpy(), _matrix(some.column("vec").combine_chunks())
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, rows = np.zeros((len(probes), 0)), np.zeros((len(probes), 0, probes.shape[1]))
+        for batch in batches:
+            if not len(batch):
+                continue
+            mat = _matrix(batch.column(1))
+            here = np.where(own[:, None] == batch.column(0).to_numpy()[None, :], -np.inf, probes @ mat.T)
+            m = min(k, len(batch))
+            best = np.argpartition(-here, m - 1, axis=1)[:, :m]
+            score = np.concatenate([score, np.take_along_axis(here, best, axis=1)], axis=1)
+            rows = np.concatenate([rows, mat[best]], axis=1)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, rows = np.take_along_axis(score, best, axis=1), np.take_along_axis(rows, best[:, :, None], axis=1)
+        nth, at = np.nonzero(score > -np.inf)
+        if not len(nth):
+            return
+        yield pa.RecordBatch.from_arrays([
+            pa.array(nth, pa.int32()), pa.array(-score[nth, at]), pa.array(list(sent.value.leaves(rows[nth, at]))),
+        ], ["probe", "s", "leaves"])
+
+    near = index.select("id", "vec").mapInArrow(closest, "probe int, s double, leaves array<bigint>")
+    lists = near.groupBy("probe").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("s", "leaves"))), 1, k)["leaves"].alias("leaves")
+    ).collect()
+    forest, needed = sent.value, []
+    for row in lists:
+        order = forest.order(probes[row["probe"]])
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.arange(1, len(order) + 1)
+        places = np.array(row["leaves"], np.int64) + (np.arange(forest.trees) << forest.depth)
+        needed.append(nth[places].min(axis=1))
+    every = np.sort(np.concatenate(needed)) if needed else np.zeros(1, np.int64)
+    return int(every[max(0, math.ceil(recall * len(every)) - 1)])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-            trees: int = TREES, leaf: int = LEAF, visits: int = VISITS, sample: int = SAMPLE) -> DataFrame:
+            trees: int = TREES, leaf: int = LEAF, visits: int = VISITS, sample: int = SAMPLE,
+            recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows found for each query row, by inner product.
 
     ``is_query`` is a condition on the column ``id``.  A query's own id is no
@@ -130,7 +182,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     ``sample`` vectors chosen by hash, and every vector is indexed.  There are
     as many leaves as give ``leaf`` vectors each, but at least LEAST_SAMPLED
     sampled vectors per leaf.  A query scores the vectors of ``visits`` leaves,
-    so its work does not grow with the table; recall is bought with ``visits``.
+    or of as many more as ``recall`` takes on this table (``visits_for``): on
+    clustered vectors few, on vectors without structure a fixed share of all
+    leaves, so that the work of a query grows with the table there.
     An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -155,6 +209,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     most = max(1, len(points) // LEAST_SAMPLED)
     depth = max(0, math.ceil(math.log2(max(1, min(n / leaf, most)))))
     forest = spark.sparkContext.broadcast(Forest(points, depth, top, trees))
+    sought = index.join(wanted.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "vec")
+    if visits < trees << depth:
+        visits = max(visits, visits_for(index, sought, forest, k, recall))
+    each = max(1, _ROUTED // visits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,13 +229,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         for batch in batches:
             if not len(batch):
                 continue
-            visits_of = [forest.value.search(v, visits) for v in _matrix(batch.column(1))]
-            repeat = np.repeat(np.arange(len(batch)), [len(v) for v in visits_of])
-            pairs = np.array([p for v in visits_of for p in v], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1]),
-                batch.column(0).take(pa.array(repeat)), batch.column(1).take(pa.array(repeat)),
-            ], ["tree", "leaf", "id", "vec"])
+            # A query's vector goes along to every leaf it visits, so few queries at a time are written.
+            for part in (batch.slice(lo, each) for lo in range(0, len(batch), each)):
+                pairs = np.concatenate([forest.value.order(v)[:visits] for v in _matrix(part.column(1))])
+                repeat = pa.array(np.repeat(np.arange(len(part)), len(pairs) // len(part)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((pairs >> depth).astype(np.int32)), pa.array(pairs & ((1 << depth) - 1)),
+                    part.column(0).take(repeat), part.column(1).take(repeat),
+                ], ["tree", "leaf", "id", "vec"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +257,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                 ], ["q", "ids", "scores"])
 
     shape = "tree int, leaf bigint, id bigint, vec array<double>"
-    sought = index.join(wanted.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "vec")
     blocks = _chunks(index.select("id", "vec").mapInArrow(place, shape))
     asked = _chunks(sought.repartition("id").mapInArrow(route, shape)).withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"})
     scored = asked.join(blocks, ["tree", "leaf"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from echofield.llm import ann
@@ -64,3 +66,18 @@ def test_one_tree_visits_near_leaves_first():
     forest = ann.Forest(points, 3, 64.0, trees=2)
     own = forest.leaves(points[:1])[0]
     assert len(forest.search(points[0], 99)) == 16 and set(own) <= set(range(8))
+
+
+def test_recall_on_many_vectors_without_structure(spark, tmp_path):
+    n = 200_000
+    x = np.random.default_rng(8).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), f"{tmp_path}/v.parquet", row_group_size=20_000)
+    found = ann.nearest(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("id") % 4000 == 0).toPandas()
+    recall = []
+    for q, g in found.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(set(np.argpartition(-s, 20)[:20]) & set(g["id"])) / 20)
+    assert len(recall) == 50 and np.mean(recall) >= 0.9
