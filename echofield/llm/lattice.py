@@ -5,7 +5,8 @@ to the length of the longest piece, are joined with the piece table; the
 matches are the edges of each word's lattice, and one fold over them
 (``aggregate``) keeps the best path to every place: Viterbi.  A character that
 is no piece is an edge of byte pieces, so every text can be encoded, and
-decoding gives the text back exactly.
+decoding gives the text back exactly.  The ids of a text are its words' ids
+one after another.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +58,6 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(list(_pieces(model)), "piece string, id int, score double")
 
 
-def word_list(text: Column) -> Column:
-    """The words of a text: what stands between blanks.  A null or empty text has none."""
-    return F.when((text.isNull()) | (text == ""), F.array().cast("array<string>")).otherwise(F.split(text, " ", -1))
-
-
 def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -> DataFrame:
     """(word, ids, score) of distinct words: the path of the largest total score, by Viterbi.
 
@@ -123,25 +120,34 @@ def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): the piece ids of each text; a null or empty text has none.  ``key`` must be unique and not null."""
-    rows = docs.select(F.col(key), F.posexplode_outer(word_list(F.col(text))).alias("at", "word"))
-    coded = encode_words(rows, model)
-    parts = rows.join(coded, "word", "left").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("at", "ids")))).alias("p")
-    )
-    return parts.select(key, F.flatten("p.ids").alias("ids"))
+    """(key, ids): the piece ids of each row's text; a null or empty text has none.  Keys may repeat or be null."""
+    return encodings(docs, model, key, text).select(key, "ids")
 
 
 def decode(coded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
-    """(key, text) of ``key`` and ``ids``: the texts that ``encode`` came from."""
-    spark = coded.sparkSession
-    table = [(i, p.replace(MARK, " ").encode()) for p, i, _ in _pieces(model)]
-    table += [(i, bytes([b])) for b, i in enumerate(_bytes(model))]
-    known = F.broadcast(spark.createDataFrame(table, "id int, octets binary"))
-    rows = coded.select(F.col(key), F.posexplode_outer("ids").alias("at", "id")).join(known, "id", "left")
-    joined = F.array_sort(F.collect_list(F.struct("at", F.hex("octets").alias("h"))))
-    whole = F.decode(F.unhex(F.array_join(F.transform(joined, lambda x: x["h"]), "")), "UTF-8")
-    return rows.groupBy(key).agg(whole.alias("_t")).select(key, F.expr("substr(_t, 2)").alias("text"))
+    """(key, text) of ``key`` and ``ids``, row by row: the texts that ``encode`` came from."""
+    return with_text(coded, model).select(key, "text")
+
+
+def with_text(coded: DataFrame, model: str) -> DataFrame:
+    """The rows of ``coded``, with the text that their ``ids`` stand for."""
+    table = {i: p.replace(MARK, " ").encode() for p, i, _ in _pieces(model)}
+    table |= {i: bytes([b]) for b, i in enumerate(_bytes(model))}
+    sent = coded.sparkSession.sparkContext.broadcast(table)
+    names = coded.columns
+    at = names.index("ids")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        octets = sent.value
+        for batch in batches:
+            # The first octet is the blank before the first word.
+            flat = batch.column(at).flatten().to_numpy()
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()])
+            texts = [b"".join(map(octets.__getitem__, flat[lo:hi].tolist()))[1:].decode("utf-8", "replace")
+                     for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+
+    return coded.mapInArrow(read, coded.withColumn("text", F.lit("")).schema)
 
 
 def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> DataFrame:
@@ -170,35 +176,38 @@ def _counted(totals: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.string()), pa.array(n[part], pa.int64())], ["word", "n"])
 
 
-def summarize(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE) -> DataFrame:
-    """key, n_words, n_pieces, score and digest of the encoding of each whole text.
+def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
+              word_share: float = WORD_SHARE) -> DataFrame:
+    """key, n_words, n_pieces, score, digest and ids: the encoding of each whole text.
 
     ``digest`` is the sum over the words, modulo PRIME, of (2 place + 1) times
     the xxhash64 of the word's ids, so it depends on the ids and their order.
     Every distinct word is encoded once, whatever its frequency.  Words of at
     least ``word_share`` of all words (at most 1 / word_share) travel to all
-    tasks, the others are joined.
+    tasks, the others are joined, and every text's ids are put together once
+    its rare words are known.
     """
     spark = docs.sparkSession
     coded = shared_table(
         encode_words(count_words(docs, text), model, ["n"]).select(
-            "word", "n", F.size("ids").cast("long").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(PRIME)).alias("h")
+            "word", "n", "score", "ids"
         ),
         "encodings",
-    )
+    ).withColumns({"pieces": F.size("ids").cast("long"), "h": F.pmod(F.xxhash64("ids"), F.lit(PRIME))})
     least = word_share * (coded.agg(F.sum("n").alias("n")).first()["n"] or 0)
     head = coded.filter(F.col("n") >= least).toArrow()
     place = {w: i for i, w in enumerate(head.column("word").to_pylist())}
     # One entry more for the words that are not here.
     figures = [np.append(head.column(c).to_numpy(), 0) for c in ("pieces", "score", "h")]
     sent = spark.sparkContext.broadcast((place, figures))
+    whole = spark.sparkContext.broadcast({w: _packed(ids) for w, ids in zip(place, head.column("ids").to_pylist())})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (piece_counts, scores, hashes) = sent.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in small(batch, 1):
-                out: list[list] = [[] for _ in range(8)]
+                out: list[list] = [[] for _ in range(9)]
                 for body, owner in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
                     listed = body.split(" ") if body else []
                     words = len(listed)
@@ -210,27 +219,51 @@ def summarize(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
                     for i in np.flatnonzero(at < 0).tolist():
                         n, w = found.get(listed[i], (0, 0))
                         found[listed[i]] = n + 1, w + 2 * i + 1
-                    rare = [(row, None, word, n, w % PRIME, 0, 0.0, 0) for word, (n, w) in found.items()]
+                    rare = [(row, None, word, n, w % PRIME, 0, 0.0, 0, None) for word, (n, w) in found.items()]
                     # The text's own row: its key, and a name that no word has, for it holds a blank.
-                    for values in [*rare, (row, owner, f" {row}", words, 0, pieces, score, digest % PRIME)]:
+                    for values in [*rare, (row, owner, f" {row}", words, 0, pieces, score, digest % PRIME, body)]:
                         for column, value in zip(out, values):
                             column.append(value)
                     row += 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(out[0], pa.int64()), pa.array(out[1], part.column(0).type), pa.array(out[2], pa.string()),
-                    *(pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(out[3:])),
-                ], ["row", "key", "word", "times", "places", "pieces", "score", "digest"])
+                    *(pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(out[3:8])),
+                    pa.array(out[8], pa.string()),
+                ], ["row", "key", "word", "times", "places", "pieces", "score", "digest", "text"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = whole.value
+        for batch in batches:
+            for part in small(batch, 5):
+                bodies, names, lists = (part.column(c).to_pylist() for c in (5, 6, 7))
+                joined = []
+                for body, rare, ids in zip(bodies, names, lists):
+                    own_words = dict(zip(rare, map(_packed, ids)))
+                    words = body.split(" ") if body else ()
+                    joined.append(b"".join([known[w] if w in known else own_words[w] for w in words]))
+                ends = np.cumsum([0, *(len(x) // 4 for x in joined)]).astype(np.int32)
+                every = pa.array(np.frombuffer(b"".join(joined), np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.ListArray.from_arrays(pa.array(ends), every)], final)
 
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     kind = slim.schema["_key"].dataType.simpleString()
-    schema = f"row bigint, key {kind}, word string, times bigint, places bigint, pieces bigint, score double, digest bigint"
+    schema = f"row bigint, key {kind}, word string, times bigint, places bigint, pieces bigint, score double, digest bigint, text string"
     found = slim.mapInArrow(look_up, schema)
-    seldom = coded.filter(F.col("n") < least).select("word", F.col("pieces").alias("p"), F.col("score").alias("s"), "h")
+    seldom = coded.filter(F.col("n") < least).select("word", F.col("pieces").alias("p"), F.col("score").alias("s"), "h", "ids")
     zero = F.lit(0).cast("long")
     own = F.col("word").startswith(" ")
-    return found.join(seldom, "word", "left").groupBy("row").agg(
+    rare = F.collect_list(F.when(~own, F.struct("word", "ids")))
+    texts = found.join(seldom, "word", "left").groupBy("row").agg(
         F.max("key").alias(key), F.sum(F.when(own, F.col("times"))).alias("n_words"),
         F.sum(F.when(own, F.col("pieces")).otherwise(F.col("times") * F.coalesce("p", zero))).alias("n_pieces"),
         F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.coalesce("s", F.lit(0.0)))).alias("score"),
         F.sum(F.when(own, F.col("digest")).otherwise(F.col("places") * F.coalesce("h", zero) % PRIME)).alias("d"),
-    ).select(key, "n_words", "n_pieces", "score", (F.col("d") % PRIME).alias("digest"))
+        F.first("text", ignorenulls=True).alias("text"), rare.alias("rare"),
+    ).select(key, "n_words", "n_pieces", "score", (F.col("d") % PRIME).alias("digest"), "text",
+             F.col("rare.word").alias("names"), F.col("rare.ids").alias("lists"))
+    final = [key, "n_words", "n_pieces", "score", "digest", "ids"]
+    return texts.mapInArrow(put_together, texts.select(*final[:5], F.array().cast("array<int>").alias("ids")).schema)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()

@@ -52,8 +52,11 @@ def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The encoding of every document, in figures: words, pieces, score of the best path, digest of the ids."""
-    return lattice.summarize(table(spark, sf_dir, "documents"), PIECES)
+    """Every document encoded and decoded: its piece ids, their figures, and the digest of the text read back from them."""
+    read = lattice.with_text(lattice.encodings(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return read.select(
+        "doc_id", "n_words", "n_pieces", "score", "digest", "ids", F.sha2("text", 256).alias("decoded_sha256")
+    )
 
 
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

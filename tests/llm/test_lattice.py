@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from echofield.llm import lattice
@@ -61,3 +63,11 @@ def test_query_as_by_plain_viterbi(spark, odd_dir, odd_docs, none_dir):
         want.append((doc is None, doc or 0, len(words), sum(len(known[w][1]) for w in words), digest))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_pieces"], r["digest"]) for r in rows) == sorted(want)
     assert op5_piece_lattice(spark, none_dir).count() == 0
+
+
+def test_query_gives_whole_ids_and_texts(spark, odd_dir, odd_docs):
+    known = {w: viterbi(w)[1] for w in {w for d in odd_docs for w in (d[1] or "").split(" ")}}
+    want = [(d is None, d or 0, [i for w in (t.split(" ") if t else []) for i in known[w]],
+             hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in odd_docs]
+    rows = op5_piece_lattice(spark, odd_dir).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids"], r["decoded_sha256"]) for r in rows) == sorted(want)
