@@ -71,3 +71,13 @@ def test_query_gives_whole_ids_and_texts(spark, odd_dir, odd_docs):
              hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in odd_docs]
     rows = op5_piece_lattice(spark, odd_dir).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids"], r["decoded_sha256"]) for r in rows) == sorted(want)
+
+
+def test_rare_and_frequent_words_and_repeated_keys(spark):
+    texts = ["one two one", " one", "one  three", None, "", "😀 one two"]
+    docs = spark.createDataFrame([(k, t) for t in texts for k in (7, None)], "doc_id int, text string")
+    want = sorted((k is None, t or "") for t in texts for k in (7, None))
+    for share in (0.0, 0.2, 2.0):
+        coded = lattice.encodings(docs, PIECES, word_share=share)
+        assert sorted((r["doc_id"] is None, r["text"]) for r in lattice.with_text(coded, PIECES).collect()) == want
+    assert sorted((r["doc_id"] is None, r["text"]) for r in lattice.decode(lattice.encode(docs, PIECES), PIECES).collect()) == want
