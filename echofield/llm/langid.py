@@ -208,8 +208,11 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     """The rows of ``docs`` whose text has a language; all columns are kept.
 
     Trained on the labelled rows of ``docs``; texts that are null or without
-    a letter go.
+    a letter go.  Where nothing is labelled no language can be told, and every
+    text with a letter stays.
     """
     sample = training_sample(docs, F.lit(True), text=text, lang=lang)
+    if not sample:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
     known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     return predict(known, sample).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from echofield.llm.common import shared_table
 
 from test_simhash import classes, fingerprint
@@ -37,3 +39,10 @@ def test_run_on_a_test_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0
     assert rows.select("sequence_id").distinct().count() == rows.count()
+
+
+def test_texts_without_any_label_stay(spark, odd, odd_docs):
+    kept = corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(None).cast("string")), "")
+    assert kept.columns == odd.columns
+    want = [d[1] for d in odd_docs if d[1] and any(c.isalpha() for c in d[1])]
+    assert sorted(r["text"] for r in kept.collect()) == sorted(want)
