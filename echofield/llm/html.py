@@ -32,6 +32,7 @@ NOISE = frozenset(
     "sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 LABEL = frozenset(["article"])
+WHOLE = frozenset(["html", "body", "main"])
 
 PRIOR = 20.0
 FEATURES = 5000
@@ -51,6 +52,8 @@ def _furniture(name: str, rest: str) -> str | None:
     """The feature of an element that frames its page rather than telling something, if it is one."""
     if name in FURNITURE:
         return name
+    if name in WHOLE:
+        return None
     for m in _NAMED.finditer(rest):
         for part in _PARTS.split(next(v for v in m.groups() if v is not None).lower()):
             if part in NOISE:
@@ -58,40 +61,82 @@ def _furniture(name: str, rest: str) -> str | None:
     return None
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
+def pieces(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, inside): the texts and tags of a page in order.
 
     kind is the place of a text (its nearest block element, or the outermost
     piece of furniture around it) or ``<name`` for a tag; value is the raw text,
     or the tag's name where it parts blocks.  inside says whether a labelling
-    element is open.
+    element is open.  An element that wraps the page's content is no furniture,
+    whatever its class, id or role says.
     """
-    stack: list[tuple[str, str | None]] = []
+    rows = list(_scan(page))
+    wrappers = _wrappers(rows, weights or {})
+    for kind, value, inside, frames in rows:
+        yield _kind(kind, (f for at, f in frames if at not in wrappers)), value, inside
+
+
+def _kind(kind: str, features: Iterator[str]) -> str:
+    return kind if kind.startswith("<") else next(features, kind)
+
+
+def _wrappers(rows: list[tuple], weights: dict[str, float]) -> frozenset[int]:
+    """The elements named like furniture that hold every article and main element, or the whole best run without such names."""
+    if not any(f.startswith(".") for row in rows for _, f in row[3]):
+        return frozenset()
+    parts = [frames for kind, value, _, frames in rows if kind.startswith("<") and frames]
+    scores = []
+    for kind, value, _, frames in rows:
+        kind = _kind(kind, (f for _, f in frames if not f.startswith(".")))
+        scores.append(-TAG_COST if kind.startswith("<") else len(value.split()) * weights.get(kind, _weight(kind)))
+    start, end = _best_run(scores)
+    run = [row[3] for row, score in zip(rows[start:end], scores[start:end]) if score > 0]
+    held = [frozenset.intersection(*map(frozenset, x)) for x in (parts, run) if x]
+    return frozenset(at for x in held for at, f in x if f.startswith("."))
+
+
+def _best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run with the largest total."""
+    best = total = 0.0
+    first = start = end = 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, first = 0.0, i
+        total += score
+        if total > best:
+            best, start, end = total, first, i + 1
+    return start, end
+
+
+def _scan(page: str) -> Iterator[tuple[str, str, bool, tuple[tuple[int, str], ...]]]:
+    """As ``pieces``, with the nearest block element of each text, and (place, feature) of the furniture around it.
+
+    A tag that opens an article or main element has it too, closed by (-1, ""); other tags have none.
+    """
+    stack: list[tuple[str, str | None, int]] = []
     labels, last = 0, 0
 
-    def place() -> str:
-        for name, feature in stack:
-            if feature:
-                return feature
-        for name, _ in reversed(stack):
-            if name not in INLINE:
-                return name
-        return ""
+    def block() -> str:
+        return next((name for name, _, _ in reversed(stack) if name not in INLINE), "")
+
+    def frames() -> tuple[tuple[int, str], ...]:
+        return tuple((at, feature) for _, feature, at in stack if feature)
 
     for m in _TOKEN.finditer(page):
         if m.start() > last:
-            yield place(), page[last:m.start()], labels > 0
+            yield block(), page[last:m.start()], labels > 0, frames()
         last = m.end()
         name = (m["hidden"] or m["name"] or "").lower()
         if not name:
             continue
-        yield f"<{name}", "" if name in INLINE else name, labels > 0
+        opens = (name in LABEL or name == "main") and not m["close"]
+        yield f"<{name}", "" if name in INLINE else name, labels > 0, (*frames(), (-1, "")) if opens else ()
         if m["hidden"] or name in VOID:
             continue
         if m["close"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    labels -= sum(n in LABEL for n, _ in stack[depth:])
+                    labels -= sum(n in LABEL for n, _, _ in stack[depth:])
                     del stack[depth:]
                     break
             continue
@@ -102,10 +147,10 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
                     break
                 if stack[depth][0] not in INLINE and stack[depth][0] != "p":
                     break
-        stack.append((name, _furniture(name, m["rest"] or "")))
+        stack.append((name, _furniture(name, m["rest"] or ""), m.start()))
         labels += name in LABEL
     if last < len(page):
-        yield place(), page[last:], labels > 0
+        yield block(), page[last:], labels > 0, frames()
 
 
 def learn(pages: DataFrame, html: str = "html", features: int = FEATURES) -> dict[str, float]:
@@ -146,20 +191,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     run: list[tuple[str, str, float]] = []
-    for kind, value, _ in pieces(page):
+    for kind, value, _ in pieces(page, weights):
         if kind.startswith("<"):
             run.append((kind, value, -TAG_COST))
         else:
             told = entities.unescape(value)
             run.append((kind, told, len(told.split()) * weights.get(kind, _weight(kind))))
-    best = total = 0.0
-    first = start = end = 0
-    for i, (_, _, score) in enumerate(run):
-        if total <= 0:
-            total, first = 0.0, i
-        total += score
-        if total > best:
-            best, start, end = total, first, i + 1
+    start, end = _best_run([score for _, _, score in run])
     blocks, open_block = [], []
     for kind, value, score in run[start:end]:
         if not kind.startswith("<"):

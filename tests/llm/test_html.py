@@ -52,3 +52,14 @@ def test_query_on_odd_and_empty_tables(spark, odd_dir, none_dir):
     assert op9_main_content(spark, none_dir).count() == 0
     clash = spark.createDataFrame([(1, "x", "<p>a b", "k")], "text int, _p string, html string, kind string")
     assert html.extract(clash.drop("text"), {}).first()["text"] == "a b"
+
+
+def test_wrappers_named_like_furniture():
+    want = html.main_text(PAGE, {})
+    body = PAGE.replace("<body>", "<body class='has-sidebar'>")
+    assert html.main_text(body, {}) == want
+    assert html.main_text(body.replace("<header>", "<div id='share-enabled'><header>").replace("</body>", "</div></body>"), {}) == want
+    parts = "<div class='widget'><article><p>one two three</p></article><div class='comments'>" + "x " * 99 + "</div></div><p>a b c</p>"
+    assert html.main_text(parts, {}) == "one two three"
+    cards = "<p>one two three</p><article>four</article><div class='related'><article>five six</article></div>"
+    assert html.main_text(cards, {}) == "one two three four"
