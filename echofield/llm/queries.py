@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import ann, chat, html, langid, lattice, lm, packing, pii, simhash, spotsigs
+from echofield.llm import ann, chat, html, langid, lattice, lm, packing, pii, simhash, spotsigs, tokencounts
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
@@ -132,7 +132,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is longer than 512 tokens."""
+    counts = tokencounts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op5_piece_lattice,
                                    op6_binary_packing, op7_spot_signatures, op8_reply_trees,
-                                   op9_main_content, op10_simhash_near_dedup)}
+                                   op9_main_content, op10_simhash_near_dedup, op11_token_counts)}
 ORACLES: dict[str, str] = {"op8_reply_trees": SQL_OP8}
