@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import ann, chat, html, langid, lattice, lm, packing, pii, simhash, spotsigs, tokencounts
+from echofield.llm import ann, chat, html, langid, lattice, lm, packing, periodic, pii, simhash, spotsigs, tokencounts
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
@@ -138,7 +138,32 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which get a periodic end first; a null doc_id gets none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumns({"words": F.when(h % 10 == 0, cut), "g": F.floor(h / 10).cast("long")})
+    n, a, g = F.size("words"), F.col("a"), F.col("g")
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    docs = docs.withColumn("p", F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int"))
+    unit = F.slice("words", a + 1, F.col("p"))
+    tail = F.flatten(F.array_repeat(unit, F.ceil((n - a) / F.col("p")).cast("int")))
+    altered = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    found = periodic.periodic_runs(docs.select("doc_id", F.coalesce(altered, "text").alias("text")))
+    line = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    # Runs come by start and period, so among equals the first stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op5_piece_lattice,
                                    op6_binary_packing, op7_spot_signatures, op8_reply_trees,
-                                   op9_main_content, op10_simhash_near_dedup, op11_token_counts)}
+                                   op9_main_content, op10_simhash_near_dedup, op11_token_counts, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op8_reply_trees": SQL_OP8}
