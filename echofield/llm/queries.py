@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofield.llm import ann, chat, html, langid, lattice, lm, packing, periodic, pii, simhash, spotsigs, tokencounts
+from echofield.llm import ann, chat, html, langid, lattice, lm, packing, periodic, pii, repair, simhash, spotsigs, tokencounts
 from echofield.llm.common import fold_of
 
 #: The key of the surrogates in the registered runs; a real run passes its own secret.
@@ -138,6 +138,36 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns with the faults of the contract put in, by a hash of conversation and turn; nulls count as one space."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fault = F.crc32(name.cast("binary")) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.filter(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(copies).alias("copy"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest audited repair of every conversation after damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair.repair(damaged(rows))
+    figures = ["gaps", *repair.COUNTS, "cost"]
+    # One row per conversation comes from each of three tables; a null conv_id is one of them.
+    every = rows.select("conv_id").distinct()
+    for more in (report, repair.digests(repaired)):
+        every = every.unionByName(more, allowMissingColumns=True)
+    return every.groupBy("conv_id").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in figures],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which get a periodic end first; a null doc_id gets none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -165,5 +195,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_projection_forest, op3_surrogate_pii, op4_suffix_tree_lm, op5_piece_lattice,
                                    op6_binary_packing, op7_spot_signatures, op8_reply_trees,
-                                   op9_main_content, op10_simhash_near_dedup, op11_token_counts, op13_periodic_runs)}
+                                   op9_main_content, op10_simhash_near_dedup, op11_token_counts, op12_conversation_repair, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op8_reply_trees": SQL_OP8}
