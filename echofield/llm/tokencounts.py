@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofield.llm.common import small
+from echofield.llm.common import shared_table, small
 from echofield.llm.packing import _encoder, _octets
 
 SHARE = 5e-7
@@ -141,8 +141,10 @@ def frequent_pretokens(docs: DataFrame, vocabulary: str, text: str = "text", sha
             del counts[w]
         yield passed()
 
-    # The row without a word holds the number of all pre-tokens.
-    counted = docs.select(F.col(text)).mapInArrow(count, FREQUENT_SCHEMA).groupBy("word").agg(F.sum("n").alias("n"))
+    # The row without a word holds the number of all pre-tokens; written, so that the texts are read once for both.
+    counted = shared_table(
+        docs.select(F.col(text)).mapInArrow(count, FREQUENT_SCHEMA).groupBy("word").agg(F.sum("n").alias("n")), "pretokens"
+    )
     all_words = counted.filter(F.col("word").isNull()).select("n").scalar()
     return counted.filter(F.col("word").isNotNull() & (F.col("n") >= F.lit(share) * all_words))
 
