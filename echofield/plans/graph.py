@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echofield.functions.columns import total
 from echofield.operators import edges as make
 from echofield.operators import graph as op
+from echofield.operators.shared import edges_from_shared as edges_from_items
 from echofield.plans import adapters as a
 from echofield.plans.registry import CTES, query, r, sql_uni
 
@@ -268,3 +269,23 @@ SELECT humanId, {r('neighbor_valence')} AS neighbor_valence, {r('neighbor_arousa
 """)
 def neighbor_mean(spark, sf_dir):
     return op.neighbor_mean(a.edges(spark, sf_dir), a.people(spark, sf_dir))
+
+
+def _shared(item: str, least: int) -> str:
+    """SQL: both directions of all pairs with ``least`` items in common, by a plain self-join."""
+    return f"""
+WITH sets AS (SELECT DISTINCT humanId AS e, {item} AS i FROM interactions),
+pairs AS (SELECT x.e AS a, y.e AS b, count(*) AS n FROM sets x JOIN sets y ON x.i = y.i AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= {least})
+SELECT source, target, CAST(n AS DOUBLE) AS weight FROM pairs, {_BOTH}
+"""
+
+
+@query("edges_from_shared", _shared("contentId * 1000 + step", 3))
+def edges_from_shared(spark, sf_dir):
+    """Who touched three or more items on the same days."""
+    return edges_from_items(a.interactions(spark, sf_dir), "humanId", ["contentId", "step"], 3)
+
+
+@query("edges_from_shared_items", _shared("contentId", 32))
+def edges_from_shared_items(spark, sf_dir):
+    return edges_from_items(a.interactions(spark, sf_dir), "humanId", "contentId", 32)
