@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -24,17 +27,39 @@ def parquet_stream(
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all available input into a Parquet table, exactly once, and stop."""
+def drain(stream: DataFrame, path: str, checkpoint: str, apart: str | None = None) -> None:
+    """Process all available input into a Parquet table, exactly once, and stop.
+
+    ``apart`` names a column whose values become folders of the table, so that
+    rows marked by it lie in files of their own.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    if apart:
+        writer = writer.partitionBy(apart)
     (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        writer.option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
 
 
-def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state processors with timers need.
+
+    The session's own choice holds if it has made one, and again afterwards.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    if "RocksDB" not in before:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str, apart: str | None = None) -> DataFrame:
     """Drain into a new table below the shared folder and read it back."""
     base = scratch_path(spark, name)
-    drain(stream, f"{base}/out", f"{base}/checkpoint")
+    drain(stream, f"{base}/out", f"{base}/checkpoint", apart)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

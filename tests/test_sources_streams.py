@@ -11,9 +11,10 @@ from echofield import schemas as S
 from echofield.operators import metrics, upkeep
 from echofield.sources import experiments as ex
 from echofield.sources import snapshots as snap
+from echofield.streaming.events import combined, stream_fold_events
 from echofield.streaming.fold import stream_fold, stream_step_counts
 from echofield.streaming.metrics import stream_step_metrics
-from echofield.streaming.run import drain, parquet_stream
+from echofield.streaming.run import drain, parquet_stream, rocksdb_state
 
 
 def states(spark, *data):
@@ -139,3 +140,68 @@ def test_a_late_step_is_refused(spark, tmp_path):
     stream = parquet_stream(spark, str(tmp_path / "c"), spark.createDataFrame([], schema).schema, max_files=1)
     with pytest.raises(Exception, match="arrived after step 5"):
         drain(stream_fold(stream), str(tmp_path / "f"), str(tmp_path / "fc"))
+
+
+EVENTS = "humanId long, sec long, reacted boolean"
+DAY = 86_400
+FOLDED = "humanId long, step long, n long, fatigue double, late boolean"
+
+
+def write_events(spark, folder, rows):
+    df = spark.createDataFrame(rows, EVENTS).select("humanId", F.timestamp_seconds(F.col("sec") + 1_704_067_200).alias("ts"), "reacted")
+    df.coalesce(1).write.mode("append").parquet(folder)
+    return df.schema
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_fold_of_events_equals_batch(spark, tmp_path, parts):
+    batch = event_files(spark, str(tmp_path / "in"), parts)
+    stream = parquet_stream(spark, str(tmp_path / "in"), batch.drop("step").schema, max_files=1)
+    closed = batch.agg(F.floor((F.unix_seconds(F.max("ts")) - 3600 - 1_704_067_200) / DAY)).first()[0]
+    with rocksdb_state(spark):
+        drain(stream_fold_events(stream, "2024-01-01 00:00:00", start=0.5, recovery=0.1), str(tmp_path / "f"), str(tmp_path / "fc"), "late")
+    got = {(r.humanId, r.step): (r.n, round(r.fatigue, 9), r.late) for r in spark.read.schema(FOLDED).parquet(str(tmp_path / "f")).collect()}
+    twin = upkeep.fold_by_step(batch, start=0.5, recovery=0.1, first_step=0).filter(F.col("step") < closed)
+    assert got == {(r.humanId, r.step): (r.n, round(r.fatigue, 9), False) for r in twin.collect()}
+
+
+def test_late_events_go_apart_and_the_stream_runs_on(spark, tmp_path):
+    """Ten micro-batches, a restart in between, late events for a closed step and for a step nobody had."""
+    rnd = random.Random(4)
+    days = [[(who, d * DAY + rnd.randrange(DAY), rnd.random() < 0.6) for who in range(4) for _ in range(rnd.randrange(4))] for d in range(12)]
+    late = [(1, 0 * DAY + 5, True), (1, 0 * DAY + 9, True), (2, 1 * DAY, False), (77, 3 * DAY, True)]
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for d in range(5):
+        schema = write_events(spark, folder, days[d])
+
+    def run():
+        stream = parquet_stream(spark, folder, schema, max_files=1)
+        with rocksdb_state(spark):
+            drain(stream_fold_events(stream, "2024-01-01 00:00:00", start=0.5, recovery=0.1), out, state, "late")
+
+    run()
+    write_events(spark, folder, days[5] + late)
+    for d in range(6, 10):
+        write_events(spark, folder, days[d])
+    run()
+    write_events(spark, folder, days[10] + days[11] + [(1, 2 * DAY, True)])
+    run()
+    rows = spark.read.schema(FOLDED).parquet(out)
+    got = {(r.humanId, r.step): (r.n, round(r.fatigue, 9)) for r in rows.filter("not late").collect()}
+    sound = [(w, s // DAY, re) for day in days for w, s, re in day]
+    batch = spark.createDataFrame(sound, "humanId long, step long, reacted boolean")
+    end = max(s for day in days for _, s, _ in day) - 3600
+    twin = upkeep.fold_by_step(batch, start=0.5, recovery=0.1, first_step=0).filter((F.col("step") + 1) * DAY <= end)
+    assert got == {(r.humanId, r.step): (r.n, round(r.fatigue, 9)) for r in twin.collect()} and len(got) > 20
+    aside = sorted((r.humanId, r.step, r.n, r.fatigue) for r in rows.filter("late").collect())
+    assert aside == [(1, 0, 2, None), (1, 2, 1, None), (2, 1, 0, None), (77, 3, 1, None)]
+    assert not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+
+
+def test_events_are_combined_before_the_shuffle(spark):
+    rows = [(0, 10 * i, i % 2 == 0) for i in range(2000)] + [(None, 5, True), (3, DAY, False)]
+    df = spark.createDataFrame(rows, EVENTS).coalesce(1).select(
+        "humanId", F.timestamp_seconds(F.col("sec") + 1_704_067_200).alias("ts"), "reacted")
+    df = df.union(df.limit(1).select(F.lit(9).cast("long"), F.lit(None).cast("timestamp"), F.lit(True)))
+    got = sorted(tuple(r) for r in combined(df, "2024-01-01 00:00:00", "humanId", "ts", DAY).na.fill(-1, ["humanId"]).collect())
+    assert got == [(-1, 0, 1, 1), (0, 0, 1000, 2000), (3, 1, 0, 1)]
