@@ -5,10 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofield.functions.skew import hot_of_counts, salted_join
+from echofield.functions.columns import total
+from echofield.functions.skew import salted_join
+from echofield.functions.tables import written
+
+PER_TASK = 1 << 18  # pairs that one task searches for triangles
+COLOURS = 4  # never fewer, so that small graphs are searched by several tasks
+WEDGES = 1 << 21  # paths of two edges held at once
 
 
 def graph_counts(edges: DataFrame) -> DataFrame:
@@ -54,47 +63,85 @@ def power_law_exponent(edges: DataFrame) -> DataFrame:
     )
 
 
-def triangle_counts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Triangles per node (nodes in none left out) and the degree table.
+def _triangles_inside(lo: np.ndarray, hi: np.ndarray, colour: np.ndarray) -> np.ndarray:
+    """Triangles per node 0..n-1 among the edges of one colour triple.
 
-    Each pair is kept once, pointing to the end with the larger (degree, id).
-    A node then has at most sqrt(2 m) out-neighbours for m pairs, hubs
-    included.  For each pair the out-neighbour lists of its ends are
-    intersected, so no list of neighbour pairs is ever written out.  ``edges``
-    must hold both directions.
+    Edges point to the end with the larger degree, and for each edge the
+    out-neighbours of its far end are looked up among the edges of its near
+    end, WEDGES at a time.  In a triple of two colours, triangles of one colour
+    alone are left to that colour's own triple.
     """
-    pairs = edges.filter(F.col("source") != F.col("target")).select("source", "target").distinct()
-    deg = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
-    deg = deg.withColumnRenamed("source", "node")
-    hot = hot_of_counts(deg, "node", "degree")
-
-    def with_degree(df: DataFrame, end: str, name: str) -> DataFrame:
-        table = deg.select(F.col("node").alias(end), F.col("degree").alias(name))
-        return salted_join(df, table, end, hot=hot.withColumnRenamed("node", end))
-
-    both = with_degree(with_degree(pairs, "target", "_dt"), "source", "_ds")
-    lists = both.filter(
-        (F.col("_ds") < F.col("_dt")) | ((F.col("_ds") == F.col("_dt")) & (F.col("source") < F.col("target")))
-    ).groupBy(F.col("source").alias("u")).agg(F.collect_list("target").alias("_nu"))
-    joined = salted_join(
-        lists.select("u", "_nu", F.explode("_nu").alias("v")),
-        lists.select(F.col("u").alias("v"), F.col("_nu").alias("_nv")),
-        "v", hot=hot.withColumnRenamed("node", "v"),
-    )
-    third = joined.select("u", "v", F.array_intersect("_nu", "_nv").alias("_w"))
-    third = third.filter(F.size("_w") > 0)
-    shares = F.concat(
-        F.array(
-            F.struct(F.col("u").alias("node"), F.size("_w").cast("long").alias("t")),
-            F.struct(F.col("v").alias("node"), F.size("_w").cast("long").alias("t")),
-        ),
-        F.transform("_w", lambda w: F.struct(w.alias("node"), F.lit(1).cast("long").alias("t"))),
-    )
-    per_node = (
-        third.select(F.explode(shares).alias("_s"))
-        .groupBy(F.col("_s.node").alias("node")).agg(F.sum("_s.t").alias("triangles"))
-    )
-    return per_node, deg
+    n = len(colour)
+    degree = np.bincount(lo, minlength=n) + np.bincount(hi, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(degree, kind="stable")] = np.arange(n)
+    shade = np.empty(n, np.int64)
+    shade[rank] = colour
+    near, far = np.minimum(rank[lo], rank[hi]), np.maximum(rank[lo], rank[hi])
+    keys = np.sort(near * n + far)
+    near, far = keys // n, keys % n
+    first = np.searchsorted(near, np.arange(n + 1))
+    out = np.diff(first)
+    wedges = np.cumsum(out[far])
+    two = len(np.unique(colour)) == 2
+    counts = np.zeros(n, np.int64)
+    begin = 0
+    while begin < len(near):
+        done = wedges[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(wedges, done + WEDGES, "right")))
+        many = out[far[begin:end]]
+        edge = np.repeat(np.arange(begin, end), many)
+        inside = np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many)
+        third = far[first[far[edge]] + inside]
+        wanted = near[edge] * n + third
+        at = np.searchsorted(keys, wanted)
+        closed = keys[np.minimum(at, len(keys) - 1)] == wanted
+        corners = np.stack([near[edge], far[edge], third])[:, closed]
+        if two:
+            a, b, c = shade[corners]
+            corners = corners[:, (a != b) | (b != c)]
+        counts += np.bincount(corners.ravel(), minlength=n)
+        begin = end
+    return counts[rank]
+
+
+def triangle_counts(edges: DataFrame, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Triangles per node (nodes in none left out) and the degree table (node, degree).
+
+    Nodes get one of k colours by hash.  A pair of nodes is sent to the k
+    triples of colours that a third node can complete, and the one task of a
+    triple counts the triangles of just these colours, so each is counted once.
+    k follows the data: a triple gets about ``per_task`` pairs, also where one
+    node has a large share of them, and k times the pairs are shuffled in all.
+    Direction and repeats of an edge do not matter.
+    """
+    pairs = edges.filter(F.col("source") != F.col("target")).select(
+        F.least("source", "target").alias("_u"), F.greatest("source", "target").alias("_v")
+    ).distinct()
+    pairs = written(pairs, "pairs")
+    deg = pairs.select(F.explode(F.array("_u", "_v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    share = F.sqrt(F.lit(6.0 / per_task) * total(pairs, F.count(F.lit(1))))
+    hub = F.lit(2.0 / per_task) * total(deg, F.max("degree"))
+    k = F.col("_k")
+    sent = pairs.withColumn("_k", F.ceil(F.greatest(F.lit(float(COLOURS)), share, hub)).cast("long"))
+    sent = sent.withColumns({"_cu": F.pmod(F.xxhash64("_u"), k), "_cv": F.pmod(F.xxhash64("_v"), k)})
+    sent = sent.withColumn("_w", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    least, most = F.least("_cu", "_cv", "_w"), F.greatest("_cu", "_cv", "_w")
+    triple = (least * k + (F.col("_cu") + F.col("_cv") + F.col("_w") - least - most)) * k + most
+
+    def count(table: pa.Table) -> pa.Table:
+        u, v, cu, cv = (table.column(c).to_numpy() for c in ("_u", "_v", "_cu", "_cv"))
+        codes, nodes = pd.factorize(np.concatenate([u, v]))
+        colour = np.empty(len(nodes), np.int64)
+        colour[codes] = np.concatenate([cu, cv])
+        found = _triangles_inside(codes[:len(u)], codes[len(u):], colour)
+        some = np.flatnonzero(found)
+        return pa.table([pa.array(nodes[some], table.schema.field("_u").type), pa.array(found[some])], ["node", "triangles"])
+
+    kind = pairs.schema["_u"].dataType.simpleString()
+    per_triple = sent.select(triple.alias("_t"), "_u", "_v", "_cu", "_cv").groupBy("_t").applyInArrow(
+        count, f"node {kind}, triangles bigint")
+    return per_triple.groupBy("node").agg(F.sum("triangles").alias("triangles")), deg
 
 
 def local_clustering(edges: DataFrame) -> DataFrame:
