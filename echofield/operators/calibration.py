@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import poisson_unit, uni, total
+from echofield.functions.columns import require, total, uni
+from echofield.functions.lowdiscrepancy import sobol
+from echofield.functions.ranking import dense_index
+from echofield.functions.vectors import array_deviation, poisson_weights, weighted_sums
 from echofield.operators.metrics import class_counts
 
 Z95 = 1.959963984540054
@@ -49,16 +52,29 @@ def abc_accept(runs: DataFrame, eps: float, n: int, draw: str = "draw", max_draw
 
 
 def saltelli_design(
-    ids: DataFrame, bounds: Mapping[str, tuple[float, float]], key: str = "row", seed: int = 42
+    ids: DataFrame, bounds: Mapping[str, tuple[float, float]], key: str = "row", seed: int = 42, points: str = "uniform"
 ) -> DataFrame:
-    """2 D + 2 parameter rows per id: A, B, A with one column of B, B with one column of A."""
+    """2 D + 2 parameter rows per id: A, B, A with one column of B, B with one column of A.
+
+    ``points="sobol"`` takes A and B from the first and last D of 2 D dimensions
+    of a shifted Sobol' sequence, whose estimates are closer by far; ids are
+    numbered for it.  A power of two of them fills the space evenly.
+    ``"uniform"`` draws every coordinate by itself.
+    """
+    require(points in ("uniform", "sobol"), f"unknown points {points}")
     names = list(bounds)
     drawn = ids.select(key)
-    for n, (lo, hi) in bounds.items():
+    if points == "sobol":
+        drawn = dense_index(drawn.distinct(), key, "_at")
+
+    def coordinate(side: str, i: int) -> Column:
+        if points == "uniform":
+            return uni(seed, f"design.{side}.{names[i]}", key)
+        return sobol(F.col("_at"), i + (len(names) if side == "B" else 0), seed)
+
+    for i, (n, (lo, hi)) in enumerate(bounds.items()):
         for side in ("A", "B"):
-            drawn = drawn.withColumn(
-                f"_{side}_{n}", F.lit(float(lo)) + uni(seed, f"design.{side}.{n}", key) * F.lit(float(hi) - float(lo))
-            )
+            drawn = drawn.withColumn(f"_{side}_{n}", F.lit(float(lo)) + coordinate(side, i) * F.lit(float(hi) - float(lo)))
 
     def block(label: str, base: str, other: str, swapped: str | None) -> Column:
         return F.struct(
@@ -159,25 +175,63 @@ def sobol_second(design: DataFrame, names: Sequence[str], key: str = "row") -> D
     )
 
 
+def _repeats(design: DataFrame, names: Sequence[str], b: int, key: str, seed: int, values: Sequence[Column]) -> DataFrame:
+    """One row: arrays over b Poisson-weighted repeats of the base rows.
+
+    ``_v`` is the variance, ``_0``, ``_1``, ... are the weighted means of ``values``.
+    """
+    wide = _wide(_centred(design), names, key)
+    x, y = F.col("a"), F.col("b")
+    moments = [F.lit(1.0), x + y, x * x + y * y, *values]
+    sums = weighted_sums(wide, [], poisson_weights(b, seed, "sobol", key), moments, b)
+    w = F.col("sums")[0]
+
+    def mean(i: int) -> Column:
+        return F.zip_with(F.col("sums")[i], w, F.try_divide)
+
+    off, squares = mean(1), mean(2)
+    # Each base row has an A and a B outcome.
+    variance = F.zip_with(squares, off, lambda q, m: q / 2 - m * m / 4)
+    return sums.select(variance.alias("_v"), *[mean(i + 3).alias(f"_{i}") for i in range(len(values))])
+
+
+def _half_width(part: Column) -> Column:
+    return F.lit(Z95) * array_deviation(F.zip_with(part, F.col("_v"), F.try_divide))
+
+
+def _named_rows(one: DataFrame, cells: Sequence[tuple[Sequence[str], Mapping[str, Column]]], keys: Sequence[str]) -> DataFrame:
+    """One row per cell (names, columns) of a one-row table."""
+    packed = one.select(*[
+        F.struct(*[F.lit(n).alias(k) for k, n in zip(keys, names)], *[c.alias(k) for k, c in columns.items()]).alias(f"_{i}")
+        for i, (names, columns) in enumerate(cells)
+    ])
+    return packed.unpivot([], packed.columns, "_from", "_cell").select("_cell.*")
+
+
+def _first_terms(names: Sequence[str]) -> list[Column]:
+    return [F.col("b") * (F.col(f"ab_{i}") - F.col("a")) for i in range(len(names))]
+
+
 def sobol_confidence(
     design: DataFrame, names: Sequence[str], b: int = 100, key: str = "row", seed: int = 42
 ) -> DataFrame:
     """95% half-widths S1_conf and ST_conf, from b Poisson-weighted repeats of the base rows."""
-    wide = _wide(_centred(design), names, key).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    wide = wide.withColumn("_u", uni(seed, "sobol", key, "_rep"))
-    wide = wide.withColumn("_w", poisson_unit(F.col("_u")))
-    w = F.col("_w")
-    k = range(len(names))
-    reps = wide.groupBy("_rep").agg(
-        _variance(w).alias("_v"), *[_first(i, w).alias(f"_s{i}") for i in k], *[_total(i, w).alias(f"_t{i}") for i in k]
-    )
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("parameter"), F.col(f"_s{i}").alias("s"), F.col(f"_t{i}").alias("t")) for i, n in enumerate(names)
-    ]))
+    gaps = [F.col("a") - F.col(f"ab_{i}") for i in range(len(names))]
+    one = _repeats(design, names, b, key, seed, _first_terms(names) + [d * d / 2 for d in gaps])
+    cells = [
+        ([n], {"S1_conf": _half_width(F.col(f"_{i}")), "ST_conf": _half_width(F.col(f"_{i + len(names)}"))})
+        for i, n in enumerate(names)
+    ]
+    return _named_rows(one, cells, ["parameter"])
 
-    def half_width(part: str) -> Column:
-        return F.lit(Z95) * F.stddev_samp(F.try_divide(F.col(part), F.col("_v")))
 
-    return reps.select("_v", cells.alias("_c")).select("_v", "_c.*").groupBy("parameter").agg(
-        half_width("s").alias("S1_conf"), half_width("t").alias("ST_conf")
-    )
+def sobol_second_confidence(
+    design: DataFrame, names: Sequence[str], b: int = 100, key: str = "row", seed: int = 42
+) -> DataFrame:
+    """95% half-width S2_conf per pair of parameters, from the same repeats as ``sobol_confidence``."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    first = _first_terms(names)
+    joint = [F.col(f"ba_{i}") * F.col(f"ab_{j}") - F.col("a") * F.col("b") - first[i] - first[j] for i, j in pairs]
+    one = _repeats(design, names, b, key, seed, joint)
+    cells = [([names[i], names[j]], {"S2_conf": _half_width(F.col(f"_{k}"))}) for k, (i, j) in enumerate(pairs)]
+    return _named_rows(one, cells, ["parameter1", "parameter2"])

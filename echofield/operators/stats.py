@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import poisson_unit, require, total, uni
+from echofield.functions.columns import require, total
 from echofield.functions.ranking import quantiles
 from echofield.functions.special import f_tail, t_two_sided
+from echofield.functions.vectors import array_percentile, poisson_weights, weighted_sums
 
 Z95 = 1.96
 
@@ -124,20 +125,17 @@ def bootstrap_band(
 ) -> DataFrame:
     """95% percentile band of the resampled mean per group and step.
 
-    Resampling with replacement is done with keyed Poisson(1) weights per row
-    and repeat, so every row is reweighted where it lies and only b sums per
-    group and step are moved.
+    Resampling with replacement is done with b keyed Poisson(1) weights per row,
+    so every row is reweighted where it lies and only b sums per group and step
+    are moved.  A repeat in which all weights of a group are 0 has no mean.
     """
-    rows = df.filter(F.col(col).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    rows = rows.withColumn("_u", uni(seed, "boot", *keys, "_rep"))
-    rows = rows.withColumn("_w", poisson_unit(F.col("_u")))
-    sums = rows.groupBy(*by, step, "_rep").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col(col)), F.sum("_w")).alias("_m")
-    )
-    # At most b means per group and step reach this aggregate.
-    band = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    return sums.groupBy(*by, step).agg(band.alias("_q")).select(
-        *by, step, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi")
+    rows = df.filter(F.col(col).isNotNull())
+    weights = poisson_weights(b, seed, "boot", *keys)
+    sums = weighted_sums(rows, [*by, step], weights, [F.lit(1.0), F.col(col)], b)
+    means = F.zip_with(F.col("sums")[1], F.col("sums")[0], F.try_divide)
+    ranked = sums.select(*by, step, F.sort_array(F.filter(means, lambda m: m.isNotNull())).alias("_m"))
+    return ranked.select(
+        *by, step, array_percentile(F.col("_m"), 0.025).alias("lo"), array_percentile(F.col("_m"), 0.975).alias("hi")
     )
 
 

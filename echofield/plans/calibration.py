@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from echofield.functions.lowdiscrepancy import direction_numbers, shift
 from echofield.operators import calibration as op
 from echofield.plans import adapters as a
 from echofield.plans.registry import CTES, query, r, sql_uni
@@ -150,6 +151,48 @@ def sobol_second(spark, sf_dir):
     return op.sobol_second(evaluated(spark, sf_dir), NAMES)
 
 
+# Sobol' points: ids are numbered by the first three digits of their md5, then by value.
+_FIVE = {**BOUNDS, "contentHalfLife": (5.0, 50.0), "initialExposureRate": (0.05, 0.3)}
+
+
+def _sobol_sql(dimension: int) -> str:
+    value = str(shift(42, dimension))
+    for bit, v in enumerate(direction_numbers(dimension)[:24]):
+        value = f"xor({value}, CASE WHEN (gray >> {bit}) & 1 = 1 THEN {v} ELSE 0 END)"
+    return f"({value}) / 4294967296.0e0"
+
+
+def _sobol_cell(i: int, n: str, side: str) -> str:
+    lo, hi = _FIVE[n]
+    return f"{lo!r}e0 + {_sobol_sql(i + (len(_FIVE) if side == 'B' else 0))} * ({hi!r}e0 - {lo!r}e0) AS {side}_{n}"
+
+
+def _sobol_block(label: str, base: str, swapped: str | None) -> str:
+    other = "B" if base == "A" else "A"
+    cols = ", ".join(f"{r(f'{other if n == swapped else base}_{n}')} AS {n}" for n in _FIVE)
+    return f"""SELECT id AS "row", '{label}' AS block, {cols} FROM base"""
+
+
+@query("saltelli_design_sobol", f"""
+WITH numbered AS (SELECT id, CAST(row_number() OVER (ORDER BY substr(md5(CAST(id AS VARCHAR)), 1, 3), id) - 1 AS BIGINT) AS i FROM (SELECT DISTINCT user_id AS id FROM events)),
+base AS (SELECT id, {', '.join(_sobol_cell(i, n, s) for i, n in enumerate(_FIVE) for s in 'AB')} FROM (SELECT id, xor(i, i >> 1) AS gray FROM numbered)) """
+    + " UNION ALL ".join([_sobol_block("A", "A", None), _sobol_block("B", "B", None)]
+                         + [_sobol_block(f"AB:{n}", "A", n) for n in _FIVE] + [_sobol_block(f"BA:{n}", "B", n) for n in _FIVE]))
+def saltelli_design_sobol(spark, sf_dir):
+    ids = a.events(spark, sf_dir).select(F.col("user_id").alias("row"))
+    return op.saltelli_design(ids, _FIVE, "row", points="sobol")
+
+
+@query("sobol_second_confidence", f"""
+WITH w AS (SELECT *, {sql_poisson_one('u')} AS w FROM (SELECT *, {sql_uni(42, 'sobol', 'id', 'rep')} AS u FROM (SELECT *, unnest(generate_series(1, 50)) AS rep FROM wide_rows))),
+s AS (SELECT rep, {_sums('w')}, """ + ", ".join(
+    f"sum(w * (ba_{i} * ab_{j} - a * b)) / sum(w) AS j{i}{j}" for i, j in _PAIRS) + " FROM w GROUP BY rep) " + " UNION ALL ".join(
+    f"SELECT '{NAMES[i]}' AS parameter1, '{NAMES[j]}' AS parameter2, {r(f'1.959963984540054e0 * stddev_samp((j{i}{j} - f{i} - f{j}) / v)')} AS S2_conf FROM s"
+    for i, j in _PAIRS))
+def sobol_second_confidence(spark, sf_dir):
+    return op.sobol_second_confidence(evaluated(spark, sf_dir), NAMES, 50)
+
+
 @query("sobol_confidence", f"""
 WITH w AS (SELECT *, {sql_poisson_one('u')} AS w FROM (SELECT *, {sql_uni(42, 'sobol', 'id', 'rep')} AS u FROM (SELECT *, unnest(generate_series(1, 50)) AS rep FROM wide_rows))),
 s AS (SELECT rep, {_sums('w')} FROM w GROUP BY rep) """ + " UNION ALL ".join(
