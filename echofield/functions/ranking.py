@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import require
+from echofield.functions.tables import written
 
 _BUCKET_DIGITS = 3
-SLICES = 64
+SLICES = 16  # pieces of a bracket
+SKETCH = 4096  # size of a stored sketch; its ranks are off by less than 0.1% nearly always
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -113,60 +115,139 @@ def quantiles(
 
     ``kind="linear"`` interpolates at position p(n-1); ``kind="rank"`` takes the
     0-based row floor(p n).  A quantile sketch first brackets each wanted rank
-    (its rank error is at most n/accuracy; a rank outside its bracket is an error).  Rows outside every bracket are
-    folded onto the nearest bracket edge below them, which keeps the order, so
-    the exact ranking only sees the few distinct values inside the brackets.
+    (four times closer than the bracket is wide; a rank outside it is an error).
+    Rows outside every bracket are folded onto the nearest bracket edge below
+    them, which keeps the order, so the exact ranking only sees the few distinct
+    values inside the brackets, cut in SLICES at quantiles of the sketch.
     """
-    require(kind in ("linear", "rank"), f"unknown quantile kind {kind}")
     by, probs = list(by), list(probs)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     slack = 3.0 / accuracy
-    marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*map(F.lit, marks)), F.lit(accuracy)).alias("_m"),
+        F.percentile_approx("v", F.array(*map(F.lit, _marks(probs, slack))), F.lit(4 * accuracy)).alias("_m"),
         F.min("v").alias("_min"),
         F.max("v").alias("_max"),
     )
     # A group of at most ``accuracy`` rows is kept whole: there the slack is less
-    # than the one rank that interpolation reaches beyond its position.  Ranks
-    # within the slack of either end are bracketed by the true extremes.
-    small = F.col("n") <= accuracy
-
-    def edge(at_end: bool, extreme: str, mark: int, name: str) -> Column:
-        whole = F.col(extreme)
-        return (whole if at_end else F.when(small, whole).otherwise(F.col("_m")[mark])).alias(name)
-
-    brackets = sketch.select(
-        *by, "n",
-        *[edge(p <= slack, "_min", 2 * i, f"_lo{i}") for i, p in enumerate(probs)],
-        *[edge(p + slack >= 1.0, "_max", 2 * i + 1, f"_hi{i}") for i, p in enumerate(probs)],
+    # than the one rank that interpolation reaches beyond its position.
+    brackets = _brackets(sketch, by, probs, slack, F.col("n") <= accuracy)
+    missed = F.raise_error(F.lit("a quantile sketch missed its rank error; raise accuracy")).cast("double")
+    return _picked(rows, brackets, by, probs, kind, missed)
+
+
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str] = (), k: int = SKETCH) -> DataFrame:
+    """(by..., n, lowest, highest, sketch): a table to store, one KLL sketch per group (a step, a run).
+
+    Tables of new steps can be appended to it, and ``merge_sketches`` makes
+    those of any coarser groups, without another look at the rows.  Nulls and
+    NaN are left out.
+    """
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("lowest"), F.max(v).alias("highest"),
+        F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = (), k: int = SKETCH) -> DataFrame:
+    """The same table for coarser groups."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+        F.kll_merge_agg_double(F.col("sketch"), F.lit(k)).alias("sketch"),
     )
-    if by:
-        tagged = rows.join(brackets, by)
-    else:
-        packed = brackets.select(F.struct(*brackets.columns).alias("_s")).scalar()
-        tagged = rows.withColumn("_s", packed).select("v", "_s.*")
-    v = F.col("v")
-    spans = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(probs))]
+
+
+def sketched_quantiles(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Approximate quantiles from stored sketches alone: by..., n, q0, q1, ..."""
+    marks = F.kll_sketch_get_quantile_double(F.col("sketch"), F.array(*map(F.lit, probs)))
+    return sketches.withColumn("_q", marks).select(*by, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
+def quantiles_from(
+    df: DataFrame, value: str, probs: Sequence[float], sketches: DataFrame, by: Sequence[str] = (),
+    kind: str = "linear", slack: float = 0.004,
+) -> DataFrame:
+    """Exact quantiles as by ``quantiles``, with brackets from stored sketches of the same rows.
+
+    The rows are read once.  A sketch is right with high probability only, so
+    the result, one row per group, is written and looked at: where a rank lay
+    outside its bracket the brackets are widened, eightfold each time until
+    they hold everything, and only those groups run again.
+    """
+    by, probs = list(by), list(probs)
+    v = F.col(value).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("v"))
+    # KLL sketches are random: made anew they would give other brackets to each reader.
+    sketches = written(sketches.select(*by, "n", "lowest", "highest", "sketch"), "sketches")
+    names = [f"q{i}" for i in range(len(probs))]
+    lost = F.lit(False)
+    for c in names:
+        lost = lost | F.col(c).isNull()
+    done = None
+    while True:
+        marks = F.kll_sketch_get_quantile_double(F.col("sketch"), F.array(*map(F.lit, _marks(probs, slack))))
+        sketch = sketches.select(*by, "n", marks.alias("_m"), F.col("lowest").alias("_min"), F.col("highest").alias("_max"))
+        brackets = _brackets(sketch, by, probs, slack, F.col("n") <= F.lit(3.0 / slack))
+        found = written(_picked(rows, brackets, by, probs, kind, F.lit(None).cast("double")), "quantiles")
+        sound = found.filter(~lost)
+        done = sound if done is None else done.unionByName(sound)
+        again = found.filter(lost)
+        if slack >= 1.0 or again.isEmpty():
+            return done
+        slack *= 8
+        if by:
+            sketches = sketches.join(again.select(*by), by, "left_semi")
+
+
+def _marks(probs: Sequence[float], slack: float) -> list[float]:
+    """The ranks to ask a sketch for: SLICES + 1 from slack below to slack above each probability."""
+    return [min(1.0, max(0.0, p - slack + 2 * slack * j / SLICES)) for p in probs for j in range(SLICES + 1)]
+
+
+def _brackets(sketch: DataFrame, by: Sequence[str], probs: Sequence[float], slack: float, whole: Column) -> DataFrame:
+    """(by..., _s): n, the edges of each bracket and the values that cut them, from (n, _m, _min, _max).
+
+    Ranks within the slack of either end are bracketed by the true extremes,
+    and so is every rank of a group that is kept ``whole``.
+    """
+    def edge(at_end: bool, extreme: str, mark: int) -> Column:
+        return F.col(extreme) if at_end else F.when(whole, F.col(extreme)).otherwise(F.col("_m")[mark])
+
+    fields = [F.col("n")]
+    for i, p in enumerate(probs):
+        fields += [
+            edge(p <= slack, "_min", i * (SLICES + 1)).alias(f"lo{i}"),
+            edge(p + slack >= 1.0, "_max", i * (SLICES + 1) + SLICES).alias(f"hi{i}"),
+        ]
+    cuts = F.array_sort(F.array_distinct("_m")).alias("cuts")
+    return sketch.select(*by, F.struct(*fields, cuts).alias("_s"))
+
+
+def _picked(
+    rows: DataFrame, brackets: DataFrame, by: Sequence[str], probs: Sequence[float], kind: str, missed: Column
+) -> DataFrame:
+    """The wanted ranks among ``rows`` (by..., v), or ``missed`` where a rank lies outside its bracket."""
+    require(kind in ("linear", "rank"), f"unknown quantile kind {kind}")
+    def with_brackets(df: DataFrame) -> DataFrame:
+        return df.join(brackets, list(by)) if by else df.withColumn("_s", brackets.select("_s").scalar())
+
+    tagged = with_brackets(rows)
+    v, s = F.col("v"), F.col("_s")
+    spans = [(s[f"lo{i}"], s[f"hi{i}"]) for i in range(len(probs))]
     kept = F.lit(False)
     for lo, hi in spans:
         kept = kept | v.between(lo, hi)
     edges = [F.when(hi < v, hi) for _, hi in spans]
     folded = F.when(kept, v).otherwise(F.greatest(*edges) if len(edges) > 1 else edges[0])
-    # Where a value stands between the edges of its bracket, in SLICES steps, summed
-    # over the brackets: never falls as the value grows, so it cuts the order in chunks.
-    def place(w: Column, lo: Column, hi: Column) -> Column:
-        along = F.when(hi > lo, F.floor((w - lo) / (hi - lo) * SLICES)).otherwise(F.when(w >= hi, SLICES).otherwise(0))
-        return F.greatest(F.lit(0), F.least(F.lit(SLICES), along))
-
-    placed = tagged.withColumns({"_w": folded, "_in": kept})
-    along_all = sum((place(F.col("_w"), lo, hi) for lo, hi in spans), F.lit(0))
-    chunk = F.when(F.col("_w").isNull(), F.lit(-1)).otherwise(along_all)
-    counts = placed.groupBy(*by, "n", F.col("_w").alias("w"), chunk.cast("int").alias("_chunk"),
-                            *[c for i in range(len(probs)) for c in (f"_lo{i}", f"_hi{i}")]).agg(
+    # Only the folded value goes through the count; the brackets are looked up again for what is left.
+    counts = with_brackets(tagged.select(*by, folded.alias("w"), kept.alias("_in")).groupBy(*by, "w").agg(
         F.count(F.lit(1)).alias("c"), F.count_if("_in").alias("_own")
-    )
+    ))
+    # How many of the sketch's marks lie below a value never falls as the value grows, and each
+    # step holds about as many rows, whatever the values look like.
+    below = F.size(F.filter(s["cuts"], lambda c: c < F.col("w")))
+    counts = counts.withColumn("_chunk", F.when(F.col("w").isNull(), F.lit(-1)).otherwise(below))
     # Sums of chunks: SLICES rows per probability and group at most.
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy(*by, "_chunk").agg(F.sum("c").alias("_size"))
@@ -182,13 +263,11 @@ def quantiles(
     def at(rank: Column, i: int) -> Column:
         """The value of a rank.  Folded rows do not count there: the rank must fall on a row of the bracket."""
         reached = F.col("_cum") - F.col("c") + F.col("_own") > rank
-        whole = reached & F.col("w").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        whole = reached & F.col("w").between(s[f"lo{i}"], s[f"hi{i}"])
         found = F.min(F.when(F.col("_cum") > rank, F.struct(F.col("w").alias("w"), whole.alias("ok"))))
-        return F.when(found["ok"], found["w"]).otherwise(
-            F.raise_error(F.lit("a quantile sketch missed its rank error; raise accuracy")).cast("double")
-        )
+        return F.when(found["ok"], found["w"]).otherwise(missed)
 
-    n = F.col("n")
+    n = s["n"]
     picks, out = [], []
     for i, p in enumerate(probs):
         if kind == "rank":
@@ -197,7 +276,7 @@ def quantiles(
         else:
             pos = (n - 1) * F.lit(float(p))
             picks += [at(F.floor(pos), i).alias(f"_a{i}"), at(F.ceil(pos), i).alias(f"_z{i}")]
-            frac = pos - F.floor(pos)
+            frac = (F.col("n") - 1) * F.lit(float(p))
             a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
-            out.append((a + (z - a) * frac).alias(f"q{i}"))
-    return ranked.groupBy(*by, "n").agg(*picks).select(*by, "n", *out)
+            out.append((a + (z - a) * (frac - F.floor(frac))).alias(f"q{i}"))
+    return ranked.groupBy(*by).agg(F.max(n).alias("n"), *picks).select(*by, "n", *out)

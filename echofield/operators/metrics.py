@@ -335,9 +335,10 @@ def describe_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     keys = [*by, "column"]
     long = df.select(*by, cells.alias("_c")).select(*by, "_c.*")
     moments = long.groupBy(*keys).agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
     )
-    marks = quantiles(long, "x", [0.0, 0.25, 0.5, 0.75, 1.0], keys)
-    names = ("min", "p25", "p50", "p75", "max")
+    marks = quantiles(long, "x", [0.25, 0.5, 0.75], keys)
+    names = ("p25", "p50", "p75")
     marks = marks.select(*keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-    return moments.join(marks, keys, "left")
+    return moments.join(marks, keys, "left").select(*keys, "count", "mean", "std", "min", *names, "max")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echofield.functions.ranking import gini as gini_of
+from echofield.functions.ranking import merge_sketches, quantile_sketches, quantiles_from
 from echofield.operators import metrics as op
 from echofield.operators.sampling import sample_keys
 from echofield.plans import adapters as a
@@ -114,6 +115,22 @@ def rank_percentile(spark, sf_dir):
     return op.rank_percentile(lineitem, "l_extendedprice", 0.95, ["l_returnflag"])
 
 
+_Q3 = (0.05, 0.5, 0.95)
+
+
+def _sql_quantiles(by: str) -> str:
+    cols = ", ".join(r(f"quantile_cont(value, {p!r}e0)") + f" AS q{i}" for i, p in enumerate(_Q3))
+    return f"SELECT {by}, count(*) AS n, {cols} FROM events GROUP BY {by}"
+
+
+@query("quantiles_from_sketches", _sql_quantiles("event_type"))
+def quantiles_from_sketches(spark, sf_dir):
+    """Sketches per day and type, merged per type, bracket the exact quantiles."""
+    df = a.events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    per_day = quantile_sketches(df, "value", ["event_type", "day"])
+    return quantiles_from(df, "value", _Q3, merge_sketches(per_day, ["event_type"]), ["event_type"])
+
+
 @query("collapsed_count", "SELECT step, count(*) FILTER (fatigue >= 0.95e0) AS collapsedCount FROM states GROUP BY step")
 def collapsed_count(spark, sf_dir):
     return op.collapsed_count(a.states(spark, sf_dir), by=["step"])
