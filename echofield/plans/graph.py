@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echofield.functions.columns import total
 from echofield.operators import edges as make
 from echofield.operators import graph as op
+from echofield.operators import settled
 from echofield.operators.shared import edges_from_shared as edges_from_items
 from echofield.plans import adapters as a
 from echofield.plans.registry import CTES, query, r, sql_uni
@@ -289,3 +290,63 @@ def edges_from_shared(spark, sf_dir):
 @query("edges_from_shared_items", _shared("contentId", 32))
 def edges_from_shared_items(spark, sf_dir):
     return edges_from_items(a.interactions(spark, sf_dir), "humanId", "contentId", 32)
+
+
+def _rewire_rounds(p: float, tries: int = 100) -> str:
+    """SQL of ``rewire_edges_settled`` over lattice, one block of table expressions per round."""
+    roll = sql_uni(42, "rewire", "a", "b")
+    text = f"left0 AS (SELECT a AS u, b AS v, {roll} AS roll FROM lattice WHERE {roll} < {p!r}e0),\ntaken0 AS (SELECT a, b FROM lattice)"
+    spans = settled.windows(tries)
+    for k, (lo, hi) in enumerate(spans):
+        end = f"CAST(floor({sql_uni(42, 'rewire.target', 'u', 'v', 't')} * (SELECT count(*) FROM nodes)) AS BIGINT)"
+        text += f""",
+asked{k} AS (SELECT u, v, roll, arg_min(a, t) AS a, arg_min(b, t) AS b
+  FROM (SELECT *, least(u, x) AS a, greatest(u, x) AS b FROM (SELECT *, {end} AS x FROM left{k}, range({lo}, {hi + 1}) AS r(t)) WHERE x <> u) c
+  WHERE NOT EXISTS (SELECT 1 FROM taken{k} l WHERE l.a = c.a AND l.b = c.b) GROUP BY u, v, roll),
+won{k} AS (SELECT u, v, a, b FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY roll, u, v) AS place FROM asked{k}) WHERE place = 1),
+taken{k + 1} AS (SELECT a, b FROM taken{k} UNION ALL SELECT a, b FROM won{k}),
+left{k + 1} AS (SELECT * FROM left{k} l WHERE NOT EXISTS (SELECT 1 FROM won{k} w WHERE w.u = l.u AND w.v = l.v))"""
+    won = " UNION ALL ".join(f"SELECT * FROM won{k}" for k in range(len(spans)))
+    return f"{text},\nwon AS ({won}),\nleft_over AS (SELECT * FROM left{len(spans)})"
+
+
+@query("rewire_edges_settled", f"""
+WITH {_rewire_rounds(0.6)},
+kept AS (SELECT a, b FROM lattice WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.u = lattice.a AND won.v = lattice.b))
+SELECT source, target, 1.0e0 AS weight FROM (SELECT a, b FROM kept UNION ALL SELECT a, b FROM won), {_BOTH}
+""")
+def rewire_edges_settled(spark, sf_dir):
+    ids = nodes(spark, sf_dir)
+    return settled.rewire_edges_settled(make.ring_lattice_edges(ids, 6, dense=True), 0.6, ids, dense=True)[0]
+
+
+@query("rewire_report", f"""
+WITH {_rewire_rounds(0.6)}
+SELECT (SELECT count(*) FROM left0) AS chosen, (SELECT count(*) FROM won) AS moved, (SELECT count(*) FROM left_over) AS stayed
+""")
+def rewire_report(spark, sf_dir):
+    ids = nodes(spark, sf_dir)
+    return settled.rewire_edges_settled(make.ring_lattice_edges(ids, 6, dense=True), 0.6, ids, dense=True)[1]
+
+
+def _settled_draw(i: str) -> str:
+    """SQL: the slot (from 1) of draw ``i`` of node ``n`` whose first edge is ``e``, m = 3."""
+    first, again = sql_uni(42, "attach", f"(e + {i})"), sql_uni(42, "attach.again", "e", i)
+    return f"CAST(floor(CASE WHEN {i} < 3 THEN {first} ELSE {again} END * len(slots)) AS BIGINT) + 1"
+
+
+@query("preferential_edges_settled", f"""
+WITH grow(n, e, slots, ends) AS (
+  SELECT CAST(3 AS BIGINT), CAST(3 AS BIGINT), CAST([0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n, e, slots || flatten(list_transform(ends, lambda x: [n, x])), ends
+  FROM (SELECT n, e, slots, list_filter(drawn, lambda x, i: list_position(drawn, x) = i)[1:3] AS ends
+        FROM (SELECT n, e, slots, list_transform(range(0, 64), lambda i: slots[{_settled_draw('i')}]) AS drawn
+              FROM (SELECT n + 1 AS n, e + 3 AS e, slots FROM grow WHERE n + 1 < (SELECT count(*) FROM nodes))))
+),
+pairs AS (SELECT unnest(ends) AS a, n AS b FROM grow
+          UNION ALL SELECT x.id, y.id FROM nodes x, nodes y WHERE x.id <= 3 AND y.id <= 3 AND x.id < y.id)
+SELECT source, target, 1.0e0 AS weight FROM pairs, {_BOTH}
+""")
+def preferential_edges_settled(spark, sf_dir):
+    return settled.preferential_edges_settled(nodes(spark, sf_dir), 3, dense=True)
