@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield import schemas as S
-from echofield.functions.columns import as_col, clip, require
+from echofield.functions.columns import SPAN, as_col, clip, require
 from echofield.functions.sequence import beside
 from echofield.functions.skew import hot_keys, salted_join
 
@@ -148,14 +148,18 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
 def fill_missing_steps(states: DataFrame, key: str = "humanId", step: str = "step") -> DataFrame:
     """All steps between each entity's first and last record, the missing ones interpolated.
 
-    ``states`` has one row per (key, step).
+    ``states`` has one row per (key, step).  A gap is made in spans of SPAN
+    steps, so a row never holds more of it, however long it is.
     """
     require({key, step, "valence", "arousal"} <= set(states.columns), "states needs valence and arousal")
     ahead = beside(
         states.select(key, step, "valence", "arousal"), key, [step], [step, "valence", "arousal"], "next"
     ).withColumnsRenamed({f"next_{step}": "_s", "next_valence": "_v", "next_arousal": "_a"})
     last = F.coalesce(F.col("_s") - 1, F.col(step))
-    grid = ahead.withColumn("_at", F.explode(F.sequence(F.col(step), last)))
+    spans = F.sequence(F.lit(0).cast("long"), F.floor((last - F.col(step)) / F.lit(SPAN)).cast("long"))
+    cut = ahead.withColumns({"_to": last, "_span": F.explode(spans)})
+    cut = cut.withColumn("_from", F.col(step) + F.col("_span") * SPAN)
+    grid = cut.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.least("_to", F.col("_from") + (SPAN - 1)))))
     alpha = (F.col("_at") - F.col(step)) / (F.col("_s") - F.col(step))
     recorded = F.col("_at") == F.col(step)
     return grid.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echofield.functions.columns import clip, require, total, uni
 from echofield.functions.skew import fanned_join
 
+FANOUT = 128  # children of a node in the tree of blocks
 LOW_ATTENTION = 0.5  # fixed value: attention recovers below this
 
 
@@ -90,7 +91,9 @@ def fold_by_step(
         )
         levels = counts.select("_t").distinct().withColumn("attentionSpan", level)
         return fanned_join(counts, levels, "_t", key).select(key, step, "n", "attentionSpan")
-    return _fold_fatigue(counts, key, step, start, accumulation, recovery, block)
+    ends = events.agg(F.min(F.col(step).cast("long")), F.max(F.col(step).cast("long"))).first()
+    last = 0 if ends[1] is None else ends[1] - (ends[0] if first_step is None else first_step)
+    return _fold_fatigue(counts, key, step, start, accumulation, recovery, block, last)
 
 
 def _clamp(x: Column, f: Column) -> Column:
@@ -110,13 +113,17 @@ def _then(f: Column, g: Column) -> Column:
 
 
 def _fold_fatigue(
-    counts: DataFrame, key: str, step: str, start: float, acc: float, rec: float, block: int
+    counts: DataFrame, key: str, step: str, start: float, acc: float, rec: float, block: int, last: int
 ) -> DataFrame:
-    """Scan in two levels so that no task holds an entity's whole history.
-
-    Steps are cut into blocks.  Each block reduces to one clamped shift; the
-    shifts of an entity give the level at the start of each block; then every
-    block is scanned on its own from that level.
+    """Scan a tree of blocks, so that no task holds an entity's whole history.
+
+    Steps are cut into blocks and each block reduces to one clamped shift.
+    FANOUT neighbouring shifts reduce to one on the next level, until FANOUT at
+    most are left of an entity.  Levels then come down the tree: the level at the
+    start of a node and the shifts of its children give the level at the start of
+    each child, and last every block is scanned from its own.  No row holds
+    more than ``block`` steps or FANOUT children.  ``last`` is the last step's distance
+    from the first; it gives the height of the tree.
     """
     long_block = F.lit(block).cast("long")
     # A step without reactions is idle whether recorded or not, but recorded ones are reported.
@@ -142,25 +149,49 @@ def _fold_fatigue(
         ),
         lambda s: _then(s["f"], idle(first + long_block - s["at"])),
     )
-    shifts = blocks.select(key, F.struct("_b", reduced.alias("f")).alias("_s"))
-    history = shifts.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_h"))
-    level_type = "array<struct<_b:bigint,x:double>>"
-    opened = F.aggregate(
-        "_h",
-        F.struct(F.lit(0).cast("long").alias("b"), F.lit(float(start)).alias("x"),
-                 F.array().cast(level_type).alias("out")),
-        lambda s, h: F.struct(
-            (h["_b"] + 1).alias("b"),
-            _clamp(_clamp(s["x"], idle((h["_b"] - s["b"]) * long_block)), h["f"]).alias("x"),
-            F.concat(s["out"], F.array(F.struct(
-                h["_b"].alias("_b"), _clamp(s["x"], idle((h["_b"] - s["b"]) * long_block)).alias("x"),
-            ))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    starts = history.select(key, F.explode(opened).alias("_o")).select(
-        key, F.col("_o._b").alias("_b"), F.col("_o.x").alias("_x")
-    )
+
+    def gathered(shifts: DataFrame, parent: Column) -> DataFrame:
+        """(key, _b, _kids): the shifts of neighbouring nodes under their parent, in order."""
+        return shifts.groupBy(key, parent.alias("_b")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("_b"), F.col("_f")))).alias("_kids"))
+
+    def joined(kids: Column, node: Column, span: int) -> Column:
+        """The shift of a node from those of its children, ``span`` steps each; missing children are idle."""
+        steps, begin = F.lit(span).cast("long"), node * FANOUT
+        start = F.struct(begin.alias("b"), _move(F.lit(0.0)).alias("f"))
+        return F.aggregate(kids, start, lambda s, k: F.struct(
+            (k["_b"] + 1).alias("b"), _then(_then(s["f"], idle((k["_b"] - s["b"]) * steps)), k["_f"]).alias("f"),
+        ), lambda s: _then(s["f"], idle((begin + FANOUT - s["b"]) * steps)))
+
+    def opened(kids: Column, begin: Column, level: Column, span: int) -> Column:
+        """The level at the start of each child, from the level at the start of the node."""
+        steps = F.lit(span).cast("long")
+        none = F.array().cast("array<struct<_b:bigint,_x:double>>")
+
+        def rested(s: Column, k: Column) -> Column:
+            return _clamp(s["x"], idle((k["_b"] - s["b"]) * steps))
+
+        return F.aggregate(
+            kids, F.struct(begin.alias("b"), level.alias("x"), none.alias("out")),
+            lambda s, k: F.struct(
+                (k["_b"] + 1).alias("b"), _clamp(rested(s, k), k["_f"]).alias("x"),
+                F.array_append(s["out"], F.struct(k["_b"].alias("_b"), rested(s, k).alias("_x"))).alias("out"),
+            ), lambda s: s["out"])
+
+    shifts, nodes, span, width = blocks.select(key, "_b", reduced.alias("_f")), [], block, last // block + 1
+    while width > FANOUT:
+        parents = gathered(shifts, F.floor(F.col("_b") / FANOUT).cast("long"))
+        nodes.append((parents, span))
+        shifts = parents.select(key, "_b", joined(F.col("_kids"), F.col("_b"), span).alias("_f"))
+        span, width = span * FANOUT, -(-width // FANOUT)
+    zero_node = F.lit(0).cast("long")
+    top = gathered(shifts, zero_node)
+    levels = top.select(key, F.explode(opened(F.col("_kids"), zero_node, F.lit(float(start)), span)).alias("_o"))
+    for parents, span in reversed(nodes):
+        levels = levels.select(key, "_o._b", "_o._x")
+        down = opened(F.col("_kids"), F.col("_b") * FANOUT, F.col("_x"), span)
+        levels = parents.join(levels, [key, "_b"]).select(key, F.explode(down).alias("_o"))
+    starts = levels.select(key, "_o._b", "_o._x")
     out_type = f"array<struct<{step}:bigint,n:bigint,fatigue:double>>"
     scanned = F.aggregate(
         "_recs",
@@ -180,5 +211,5 @@ def _scan_one(s: Column, x: Column, idle, change, step: str) -> Column:
     level = _clamp(rested, _move(change(x["n"])))
     row = F.struct(x[step].alias(step), x["n"].alias("n"), level.alias("fatigue"))
     return F.struct(
-        (x["_t"] + 1).alias("at"), level.alias("x"), F.concat(s["out"], F.array(row)).alias("out")
+        (x["_t"] + 1).alias("at"), level.alias("x"), F.array_append(s["out"], row).alias("out")
     )

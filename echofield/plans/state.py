@@ -8,6 +8,8 @@ from echofield.operators import affect, graph, transitions, upkeep
 from echofield.plans import adapters as a
 from echofield.plans import exposure as ex
 from echofield.plans.registry import CTES, query, r, sql_uni
+from echofield.session import scratch_path
+from echofield.sources import bucketed
 
 # One entity-day as an entity of its own, so that one update covers the whole table.
 def _day():
@@ -252,6 +254,24 @@ def fatigue_update(spark, sf_dir):
     ).select("stateId", "fatigue")
 
 
+@query("fatigue_update_bucketed", f"""
+SELECT humanId, {r('least(1.0e0, greatest(0.0e0, fatigue + n * 0.02e0 - CASE WHEN n = 0 THEN 0.01e0 ELSE 0.0e0 END))')} AS fatigue
+FROM (SELECT s.humanId, s.fatigue, coalesce(c.n, 0) AS n
+      FROM (SELECT * FROM states WHERE step = 12) s
+      LEFT JOIN (SELECT humanId, count(*) AS n FROM interactions WHERE reacted AND step = 12 GROUP BY 1) c USING (humanId))
+""")
+def fatigue_update_bucketed(spark, sf_dir):
+    """Step 12 of states and interactions, both stored in buckets by entity: the join moves no rows."""
+    tables = {"state": a.states(spark, sf_dir), "acts": a.interactions(spark, sf_dir).drop("ts")}
+    names = {}
+    for what, df in tables.items():
+        path = scratch_path(spark, what)
+        names[what] = path.rsplit("/", 1)[1].replace("-", "_")
+        bucketed.write_bucketed(df, names[what], path, buckets=8)
+    state, acts = (bucketed.read_step(spark, names[what], 12) for what in ("state", "acts"))
+    return upkeep.fatigue_update(state, acts).select("humanId", "fatigue")
+
+
 @query("fatigue_by_propensity", f"""
 SELECT humanId, {r(f"least(1.0e0, greatest(0.0e0, fatigue + CASE WHEN {sql_uni(42, 'fatigue.0', 'humanId')} < addictionCoeff THEN 0.02e0 ELSE -0.01e0 END))")} AS fatigue
 FROM people

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from echofield.session import scratch_path
+from echofield.session import scratch_path, setting
 
 
 def parquet_stream(
@@ -49,13 +49,10 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     The session's own choice holds if it has made one, and again afterwards.
     """
     name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    if "RocksDB" not in before:
-        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    kept = spark.conf.get(name)
+    rocks = kept if "RocksDB" in kept else "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with setting(spark, name, rocks):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, apart: str | None = None) -> DataFrame:
