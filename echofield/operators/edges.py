@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echofield.functions.columns import poisson_draws, require, total, uni
 from echofield.functions.ranking import dense_index
-from echofield.functions.sequence import beside
+from echofield.functions.sequence import before_in_ranges
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -38,19 +38,16 @@ def both_directions(pairs: DataFrame) -> DataFrame:
 
 
 def edges_from_sequence(
-    df: DataFrame, group: str, entity: str, order: Sequence[str], bucket: str, most: int = 1 << 16
+    df: DataFrame, group: str, entity: str, order: Sequence[str], bucket: str | None = None, most: int | None = None
 ) -> DataFrame:
     """Edges between entities that touch the same group one right after the other.
 
     weight counts how often the pair followed each other.  The result grows
-    with the rows, never with the square of a group.  ``bucket`` is a coarse
-    form of the first order column (a day, an hour): rows are ordered within
-    (group, bucket) and only the ends of the buckets per group, and a bucket of
-    more than ``most`` rows is cut at quantiles of the first order column, so a
-    group with most of the rows is still ordered by many tasks.
+    with the rows, never with the square of a group, and a group with most of
+    the rows is ordered by many tasks (``before_in_ranges``).  ``bucket`` and
+    ``most`` are taken for older callers and change nothing.
     """
-    cols = list(dict.fromkeys([group, bucket, entity, *order]))
-    steps = beside(df.select(*cols), group, order, [entity], bucket=F.col(bucket), most=most)
+    steps = before_in_ranges(df, group, order, [entity])
     x, y = F.col(entity), F.col(f"previous_{entity}")
     pairs = (
         steps.filter(y.isNotNull() & (x != y))

@@ -67,7 +67,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_of(acts: DataFrame) -> DataFrame:
     """Who touched an item right after whom."""
-    return edges_from_sequence(acts, "contentId", "humanId", ["ts", "eventId"], "step")
+    return edges_from_sequence(acts, "contentId", "humanId", ["ts", "eventId"])
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
