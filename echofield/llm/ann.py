@@ -125,6 +125,27 @@ def _chunks(rows: DataFrame) -> DataFrame:
     )
 
 
+def top_rows(queries: np.ndarray, mat: np.ndarray, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ``m`` rows of ``mat`` with the largest inner product, ties to the smaller id, and the products.
+
+    A matrix product tells what may be among them, within its rounding; those
+    rows are added up component by component, so that a pair scores the same
+    wherever it is met and equal products are equal.
+    """
+    rough = queries @ mat.T
+    cut = -np.partition(-rough, m - 1, axis=1)[:, m - 1]
+    longest = np.sqrt((mat**2).sum(axis=1).max()) if len(mat) else 0.0
+    slack = 8 * mat.shape[1] * np.finfo(float).eps * longest * np.sqrt((queries**2).sum(axis=1))
+    kept = rough >= (cut - slack)[:, None]
+    most = int(kept.sum(axis=1).max())
+    # The rows of a query that are kept first; the others are filled up with ones that cannot win.
+    some = np.argsort(~kept, axis=1, kind="stable")[:, :most]
+    exact = (mat[some] * queries[:, None, :]).sum(axis=2)
+    exact[~np.take_along_axis(kept, some, axis=1)] = -np.inf
+    order = np.lexsort((ids[some], -exact), axis=1)[:, :m]
+    return np.take_along_axis(some, order, axis=1), np.take_along_axis(exact, order, axis=1)
+
+
 def visits_for(index: DataFrame, sought: DataFrame, sent, k: int, recall: float) -> int:
     """Leaves to visit so that ``recall`` of the ``k`` nearest vectors are among theirs.
 
@@ -243,11 +264,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
             for i in range(len(batch)):
                 q_ids, q_vecs, ids, vecs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4))
                 q_mat, mat = q_vecs.reshape(len(q_ids), -1), vecs.reshape(len(ids), -1)
-                rough = q_mat @ mat.T
                 m = min(k + 1, len(ids))
-                best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-                # The kept pairs are added up component by component, so a pair scores the same wherever it is met.
-                exact = (mat[best] * q_mat[:, None, :]).sum(axis=2)
+                best, exact = top_rows(q_mat, mat, ids, m)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(q_ids),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(q_ids) + 1, dtype=np.int32) * m),
@@ -256,20 +274,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                                              pa.array(exact.reshape(-1))),
                 ], ["q", "ids", "scores"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k + 1 best of each query, rows of a query one after the other; holds one batch and one query's best."""
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def out(q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(scores)], ["q", "id", "score"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, scores = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            q = np.concatenate([held[0], np.repeat(batch.column(0).to_numpy(), sizes)])
+            ids, scores = np.concatenate([held[1], ids]), np.concatenate([held[2], scores])
+            order = np.lexsort((ids, -scores, q))
+            q, ids, scores = q[order], ids[order], scores[order]
+            # A vector met in several leaves has the same score in each, so its repeats stand side by side.
+            new = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]))
+            q, ids, scores = q[new], ids[new], scores[new]
+            first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            q, ids, scores = (x[nth <= k] for x in (q, ids, scores))
+            # The last query may go on in the next batch.
+            open_ = q == q[-1]
+            yield out(q[~open_], ids[~open_], scores[~open_])
+            held = (q[open_], ids[open_], scores[open_])
+        yield out(*held)
+
     shape = "tree int, leaf bigint, id bigint, vec array<double>"
     blocks = _chunks(index.select("id", "vec").mapInArrow(place, shape))
     asked = _chunks(sought.repartition("id").mapInArrow(route, shape)).withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"})
     scored = asked.join(blocks, ["tree", "leaf"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(
         score, "q bigint, ids array<bigint>, scores array<double>"
     )
-    # visits * (k + 1) entries per query at most.
-    order = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
-    gathered = scored.select("q", order.alias("top")).groupBy("q").agg(F.collect_list("top").alias("all"))
-    # A vector met in several leaves has the same score in each, so its repeats stand side by side.
-    ranked = F.transform(F.array(F.array_sort(F.flatten("all"))), lambda a: F.filter(
-        a, lambda x, i: (i == 0) | (x["id"] != F.get(a, i - 1)["id"])))
-    best = gathered.select("q", F.explode(F.slice(ranked[0], 1, k + 1)).alias("x"))
-    spread = best.select("q", "x.s", "x.id").join(index.select("id", "copies"), "id").groupBy("q").agg(
+    best = scored.repartition("q").sortWithinPartitions("q").mapInArrow(merge, "q bigint, id bigint, score double").select(
+        "q", (-F.col("score")).alias("s"), "id"
+    )
+    spread = best.join(index.select("id", "copies"), "id").groupBy("q").agg(
         F.collect_list(F.transform("copies", lambda c: F.struct(F.col("s"), c.alias("id")))).alias("all")
     )
     lists = spread.select("q", F.slice(F.array_sort(F.flatten("all")), 1, k + 1).alias("top"))

@@ -81,3 +81,37 @@ def test_recall_on_many_vectors_without_structure(spark, tmp_path):
         s[q] = -np.inf
         recall.append(len(set(np.argpartition(-s, 20)[:20]) & set(g["id"])) / 20)
     assert len(recall) == 50 and np.mean(recall) >= 0.9
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    """Integer vectors with over a thousand ties, against sorting everything."""
+    rng = np.random.default_rng(12)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [0.5, *map(float, rng.integers(-40, 40, 3))]) for i in range(1, 1200)]
+    rows += [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(1200, 3000)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 100 == 0, k=20, leaf=64, visits=10_000).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    want = exact(rows, lambda q: q % 100 == 0, 20)
+    assert got == want and [i for i, _ in got[0]][:3] == sorted(i for i, _ in got[0])[:3]
+
+
+def test_sums_that_differ_by_rounding_only():
+    """Rough products of equal vectors may differ in the last digit; the kept rows must not depend on it."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    mat = np.stack([rng.permutation(base) for _ in range(300)] + [base] * 4)
+    ids = rng.permutation(len(mat)) + 10
+    queries = np.ones((3, 64)) * np.array([[1.0], [1e-3], [0.1]])
+    best, scores = ann.top_rows(queries, mat, ids, 21)
+    for q, row, s in zip(queries, best, scores):
+        every = (mat * q).sum(axis=1)
+        order = np.lexsort((ids, -every))[:21]
+        assert (row == order).all() and (s == every[order]).all()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], i, [2], "x") for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id bigint, vec array<int>, score string")
+    found = ann.nearest(frame, F.col("id") % 10 == 0, k=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [(0, 1), (0, 2), (10, 29), (10, 28), (20, 29), (20, 28)]
