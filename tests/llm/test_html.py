@@ -63,3 +63,46 @@ def test_wrappers_named_like_furniture():
     assert html.main_text(parts, {}) == "one two three"
     cards = "<p>one two three</p><article>four</article><div class='related'><article>five six</article></div>"
     assert html.main_text(cards, {}) == "one two three four"
+
+
+def test_quotes_count_only_behind_an_equals_sign():
+    page = "<p data-x=it's>Hello world one</p><p>I don't know</p><p>end words here</p>"
+    assert html.main_text(page, {}) == "Hello world one I don't know end words here"
+    assert html.main_text("<p title='a > b' x = \"c > d\">text here now</p>", {}) == "text here now"
+    assert html.main_text('<p x="never closed>one two three</p><p>four five six</p>', {}) == "one two three four five six"
+    assert html.main_text("<p>one two three</p><p>if a <b then nothing ends", {}) == "one two three if a <b then nothing ends"
+
+
+def test_time_grows_with_the_page_only():
+    import time
+
+    begin = time.perf_counter()
+    for part in ('<a "', "<a x='", '<a x="', "<!", "<![CDATA[", "<script", "<script>", "<i>", "<div class=ad>", "</b>", "<p><i>", "<!--", "<li><b>x",
+                 "<td class=ad><p>", "<article><div class='x ad'>w "):
+        page = part * (1_000_000 // len(part))
+        html.main_text(page, {})
+    assert time.perf_counter() - begin < 60
+
+
+def test_names_that_only_contain_a_noise_word_are_no_furniture():
+    page = ("<article><header><h1>The headline stays</h1></header><p>First words of it all.</p><div class='share-price'>The share price rose today "
+            "a lot</div><p>more text</p><section class='ad-hoc-notes'><p>Notes made ad hoc.</p></section><aside>Related things to read</aside>"
+            "<div class='ad'>Buy this now, it is cheap and good and everyone has one already at home</div><p>Last.</p></article>")
+    assert html.main_text(page, {}) == (
+        "The headline stays First words of it all. The share price rose today a lot more text Notes made ad hoc. Last.")
+
+
+def test_named_noise():
+    for value in ("ad", "cookie-notice", "siteHeader", "left-sidebar", "x share_buttons", "AD", "comments2"):
+        assert html._named_noise(value), value
+    for value in ("share-price", "ad-hoc-notes", "header-photo-essay", "download", "main", "post", "shared", ""):
+        assert not html._named_noise(value), value
+    assert html._furniture("div", "title='class=ad' data-class=ad", False) is None
+    assert html._furniture("div", 'class = "ad box" title=x', False) == ".ad"
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "u", "<p>some words</p>", "old", "k", 5), (None, None, None, None, None, None)]  # text, kind, frame are taken
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, kind string, frame int")
+    got = html.extract(pages, {}).collect()
+    assert [(r["page_id"], r["text"], r["kind"], r["frame"]) for r in got] == [(1, "some words", "k", 5), (None, "", None, None)]
