@@ -11,37 +11,64 @@ one after another.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echofield.llm.common import shared_table, small
+from echofield.llm.common import binary_texts, shared_table, small
 
 MARK = "▁"  # stands for the blank before a word
 BYTE_COST = 10.0
-WORD_SHARE = 5e-7
+PIECE_COST = 5.0
+UNIT_SHARE = 2e-7
+MOST = 1 << 20  # units that travel to all tasks; the rest is joined, whatever its frequency
 PRIME = (1 << 31) - 1
 SPREAD = 4
+CHUNK = 1 << 18  # distinct words held by a task that counts
 
 
 @lru_cache(maxsize=2)
 def _pieces(model: str) -> tuple[tuple[str, int, float], ...]:
-    """(piece, id, score) of the ordinary pieces of a SentencePiece model file."""
+    """(piece, id, score) of the ordinary pieces of a SentencePiece model file.
+
+    The scores of a unigram model are log-probabilities.  Those of a BPE model
+    are ranks of merges (0, -1, -2, ...), whose sum would favour many early
+    pieces; they are read as the log-probabilities of Zipf's law, and each piece
+    costs PIECE_COST more, so that long pieces win as they do in merging.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     odd = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
-    return tuple(
-        (sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)
-    )
+    found = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)]
+    if sorted(-s for _, _, s in found) == list(range(len(found))):
+        found = [(p, i, -PIECE_COST - math.log(2.0 - s)) for p, i, s in found]
+    return tuple(found)
+
+
+@lru_cache(maxsize=2)
+def _adjacent(model: str) -> frozenset[str]:
+    """The pairs of neighbouring characters inside pieces; a path never crosses any other pair."""
+    return frozenset(p[i - 1:i + 1] for p, _, _ in _pieces(model) for i in range(1, len(p)))
+
+
+def units_of(word: str, adjacent: frozenset[str]) -> list[str]:
+    """A word with its mark, cut where no piece spans; a mark inside the word stands alone.
+
+    The best path of a word is those of its units one after another.
+    """
+    marked = MARK + word
+    cuts = [i for i in range(1, len(marked)) if marked[i - 1:i + 1] not in adjacent or marked[i] == MARK or i > 1 and marked[i - 1] == MARK]
+    return [marked[lo:hi] for lo, hi in zip([0, *cuts], [*cuts, len(marked)])]
 
 
 @lru_cache(maxsize=2)
@@ -53,28 +80,41 @@ def _bytes(model: str) -> tuple[int, ...]:
     return tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256))
 
 
+def _floor(model: str) -> float:
+    """The score of a character that is written in bytes."""
+    return min(s for _, _, s in _pieces(model)) - BYTE_COST
+
+
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
     """(piece, id, score); its size is that of the vocabulary file."""
     return spark.createDataFrame(list(_pieces(model)), "piece string, id int, score double")
 
 
-def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -> DataFrame:
+def encode_words(words: DataFrame, model: str) -> DataFrame:
     """(word, ids, score) of distinct words: the path of the largest total score, by Viterbi.
 
     Of equal paths the one whose last piece is longest wins, at every place.
     A mark inside a word is written in bytes, so that only the blank before a
-    word is read as a mark.  Edges stay where the word is: the piece table is
-    broadcast, its size being that of the vocabulary, and words that are already
-    partitioned by ``word`` are not shuffled.  ``carry`` names further columns of
-    ``words``; without it repeated words and nulls are dropped.
+    word is read as a mark.  Repeated words and nulls are dropped.
+    """
+    rows = words.select("word").filter(F.col("word").isNotNull()).distinct()
+    coded = encode_marked(rows.select(F.concat(F.lit(MARK), "word").alias("unit")), model)
+    return coded.select(F.expr("substr(unit, 2)").alias("word"), "ids", "score")
+
+
+def encode_marked(units: DataFrame, model: str) -> DataFrame:
+    """(unit, ids, score) of distinct texts, whose first character alone may be a mark.
+
+    Edges stay where the unit is: the piece table is broadcast, its size being
+    that of the vocabulary, and units that are already partitioned by ``unit`` are
+    not shuffled.  A unit's edges meet in one row, as its path is one value.
     """
-    spark = words.sparkSession
+    spark = units.sparkSession
     pieces = _pieces(model)
     longest = max(len(p) for p, _, _ in pieces)
-    floor = min(s for _, _, s in pieces) - BYTE_COST
-    kept = ["word", *(carry or [])]
-    rows = words.select(*kept) if carry else words.select("word").filter(F.col("word").isNotNull()).distinct()
-    marked = rows.withColumn("_w", F.concat(F.lit(MARK), "word"))
+    floor = _floor(model)
+    kept = ["unit"]
+    marked = units.select("unit", F.col("unit").alias("_w"))
     place = F.explode(F.sequence(F.lit(1), F.char_length("_w"))).alias("start")
     length = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("_w") - F.col("start") + 1))).alias("len")
     parts = marked.select(*kept, "_w", place).select(*kept, "start", "_w", length).select(
@@ -91,32 +131,40 @@ def encode_words(words: DataFrame, model: str, carry: list[str] | None = None) -
         F.coalesce("id", -F.col("end")).alias("step"),
     )
     lattice = edges.groupBy(*kept).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # The state: the place reached, its best path so far, and the best paths to the places
-    # before it, nearest first.  The first edge to a new place moves the old best there.
-    def reached(at: str, before: str, past: str) -> str:
-        return (f"named_struct('at', {at}, 'score', {before}.score + e.score, "
-                f"'path', array_append({before}.path, e.step), 'past', {past})")
-
-    moved = f"slice(concat(array(named_struct('score', s.score, 'path', s.path)), s.past), 1, {longest})"
+    # The state: the place reached, its best score and last edge, the best scores of the places
+    # before it, nearest first, and the last edges of all places before.  Paths are read once, at the end.
+    past = f"slice(concat(array(s.score), s.past), 1, {longest})"
     best = F.expr(f"""aggregate(edges,
-        named_struct('at', 0, 'score', 0D, 'path', CAST(array() AS ARRAY<INT>),
-                     'past', CAST(array() AS ARRAY<STRUCT<score: DOUBLE, path: ARRAY<INT>>>)),
+        named_struct('at', 0, 'score', 0D, 'len', 0, 'step', 0, 'past', CAST(array() AS ARRAY<DOUBLE>),
+                     'done', CAST(array() AS ARRAY<STRUCT<len: INT, step: INT>>)),
         (s, e) -> CASE
-            WHEN e.end > s.at AND e.back = -1 THEN {reached('e.end', 's', moved)}
-            WHEN e.end > s.at THEN {reached('e.end', 's.past[-e.back - 2]', moved)}
-            WHEN s.past[-e.back - 1].score + e.score > s.score THEN {reached('s.at', 's.past[-e.back - 1]', 's.past')}
+            WHEN e.end > s.at AND e.back = -1 THEN named_struct(
+                'at', e.end, 'score', s.score + e.score, 'len', 1, 'step', e.step, 'past', {past},
+                'done', CASE WHEN s.at = 0 THEN s.done ELSE array_append(s.done, named_struct('len', s.len, 'step', s.step)) END)
+            WHEN e.end > s.at THEN named_struct(
+                'at', e.end, 'score', s.past[-e.back - 2] + e.score, 'len', -e.back, 'step', e.step, 'past', {past},
+                'done', CASE WHEN s.at = 0 THEN s.done ELSE array_append(s.done, named_struct('len', s.len, 'step', s.step)) END)
+            WHEN s.past[-e.back - 1] + e.score > s.score THEN named_struct(
+                'at', s.at, 'score', s.past[-e.back - 1] + e.score, 'len', -e.back, 'step', e.step, 'past', s.past, 'done', s.done)
             ELSE s END,
-        s -> named_struct('path', s.path, 'score', s.score))""")
+        s -> named_struct('score', s.score, 'edges', array_append(s.done, named_struct('len', s.len, 'step', s.step))))""")
+    # From the last place back: an edge is on the path where the path has come to its end.
+    path = F.expr("""reverse(aggregate(reverse(b.edges),
+        named_struct('at', size(b.edges), 'want', size(b.edges), 'path', CAST(array() AS ARRAY<INT>)),
+        (t, e) -> CASE WHEN t.at = t.want
+            THEN named_struct('at', t.at - 1, 'want', t.want - e.len, 'path', array_append(t.path, e.step))
+            ELSE named_struct('at', t.at - 1, 'want', t.want, 'path', t.path) END,
+        t -> t.path))""")
     octets = F.array(*[F.lit(i) for i in _bytes(model)])
 
     def written(step: Column) -> Column:
-        char = F.substr(F.concat(F.lit(MARK), "word"), -step, F.lit(1)).cast("binary")
+        char = F.substr("unit", -step, F.lit(1)).cast("binary")
         return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.get(
             octets, F.conv(F.hex(F.substr(char, i, F.lit(1))), 16, 10).cast("int")))
 
-    found = lattice.select(*kept, best.alias("b"))
-    ids = F.flatten(F.transform("b.path", lambda x: F.when(x >= 0, F.array(x)).otherwise(written(x))))
-    return found.select(*kept, ids.alias("ids"), "b.score")
+    found = lattice.select(*kept, best.alias("b")).select(*kept, "b.score", path.alias("path"))
+    ids = F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(written(x))))
+    return found.select(*kept, ids.alias("ids"), "score")
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,119 +198,212 @@ def with_text(coded: DataFrame, model: str) -> DataFrame:
     return coded.mapInArrow(read, coded.withColumn("text", F.lit("")).schema)
 
 
-def count_words(docs: DataFrame, text: str = "text", most: int = 1 << 19) -> DataFrame:
-    """(word, n) over all texts, counted in the tasks before anything is shuffled."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
-        for batch in batches:
-            for part in small(batch, 0):
-                for body in part.column(0).to_pylist():
-                    totals.update(body.split(" ") if body else ())
-                if len(totals) > most:
-                    yield from _counted(totals)
-                    totals = Counter()
-        yield from _counted(totals)
+class _Units:
+    """The units of words, remembered for the words seen lately, and which of them are known to all tasks."""
+
+    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes] | None = None, held: int = 1 << 18) -> None:
+        self.adjacent, self.known, self.held = adjacent, known or {}, held
+        self.seen: dict[str, list[str]] = {}
+
+    def of(self, word: str) -> list[str]:
+        units = self.seen.get(word)
+        if units is None:
+            if len(self.seen) >= self.held:
+                self.seen.clear()
+            units = self.seen[word] = units_of(word, self.adjacent)
+        return units
+
+    def rare(self, words: list[str]) -> dict[str, int]:
+        """The units of a text that are not known, numbered in the order in which they come up."""
+        found: dict[str, int] = {}
+        for word in dict.fromkeys(words):
+            for i, unit in enumerate(self.of(word)):
+                if unit not in self.known and not (i and unit == MARK):
+                    found.setdefault(unit, len(found))
+        return found
+
+
+def _words(text: str | None) -> list[str]:
+    return text.split(" ") if text else []
+
 
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint")
-    # The tasks have combined already; many small partitions keep the lattices of one in memory.
-    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> DataFrame:
+    """(unit, n): the units that make up at least ``share`` of all, at most MOST of them, the most frequent.
 
+    A task counts its texts in chunks and passes on what reaches the share
+    within the chunk, so what is left out of the counts is below twice ``share``.
+    """
+    adjacent = docs.sparkSession.sparkContext.broadcast(_adjacent(model))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Units(adjacent.value)
+        words: Counter[str] = Counter()
+
+        def passed() -> pa.RecordBatch:
+            units: Counter[str] = Counter()
+            for word, n in words.items():
+                for i, unit in enumerate(cutter.of(word)):
+                    if not (i and unit == MARK):
+                        units[unit] += n
+            total = units.total()
+            found = {u: n for u, n in units.items() if n >= share * total}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*found, None], pa.string()), pa.array([*found.values(), total], pa.int64())], ["unit", "n"]
+            )
 
-def _counted(totals: Counter) -> Iterator[pa.RecordBatch]:
-    words, n = list(totals), list(totals.values())
-    for lo in range(0, len(words), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.string()), pa.array(n[part], pa.int64())], ["word", "n"])
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                words.update(_words(body))
+                if len(words) > CHUNK:
+                    yield passed()
+                    words.clear()
+        yield passed()
+
+    counted = shared_table(
+        docs.select(F.col(text)).mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")), "units"
+    )
+    every = counted.filter(F.col("unit").isNull()).select("n").scalar()
+    return counted.filter(F.col("unit").isNotNull() & (F.col("n") >= F.lit(share) * every)).orderBy(F.desc("n"), "unit").limit(MOST)
+
+
+def _array_hashes(lists: list[np.ndarray]) -> np.ndarray:
+    """Spark's xxhash64 of arrays of ints, modulo PRIME, for many arrays at once."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    sizes = np.array([len(x) for x in lists], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.uint64)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    state = np.full(len(lists), 42, np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes[order], -k))  # the arrays with more than k numbers
+        h = state[:n] + p5 + np.uint64(4)
+        h ^= flat[starts[:n] + k] * p1
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        state[:n] = h ^ h >> np.uint64(32)
+    out = np.empty(len(lists), np.int64)
+    out[order] = state.view(np.int64) % PRIME
+    return out
 
 
 def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
-              word_share: float = WORD_SHARE) -> DataFrame:
+              word_share: float = UNIT_SHARE) -> DataFrame:
     """key, n_words, n_pieces, score, digest and ids: the encoding of each whole text.
 
     ``digest`` is the sum over the words, modulo PRIME, of (2 place + 1) times
     the xxhash64 of the word's ids, so it depends on the ids and their order.
-    Every distinct word is encoded once, whatever its frequency.  Words of at
-    least ``word_share`` of all words (at most 1 / word_share) travel to all
-    tasks, the others are joined, and every text's ids are put together once
-    its rare words are known.
+
+    Words are cut into units where no piece spans, and every distinct unit is
+    encoded once, whatever its frequency.  The units of at least ``word_share`` of
+    all travel to all tasks.  The others go by unit through the lattice and
+    from there, as ids, to their texts; a text itself is shuffled once,
+    compressed.  ``docs`` is read three times and has to give its rows in the
+    same order each time, as tables on files do.
     """
     spark = docs.sparkSession
-    coded = shared_table(
-        encode_words(count_words(docs, text), model, ["n"]).select(
-            "word", "n", "score", "ids"
-        ),
-        "encodings",
-    ).withColumns({"pieces": F.size("ids").cast("long"), "h": F.pmod(F.xxhash64("ids"), F.lit(PRIME))})
-    least = word_share * (coded.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    head = coded.filter(F.col("n") >= least).toArrow()
-    place = {w: i for i, w in enumerate(head.column("word").to_pylist())}
-    # One entry more for the words that are not here.
-    figures = [np.append(head.column(c).to_numpy(), 0) for c in ("pieces", "score", "h")]
-    sent = spark.sparkContext.broadcast((place, figures))
-    whole = spark.sparkContext.broadcast({w: _packed(ids) for w, ids in zip(place, head.column("ids").to_pylist())})
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (piece_counts, scores, hashes) = sent.value
-        row = TaskContext.get().partitionId() << 40
+    spread = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = encode_marked(frequent_units(docs, model, text, word_share).select("unit").repartition(spread, "unit"), model)
+    head = head.select("unit", "ids").toArrow()
+    sent = spark.sparkContext.broadcast((
+        _adjacent(model), {u: _packed(ids) for u, ids in zip(head.column("unit").to_pylist(), head.column("ids").to_pylist())}
+    ))
+    scores = np.zeros(1 + max(i for _, i, _ in _pieces(model)))
+    octets = _bytes(model)
+    # A character written in bytes counts once, at its first byte.
+    scores[[i for b, i in enumerate(octets) if b & 0xC0 != 0x80]] = _floor(model)
+    scores[[i for _, i, _ in _pieces(model)]] = [s for _, _, s in _pieces(model)]
+    mark = _packed([octets[b] for b in MARK.encode()])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = numbered.schema["key"].dataType
+
+    def name_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Units(*sent.value)
         for batch in batches:
             for part in small(batch, 1):
-                out: list[list] = [[] for _ in range(9)]
-                for body, owner in zip(part.column(1).to_pylist(), part.column(0).to_pylist()):
-                    listed = body.split(" ") if body else []
-                    words = len(listed)
-                    at = np.fromiter(map(known.get, listed, repeat(-1)), np.int64, words)
-                    weights = (2 * np.arange(words) + 1) % PRIME
-                    pieces, score = int(piece_counts[at].sum()), float(scores[at].sum())
-                    digest = int((weights * hashes[at] % PRIME).sum())
-                    found: dict[str, tuple[int, int]] = {}
-                    for i in np.flatnonzero(at < 0).tolist():
-                        n, w = found.get(listed[i], (0, 0))
-                        found[listed[i]] = n + 1, w + 2 * i + 1
-                    rare = [(row, None, word, n, w % PRIME, 0, 0.0, 0, None) for word, (n, w) in found.items()]
-                    # The text's own row: its key, and a name that no word has, for it holds a blank.
-                    for values in [*rare, (row, owner, f" {row}", words, 0, pieces, score, digest % PRIME, body)]:
-                        for column, value in zip(out, values):
-                            column.append(value)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(out[0], pa.int64()), pa.array(out[1], part.column(0).type), pa.array(out[2], pa.string()),
-                    *(pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(out[3:8])),
-                    pa.array(out[8], pa.string()),
-                ], ["row", "key", "word", "times", "places", "pieces", "score", "digest", "text"])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = whole.value
+                rows, units, nth = [], [], []
+                for row, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = cutter.rare(_words(body))
+                    rows += [row] * len(found)
+                    units += found
+                    nth += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(units, pa.string()), pa.array(nth, pa.int32())],
+                                                 ["row", "unit", "nth"])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small(batch, 2):
+                bodies = [zlib.compress(b, 6) for b in binary_texts(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], ["row", "key", "body"])
+
+    places = numbered.select("row", "text").mapInArrow(name_rare, "row bigint, unit string, nth int").repartition(spread, "unit")
+    # The count has both readers of this shuffle read the same columns, so that it is written once.
+    distinct = places.groupBy("unit").agg(F.count(F.struct("row", "nth")).alias("n")).filter("n > 0")
+    coded = encode_marked(distinct.select("unit"), model).select("unit", "ids")
+    told = places.join(coded, "unit").select("row", "nth", "ids")
+    bodies = numbered.mapInArrow(squeeze, T.StructType([*numbered.schema.fields[:2], T.StructField("body", T.BinaryType())]))
+    met = bodies.unionByName(told, allowMissingColumns=True).repartition(spread, "row").sortWithinPartitions("row", "nth")
+    final = T.StructType([
+        T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_pieces")),
+        T.StructField("score", T.DoubleType()), T.StructField("digest", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one text follow each other: the text, then the ids of its rare units by number."""
+        cutter = _Units(*sent.value)
+        known = cutter.known
+        docs_held: list[tuple] = []  # (key, words, ids of the rare units)
+        size, like = 0, pa.null()
+
+        def put_together() -> pa.RecordBatch:
+            coded: dict[str, np.ndarray] = {}
+            for _, words, rare_ids in docs_held:
+                rare = cutter.rare(words) if rare_ids else {}
+                for word in dict.fromkeys(words):
+                    if word not in coded:
+                        coded[word] = np.frombuffer(b"".join([
+                            mark if i and u == MARK else known[u] if u in known else rare_ids[rare[u]]
+                            for i, u in enumerate(cutter.of(word))
+                        ]), np.int32)
+            at = {w: i for i, w in enumerate(coded)}
+            lists = list(coded.values())
+            sizes = np.array([len(x) for x in lists], np.int64)
+            ends = np.cumsum(sizes)
+            sums = np.append(0.0, np.cumsum(scores[np.concatenate([np.zeros(0, np.int32), *lists])]))
+            hashes, totals = _array_hashes(lists), sums[ends] - sums[ends - sizes]
+            columns: list[list] = [[] for _ in range(6)]
+            for owner, words, _ in docs_held:
+                places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+                weights = (2 * np.arange(len(words)) + 1) % PRIME
+                ids = np.concatenate([np.zeros(0, np.int32), *(lists[i] for i in places.tolist())])
+                digest = int((weights * hashes[places] % PRIME).sum()) % PRIME
+                for column, value in zip(columns, (owner, len(words), len(ids), float(totals[places].sum()), digest, ids)):
+                    column.append(value)
+            edges = np.cumsum([0, *(len(x) for x in columns[5])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *columns[5]])
+            return pa.RecordBatch.from_arrays([
+                pa.array(columns[0], like), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+                pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)),
+            ], final.names)
+
         for batch in batches:
-            for part in small(batch, 5):
-                bodies, names, lists = (part.column(c).to_pylist() for c in (5, 6, 7))
-                joined = []
-                for body, rare, ids in zip(bodies, names, lists):
-                    own_words = dict(zip(rare, map(_packed, ids)))
-                    words = body.split(" ") if body else ()
-                    joined.append(b"".join([known[w] if w in known else own_words[w] for w in words]))
-                ends = np.cumsum([0, *(len(x) // 4 for x in joined)]).astype(np.int32)
-                every = pa.array(np.frombuffer(b"".join(joined), np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.ListArray.from_arrays(pa.array(ends), every)], final)
-
-    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    kind = slim.schema["_key"].dataType.simpleString()
-    schema = f"row bigint, key {kind}, word string, times bigint, places bigint, pieces bigint, score double, digest bigint, text string"
-    found = slim.mapInArrow(look_up, schema)
-    seldom = coded.filter(F.col("n") < least).select("word", F.col("pieces").alias("p"), F.col("score").alias("s"), "h", "ids")
-    zero = F.lit(0).cast("long")
-    own = F.col("word").startswith(" ")
-    rare = F.collect_list(F.when(~own, F.struct("word", "ids")))
-    texts = found.join(seldom, "word", "left").groupBy("row").agg(
-        F.max("key").alias(key), F.sum(F.when(own, F.col("times"))).alias("n_words"),
-        F.sum(F.when(own, F.col("pieces")).otherwise(F.col("times") * F.coalesce("p", zero))).alias("n_pieces"),
-        F.sum(F.when(own, F.col("score")).otherwise(F.col("times") * F.coalesce("s", F.lit(0.0)))).alias("score"),
-        F.sum(F.when(own, F.col("digest")).otherwise(F.col("places") * F.coalesce("h", zero) % PRIME)).alias("d"),
-        F.first("text", ignorenulls=True).alias("text"), rare.alias("rare"),
-    ).select(key, "n_words", "n_pieces", "score", (F.col("d") % PRIME).alias("digest"), "text",
-             F.col("rare.word").alias("names"), F.col("rare.ids").alias("lists"))
-    final = [key, "n_words", "n_pieces", "score", "digest", "ids"]
-    return texts.mapInArrow(put_together, texts.select(*final[:5], F.array().cast("array<int>").alias("ids")).schema)
+            like = batch.schema.field("key").type
+            for owner, body, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "ids"))):
+                if body is None:
+                    docs_held[-1][2].append(_packed(ids))
+                    continue
+                if size > 1 << 21:
+                    yield put_together()
+                    docs_held, size = [], 0
+                words = _words(zlib.decompress(body).decode())
+                docs_held.append((owner, words, []))
+                size += len(body) * 3
+        if docs_held:
+            yield put_together()
+
+    return met.select("key", "body", "ids").mapInArrow(assemble, final)
 
 
 def _packed(ids: list[int]) -> bytes:
