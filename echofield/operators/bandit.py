@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from echofield.functions.columns import gauss, require, total, uni
 from echofield.functions.ranking import chunked
-from echofield.functions.skew import fanned_join
 from echofield.functions.special import kolmogorov_tail
 
 GAMMA_ROUNDS = 32  # a round is rejected with a chance below 5%, so all of them with one below 1e-41
@@ -112,7 +111,7 @@ def score_pairs(pairs: DataFrame, item_scores: DataFrame) -> DataFrame:
     is never written out: consumers need it only for their candidate pairs.
     """
     scores = item_scores.select("contentId", "emotionType", "score")
-    joined = fanned_join(pairs.select("humanId", "contentId"), scores, "contentId", "humanId")
+    joined = pairs.select("humanId", "contentId").join(scores, "contentId")
     return joined.select("humanId", "contentId", "emotionType", "score")
 
 

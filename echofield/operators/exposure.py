@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from echofield import schemas as S
 from echofield.functions.columns import poisson_draws, total, uni
 from echofield.functions.ranking import dense_index
-from echofield.functions.skew import fanned_join
 from echofield.operators.sampling import bernoulli_filter
 
 TRAITS = ("attentionSpan", "addictionCoeff", "mood")
@@ -31,7 +30,7 @@ def pair_scores(
 ) -> DataFrame:
     """attention x addiction x visibility x rate for each given (humanId, contentId) pair."""
     traits = pairs.select("humanId", "contentId").join(people.select("humanId", *TRAITS), "humanId")
-    joined = fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId")
+    joined = traits.join(items.select("contentId", *ITEM_COLUMNS), "contentId")
     return joined.withColumn(
         "exposureProb",
         F.col("attentionSpan") * F.col("addictionCoeff") * F.col("visibility") * F.lit(rate),
@@ -98,14 +97,18 @@ def _as_exposures(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def neighbor_candidates(people: DataFrame, activity: DataFrame, items: DataFrame) -> DataFrame:
-    """People with the items their neighbours touched; the rows of a popular item meet it in many tasks."""
+    """People with the items their neighbours touched.
+
+    Where one item holds a large share of the rows, adaptive execution splits its
+    partition by the sizes it sees; other items are neither repeated nor counted first.
+    """
     traits = activity.join(people.select("humanId", *TRAITS), "humanId")
-    return fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId").select(*CANDIDATE)
+    return traits.join(items.select("contentId", *ITEM_COLUMNS), "contentId").select(*CANDIDATE)
 
 
 def _fill_pairs(pairs: DataFrame, people: DataFrame, items: DataFrame) -> DataFrame:
     traits = pairs.select("humanId", "contentId").join(people.select("humanId", *TRAITS), "humanId")
-    filled = fanned_join(traits, items.select("contentId", *ITEM_COLUMNS), "contentId", "humanId")
+    filled = traits.join(items.select("contentId", *ITEM_COLUMNS), "contentId")
     return filled.withColumn("neighbor_count", F.lit(0).cast("long")).select(*CANDIDATE)
 
 
@@ -153,7 +156,7 @@ def blend_scores(
         return df.withColumn("exposureProb", traits * proof)
     keys = [k for k in ("humanId", "contentId") if k in scores.columns]
     scored = scores.select(*keys, "score")
-    joined = fanned_join(df, scored, "contentId", "humanId", "left") if keys == ["contentId"] else df.join(scored, keys, "left")
+    joined = df.join(scored, keys, "left")
     value = F.coalesce(F.col("score"), F.lit(0.0))
     return joined.withColumn("recommender_score", value).drop("score").withColumn(
         "exposureProb", traits * (proof * F.lit(0.5) + F.col("recommender_score") * F.lit(0.5))

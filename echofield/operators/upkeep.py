@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import clip, require, total, uni
-from echofield.functions.skew import fanned_join
 
 FANOUT = 128  # children of a node in the tree of blocks
 LOW_ATTENTION = 0.5  # fixed value: attention recovers below this
@@ -90,7 +89,7 @@ def fold_by_step(
             ),
         )
         levels = counts.select("_t").distinct().withColumn("attentionSpan", level)
-        return fanned_join(counts, levels, "_t", key).select(key, step, "n", "attentionSpan")
+        return counts.join(levels, "_t").select(key, step, "n", "attentionSpan")
     ends = events.agg(F.min(F.col(step).cast("long")), F.max(F.col(step).cast("long"))).first()
     last = 0 if ends[1] is None else ends[1] - (ends[0] if first_step is None else first_step)
     return _fold_fatigue(counts, key, step, start, accumulation, recovery, block, last)

@@ -58,6 +58,18 @@ def append_metrics(spark, sf_dir):
     return snap.metrics_history(spark, path)
 
 
+@query("append_metrics_again", "SELECT * FROM class_rows ORDER BY timeStep")
+def append_metrics_again(spark, sf_dir):
+    """All steps are appended, then the last ten once more, as by a job that failed and ran again."""
+    path = scratch_path(spark, "metrics")
+    counts = a.states(spark, sf_dir).groupBy(F.col("step").alias("timeStep")).agg(
+        F.count_if(F.col("mood") == S.JOY).alias("joyCount"), F.count_if(F.col("mood") == S.RAGE).alias("rageCount")
+    )
+    snap.append_metrics(counts.withColumn("joyCount", F.lit(-1).cast("long")).filter("timeStep >= 20"), path, "timeStep")
+    snap.append_metrics(counts, path, "timeStep")
+    return snap.metrics_history(spark, path)
+
+
 @query("metrics_history", "SELECT timeStep, joyCount, rageCount FROM class_rows ORDER BY timeStep")
 def metrics_history(spark, sf_dir):
     from echofield.operators.metrics import as_metrics_row
@@ -148,6 +160,24 @@ _report("csv")
 _report("json")
 
 
+@query("nested_report", f"""
+WITH days AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM events) AS n_events, (SELECT CAST(avg(value) * 100 AS BIGINT) FROM events) AS mean_cents,
+       event_type, n, days FROM (SELECT event_type, CAST(sum(n) AS BIGINT) AS n, count(*) AS days FROM days GROUP BY 1)
+""")
+def nested_report(spark, sf_dir):
+    """Totals and types written as one JSON object and read back."""
+    df = a.events(spark, sf_dir)
+    overall = df.agg(F.count(F.lit(1)).alias("n_events"), F.avg("value").alias("mean"))
+    types = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("ts")).alias("days"))
+    path = scratch_path(spark, "nested-report")
+    ex.write_nested_report({"overall": overall, "types": types}, path, ["overall"])
+    schema = "overall struct<n_events:long,mean:double>, types array<struct<event_type:string,n:long,days:long>>"
+    back = spark.read.schema(schema).json(path)
+    return back.select("overall", F.explode("types").alias("t")).select(
+        "overall.n_events", F.round(F.col("overall.mean") * 100).cast("long").alias("mean_cents"), "t.*")
+
+
 @query("registry_lookup", """
 SELECT o_orderkey AS id, o_orderpriority AS name, o_orderstatus AS status, o_orderdate AS createdAt FROM orders
 WHERE o_orderstatus = 'F' AND o_orderpriority ILIKE '%urg%' ORDER BY createdAt DESC

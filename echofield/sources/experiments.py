@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,3 +92,24 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.option("header", "true").csv(path)
     else:
         writer.json(path)
+
+
+def nested_report(parts: Mapping[str, DataFrame], single: Sequence[str] = ()) -> DataFrame:
+    """One row with a column per part: its rows as a list, or its only row where it is named in ``single``.
+
+    The parts are results, a row per condition or pair of conditions.  Written as
+    JSON the row is one object that holds them all.
+    """
+    require(len(parts) > 0, "a report needs at least one part")
+    columns = []
+    for name, df in parts.items():
+        rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
+        whole = total(df, rows)
+        columns.append((F.get(whole, F.lit(0)) if name in single else whole).alias(name))
+    spark = next(iter(parts.values())).sparkSession
+    return spark.range(1).select(*columns)
+
+
+def write_nested_report(parts: Mapping[str, DataFrame], path: str, single: Sequence[str] = ()) -> None:
+    """Write ``nested_report`` as one JSON object in one file below ``path``."""
+    nested_report(parts, single).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

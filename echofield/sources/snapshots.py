@@ -57,14 +57,22 @@ def read_snapshots(
     return df.select("*", step.alias("step"))
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append metrics rows."""
-    df.write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, step: str | None = None) -> None:
+    """Append metrics rows.
+
+    With ``step`` the table is kept in one folder per value of that column, and
+    the rows replace those of the same steps: a step that runs again, after a
+    failure or a retry, leaves the table as one run does.
+    """
+    if step is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(step).parquet(path)
 
 
 def metrics_history(spark: SparkSession, path: str, step: str = "timeStep") -> DataFrame:
-    """All metrics rows by step."""
-    return spark.read.parquet(path).orderBy(step)
+    """All metrics rows by step, kept in folders per step or not."""
+    return spark.read.parquet(path).withColumn(step, F.col(step).cast("long")).orderBy(step)
 
 
 def read_or_default(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -205,3 +206,27 @@ def test_events_are_combined_before_the_shuffle(spark):
     df = df.union(df.limit(1).select(F.lit(9).cast("long"), F.lit(None).cast("timestamp"), F.lit(True)))
     got = sorted(tuple(r) for r in combined(df, "2024-01-01 00:00:00", "humanId", "ts", DAY).na.fill(-1, ["humanId"]).collect())
     assert got == [(-1, 0, 1, 1), (0, 0, 1000, 2000), (3, 1, 0, 1)]
+
+
+def test_a_step_that_runs_again_replaces_its_metrics(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = lambda *r: spark.createDataFrame(r, "timeStep long, n long")
+    snap.append_metrics(rows((0, 5), (1, 6)), path, "timeStep")
+    snap.append_metrics(rows((1, 7), (10, 8)), path, "timeStep")
+    snap.append_metrics(rows((1, 7), (10, 8)), path, "timeStep")
+    history = snap.metrics_history(spark, path)
+    assert [(r.timeStep, r.n) for r in history.collect()] == [(0, 5), (1, 7), (10, 8)]
+    assert dict(history.dtypes)["timeStep"] == "bigint"
+
+
+def test_nested_report(spark, tmp_path):
+    one = spark.createDataFrame([(2.5, None)], "f double, p double")
+    pairs = spark.createDataFrame([("b", "c", 0.5), ("a", "b", None)], "g1 string, g2 string, p double")
+    ex.write_nested_report({"anova": one, "pairwise": pairs, "none": pairs.limit(0), "missing": pairs.limit(0)}, str(tmp_path / "r"), ["anova", "missing"])
+    (line,) = [x.value for x in spark.read.text(str(tmp_path / "r")).collect()]
+    assert json.loads(line) == {
+        "anova": {"f": 2.5, "p": None}, "none": [], "missing": None,
+        "pairwise": [{"g1": "a", "g2": "b", "p": None}, {"g1": "b", "g2": "c", "p": 0.5}],
+    }
+    with pytest.raises(ValueError):
+        ex.nested_report({})
