@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -199,30 +200,74 @@ def with_text(coded: DataFrame, model: str) -> DataFrame:
 
 
 class _Units:
-    """The units of words, remembered for the words seen lately, and which of them are known to all tasks."""
-
-    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes] | None = None, held: int = 1 << 18) -> None:
-        self.adjacent, self.known, self.held = adjacent, known or {}, held
-        self.seen: dict[str, list[str]] = {}
-
-    def of(self, word: str) -> list[str]:
-        units = self.seen.get(word)
-        if units is None:
-            if len(self.seen) >= self.held:
-                self.seen.clear()
-            units = self.seen[word] = units_of(word, self.adjacent)
-        return units
-
-    def rare(self, words: list[str]) -> dict[str, int]:
-        """The units of a text that are not known, numbered in the order in which they come up."""
+    """Which units of words are not known to all tasks, remembered for the words seen lately."""
+
+    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes], held: int = 1 << 18) -> None:
+        self.adjacent, self.known, self.held = adjacent, known, held
+        self.seen: dict[str, tuple[str, ...]] = {}
+
+    def units(self, word: str) -> list[str]:
+        """The units of a word without the marks inside it, which are always written in bytes."""
+        units = units_of(word, self.adjacent)
+        return units if MARK not in word else [u for i, u in enumerate(units) if not (i and u == MARK)]
+
+    def __call__(self, words: list[str]) -> dict[str, int]:
+        """The rare units of a text, numbered in the order in which they come up."""
         found: dict[str, int] = {}
+        seen = self.seen
         for word in dict.fromkeys(words):
-            for i, unit in enumerate(self.of(word)):
-                if unit not in self.known and not (i and unit == MARK):
-                    found.setdefault(unit, len(found))
+            rare = seen.get(word)
+            if rare is None:
+                if len(seen) >= self.held:
+                    seen.clear()
+                rare = seen[word] = tuple(u for u in self.units(word) if u not in self.known)
+            for unit in rare:
+                found.setdefault(unit, len(found))
         return found
 
 
+class _Coded:
+    """Ids, sums and hashes of words, as arrays that grow with the words asked for."""
+
+    def __init__(self, known: dict[str, bytes], adjacent: frozenset[str], mark: bytes, scores: np.ndarray) -> None:
+        self.known, self.adjacent, self.mark, self.scores = known, adjacent, mark, scores
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(0, np.int32)
+        self.starts = self.sizes = self.hashes = np.zeros(0, np.int64)
+        self.totals = np.zeros(0)
+
+    def add(self, words: list[str], rare: dict[str, bytes]) -> None:
+        """Enter words that are not there yet; ``rare`` has the ids of their units that not all tasks know."""
+        known, mark, parts, sizes = self.known, self.mark, [], []
+        for word in words:
+            units = units_of(word, self.adjacent)
+            if len(units) == 1:
+                ids = known.get(units[0]) or rare[units[0]]
+            else:
+                ids = b"".join([mark if i and u == MARK else known.get(u) or rare[u] for i, u in enumerate(units)])
+            self.at[word] = len(self.at)
+            parts.append(ids)
+            sizes.append(len(ids) >> 2)
+        flat, sizes = np.frombuffer(b"".join(parts), np.int32), np.array(sizes, np.int64)
+        ends = np.cumsum(sizes)
+        sums = np.append(0.0, np.cumsum(self.scores[flat]))
+        self.starts = np.concatenate([self.starts, ends - sizes + len(self.flat)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.totals = np.concatenate([self.totals, sums[ends] - sums[ends - sizes]])
+        self.hashes = np.concatenate([self.hashes, _array_hashes(flat, sizes)])
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """The ids of words one after another."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[places] - ends + sizes, sizes)
+        return self.flat[index]
+
+
 def _words(text: str | None) -> list[str]:
     return text.split(" ") if text else []
 
@@ -231,22 +276,23 @@ def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> Data
     """(unit, n): the units that make up at least ``share`` of all, at most MOST of them, the most frequent.
 
     A task counts its texts in chunks and passes on what reaches the share
-    within the chunk, so what is left out of the counts is below twice ``share``.
+    within the chunk and came up twice.  What is left out is below twice
+    ``share``, and once per chunk.
     """
     adjacent = docs.sparkSession.sparkContext.broadcast(_adjacent(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Units(adjacent.value)
+        cutter = _Units(adjacent.value, {})
         words: Counter[str] = Counter()
 
         def passed() -> pa.RecordBatch:
             units: Counter[str] = Counter()
             for word, n in words.items():
-                for i, unit in enumerate(cutter.of(word)):
-                    if not (i and unit == MARK):
-                        units[unit] += n
+                for unit in cutter.units(word):
+                    units[unit] += n
             total = units.total()
-            found = {u: n for u, n in units.items() if n >= share * total}
+            least = max(2, share * total)
+            found = {u: n for u, n in units.items() if n >= least}
             return pa.RecordBatch.from_arrays(
                 [pa.array([*found, None], pa.string()), pa.array([*found.values(), total], pa.int64())], ["unit", "n"]
             )
@@ -266,23 +312,23 @@ def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> Data
     return counted.filter(F.col("unit").isNotNull() & (F.col("n") >= F.lit(share) * every)).orderBy(F.desc("n"), "unit").limit(MOST)
 
 
-def _array_hashes(lists: list[np.ndarray]) -> np.ndarray:
-    """Spark's xxhash64 of arrays of ints, modulo PRIME, for many arrays at once."""
+def _array_hashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of arrays of ints, modulo PRIME, for many arrays that lie one after another."""
     p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-    sizes = np.array([len(x) for x in lists], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.uint64)
+    falling = sizes[order]
     starts = (np.cumsum(sizes) - sizes)[order]
-    state = np.full(len(lists), 42, np.uint64)
+    numbers = flat.astype(np.uint32).astype(np.uint64)
+    state = np.full(len(sizes), 42, np.uint64)
     for k in range(int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sizes[order], -k))  # the arrays with more than k numbers
+        n = int(np.searchsorted(-falling, -k))  # the arrays with more than k numbers
         h = state[:n] + p5 + np.uint64(4)
-        h ^= flat[starts[:n] + k] * p1
+        h ^= numbers[starts[:n] + k] * p1
         h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
         h = (h ^ h >> np.uint64(33)) * p2
         h = (h ^ h >> np.uint64(29)) * p3
         state[:n] = h ^ h >> np.uint64(32)
-    out = np.empty(len(lists), np.int64)
+    out = np.empty(len(sizes), np.int64)
     out[order] = state.view(np.int64) % PRIME
     return out
 
@@ -323,7 +369,7 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
             for part in small(batch, 1):
                 rows, units, nth = [], [], []
                 for row, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = cutter.rare(_words(body))
+                    found = cutter(_words(body))
                     rows += [row] * len(found)
                     units += found
                     nth += found.values()
@@ -340,7 +386,10 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     # The count has both readers of this shuffle read the same columns, so that it is written once.
     distinct = places.groupBy("unit").agg(F.count(F.struct("row", "nth")).alias("n")).filter("n > 0")
     coded = encode_marked(distinct.select("unit"), model).select("unit", "ids")
-    told = places.join(coded, "unit").select("row", "nth", "ids")
+    # Two or four bytes a number travel, not an array.
+    wide = 8 if max(i for _, i, _ in _pieces(model)) >= 1 << 16 else 4
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("long")), wide, "0")), ""))
+    told = places.join(coded.select("unit", packed.alias("ids")), "unit").select("row", "nth", "ids")
     bodies = numbered.mapInArrow(squeeze, T.StructType([*numbered.schema.fields[:2], T.StructField("body", T.BinaryType())]))
     met = bodies.unionByName(told, allowMissingColumns=True).repartition(spread, "row").sortWithinPartitions("row", "nth")
     final = T.StructType([
@@ -351,60 +400,59 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one text follow each other: the text, then the ids of its rare units by number."""
-        cutter = _Units(*sent.value)
-        known = cutter.known
-        docs_held: list[tuple] = []  # (key, words, ids of the rare units)
+        adjacent, known = sent.value
+        cutter, coded = _Units(adjacent, known), _Coded(known, adjacent, mark, scores)
+        texts: list[tuple] = []  # (key, words, ids of the rare units)
         size, like = 0, pa.null()
 
         def put_together() -> pa.RecordBatch:
-            coded: dict[str, np.ndarray] = {}
-            for _, words, rare_ids in docs_held:
-                rare = cutter.rare(words) if rare_ids else {}
-                for word in dict.fromkeys(words):
-                    if word not in coded:
-                        coded[word] = np.frombuffer(b"".join([
-                            mark if i and u == MARK else known[u] if u in known else rare_ids[rare[u]]
-                            for i, u in enumerate(cutter.of(word))
-                        ]), np.int32)
-            at = {w: i for i, w in enumerate(coded)}
-            lists = list(coded.values())
-            sizes = np.array([len(x) for x in lists], np.int64)
-            ends = np.cumsum(sizes)
-            sums = np.append(0.0, np.cumsum(scores[np.concatenate([np.zeros(0, np.int32), *lists])]))
-            hashes, totals = _array_hashes(lists), sums[ends] - sums[ends - sizes]
-            columns: list[list] = [[] for _ in range(6)]
-            for owner, words, _ in docs_held:
-                places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-                weights = (2 * np.arange(len(words)) + 1) % PRIME
-                ids = np.concatenate([np.zeros(0, np.int32), *(lists[i] for i in places.tolist())])
-                digest = int((weights * hashes[places] % PRIME).sum()) % PRIME
-                for column, value in zip(columns, (owner, len(words), len(ids), float(totals[places].sum()), digest, ids)):
-                    column.append(value)
-            edges = np.cumsum([0, *(len(x) for x in columns[5])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *columns[5]])
+            rare: dict[str, bytes] = {}
+            for _, words, ids in texts:
+                if ids:
+                    rare.update(zip(cutter(words), ids))
+            if len(coded.at) > 1 << 18:
+                coded.clear()
+            coded.add([w for w in dict.fromkeys(chain.from_iterable(t[1] for t in texts)) if w not in coded.at], rare)
+            n_words = np.array([len(t[1]) for t in texts], np.int64)
+            places = np.fromiter(map(coded.at.__getitem__, chain.from_iterable(t[1] for t in texts)), np.int64, n_words.sum())
+            ends = np.cumsum(n_words)
+            nth = np.arange(len(places)) - np.repeat(ends - n_words, n_words)
+            terms = (2 * nth + 1) % PRIME * coded.hashes[places] % PRIME
+
+            def per_text(values: np.ndarray) -> np.ndarray:
+                sums = np.append(values.dtype.type(0), np.cumsum(values))
+                return sums[ends] - sums[ends - n_words]
+
+            n_pieces = per_text(coded.sizes[places])
+            edges = np.append(0, np.cumsum(n_pieces)).astype(np.int32)
             return pa.RecordBatch.from_arrays([
-                pa.array(columns[0], like), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)),
+                pa.array([t[0] for t in texts], like), pa.array(n_words), pa.array(n_pieces),
+                pa.array(per_text(coded.totals[places])), pa.array(per_text(terms) % PRIME),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(coded.ids(places))),
             ], final.names)
 
         for batch in batches:
             like = batch.schema.field("key").type
             for owner, body, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "ids"))):
                 if body is None:
-                    docs_held[-1][2].append(_packed(ids))
+                    texts[-1][2].append(_widened(ids, wide))
                     continue
-                if size > 1 << 21:
+                if size > 1 << 22:
                     yield put_together()
-                    docs_held, size = [], 0
-                words = _words(zlib.decompress(body).decode())
-                docs_held.append((owner, words, []))
-                size += len(body) * 3
-        if docs_held:
+                    texts, size = [], 0
+                text = zlib.decompress(body).decode()
+                texts.append((owner, _words(text), []))
+                size += len(text)
+        if texts:
             yield put_together()
 
     return met.select("key", "body", "ids").mapInArrow(assemble, final)
 
 
+def _widened(ids: bytes, wide: int) -> bytes:
+    """Big-endian numbers of ``wide`` / 2 bytes as four-byte numbers of this machine."""
+    return np.frombuffer(ids, ">u2" if wide == 4 else ">u4").astype(np.int32).tobytes()
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
