@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import require, total
-from echofield.functions.ranking import quantiles
+from echofield.functions.ranking import dense_index, quantiles
 from echofield.functions.special import f_tail, t_two_sided
 from echofield.functions.vectors import array_percentile, poisson_weights, weighted_sums
 
@@ -72,14 +72,18 @@ def pairwise_ttests(
 ) -> DataFrame:
     """t-test of every two conditions, with the Bonferroni flag p < alpha / number of pairs.
 
-    Conditions are compared on their summaries.  There is one summary per
-    condition of the experiment, so pairing them needs no join of the data.
+    Conditions are compared on their summaries.  The summaries are numbered and
+    each is sent to those with a larger number, an equi-join: there is a row per
+    pair, never one that holds all conditions.
     """
-    row = F.struct(F.col(by).alias("c"), "n", F.col("mean").alias("m"), F.col("var").alias("v"))
-    packed = _moments(df, [by], col).agg(F.sort_array(F.collect_list(row)).alias("_all"))
-    firsts = packed.select("_all", F.posexplode("_all").alias("_i", "_x"))
-    rest = F.slice(F.col("_all"), F.col("_i") + 2, F.greatest(F.size("_all") - F.col("_i") - 1, F.lit(0)))
-    pairs = firsts.select("_x", F.explode(rest).alias("_y"), F.size("_all").alias("_k"))
+    m = _moments(df, [by], col).filter(F.col(by).isNotNull())
+    row = F.struct(F.col(by).alias("c"), "n", F.col("mean").alias("m"), F.col("var").alias("v")).alias("_s")
+    numbered = dense_index(m.select(by, row), by, "_i").select("_i", "_s")
+    k = total(m, F.count(F.lit(1)))
+    later = F.sequence(F.col("_i") + 1, F.col("_k") - 1)
+    first = numbered.withColumn("_k", k).filter(F.col("_i") + 1 < F.col("_k")).select(
+        F.col("_s").alias("_one"), "_k", F.explode(later).alias("_i"))
+    pairs = first.join(numbered, "_i").select(F.least("_one", "_s").alias("_x"), F.greatest("_one", "_s").alias("_y"), "_k")
     flat = pairs.select(
         F.col("_x.c").alias("group1"), F.col("_y.c").alias("group2"), "_k",
         *[F.col(f"_{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "x"), (2, "y")) for c in ("n", "m", "v")],
@@ -88,10 +92,10 @@ def pairwise_ttests(
     tested = flat.withColumns({"t_stat": t, "_df": dof}).withColumn(
         "p_value", t_two_sided(F.col("t_stat"), F.col("_df"))
     )
-    m = F.col("_k") * (F.col("_k") - 1) / 2
+    tests = F.col("_k") * (F.col("_k") - 1) / 2
     return tested.select(
         "group1", "group2", "t_stat", "p_value", (F.col("m1") - F.col("m2")).alias("mean_diff"),
-        (F.col("p_value") < F.try_divide(F.lit(alpha), m)).alias("significant"),
+        (F.col("p_value") < F.try_divide(F.lit(alpha), tests)).alias("significant"),
     )
 
 
