@@ -14,27 +14,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 TEXTS, CHARS = 96, 256
 READ = 4  # characters read for each symbol kept
-ALPHABET = 120
+LANGUAGES = 512  # languages with the most texts in the sample
+CELLS = 1 << 25  # moves of all languages together that are held as full tables
 BLOCK = 1024
-_LANES = 1 << 14
+_LANES = 1 << 13
 _BREAK = np.uint32(1 << 31)
 _STATE = np.uint32((1 << 31) - 1)
 
 
 def training_sample(docs: DataFrame, use: Column, texts: int = TEXTS, chars: int = CHARS, text: str = "text",
-                    lang: str = "lang") -> list[tuple[str, str]]:
+                    lang: str = "lang", languages: int = LANGUAGES) -> list[tuple[str, str]]:
     """(lang, text) of at most ``texts`` labelled texts per language, ``chars`` symbols of each.
 
     The bounded sample that the models are fitted on.  Texts are dealt into
     ``texts`` bins by a hash of the text alone and the smallest hash of each
     bin is taken, so copies count once and the choice does not depend on the
-    partitions.  Rows without label, without letters or not in ``use`` are left out.
+    partitions.  Rows without label, without letters or not in ``use`` are left out,
+    and so are labels beyond the ``languages`` that fill the most bins.
     """
     rows = docs.filter(use & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("h"),
@@ -43,7 +45,11 @@ def training_sample(docs: DataFrame, use: Column, texts: int = TEXTS, chars: int
     best = rows.groupBy("lang", F.pmod("h", F.lit(texts)).alias("bin")).agg(F.min(F.struct("h", "text")).alias("s"))
     snippet = F.substring(F.lower(F.regexp_replace("s.text", r"\P{L}+", " ")), 1, chars)
     found = best.select("lang", "s.h", snippet.alias("text"))
-    return [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))]
+    # At most ``texts`` rows of a language are here; those of the languages with most come to the driver.
+    found = found.withColumn("_bins", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    taken = found.orderBy(F.desc("_bins"), "lang", "h").limit(languages * texts).collect()
+    known = set(list(dict.fromkeys(r["lang"] for r in taken))[:languages])
+    return [(r["lang"], r["text"]) for r in sorted(taken, key=lambda r: (r["lang"], r["h"])) if r["lang"] in known]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -76,53 +82,77 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def phrase_table(symbols: list[int], size: int) -> np.ndarray:
-    """Dense transitions for cross-parsing: the next state, with the top bit set when a phrase ends first.
+class Phrases:
+    """Moves for cross-parsing one language: the next state, with the top bit set when a phrase ends first.
 
-    The last row stands for a phrase that was one unseen symbol: whatever
-    follows starts another phrase.
+    Symbols from ``size`` on occur in no text.  One state more stands for a
+    phrase that was one unseen symbol: whatever follows starts another.  Moves
+    are a full table, or where that is too large the moves that exist, by state
+    and symbol; both read a text alike.
     """
-    moves = suffix_automaton(symbols)
-    void = len(moves)
-    first = np.full(size, void, np.uint32)
-    for s, to in moves[0].items():
-        if s < size:
-            first[s] = to
-    table = np.tile(first | _BREAK, (void + 1, 1))
-    table[0] = first
-    for state, out in enumerate(moves[1:], 1):
-        for s, to in out.items():
+
+    def __init__(self, symbols: list[int], size: int):
+        moves = suffix_automaton(symbols)
+        self.size, self.states = size, len(moves) + 1
+        self.first = np.full(size, len(moves), np.uint32)
+        for s, to in moves[0].items():
             if s < size:
-                table[state, s] = to
-    return table
+                self.first[s] = to
+        listed = [(state, s, to) for state, out in enumerate(moves[1:], 1) for s, to in out.items() if s < size]
+        flat = np.array(listed, np.int64).reshape(-1, 3)
+        keys = flat[:, 0] * size + flat[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(flat[order, 2], 0).astype(np.uint32)
+        self.table: np.ndarray | None = None
+
+    def fill(self) -> None:
+        """Hold the moves as a full table."""
+        table = np.tile(self.first | _BREAK, (self.states, 1))
+        table[0] = self.first
+        table = table.reshape(-1)
+        table[self.keys[:-1]] = self.to[:-1]
+        self.table = table
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table.take(state * np.uint32(self.size) + symbol)
+        key = state.astype(np.int64) * self.size + symbol
+        at = np.searchsorted(self.keys, key)
+        fresh = self.first.take(symbol)
+        return np.where(self.keys.take(at) == key, self.to.take(at), np.where(state == 0, fresh, fresh | _BREAK))
 
 
 class Models:
-    """Phrase tables of all languages, built from a training sample."""
-
-    def __init__(self, sample: tuple[tuple[str, str], ...], alphabet: int = ALPHABET):
-        counts: dict[str, int] = {}
-        for _, text in sample:
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        counts.pop(" ", None)
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:alphabet]
-        # 0 is the gap between words, 1 a letter outside the alphabet; the symbol
-        # `size` parts training texts and never occurs in a text.
-        self.size = len(letters) + 2
-        self.codes = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), np.uint8, 0x110000)
+    """Phrase moves of all languages, built from a training sample, each over the letters of its own sample."""
+
+    def __init__(self, sample: tuple[tuple[str, str], ...], cells: int = CELLS):
+        own: dict[str, set[str]] = {}
+        for lang, text in sample:
+            own.setdefault(lang, set()).update(text)
+        letters = sorted(set().union(*own.values()) - {" "})
+        # 0 is the gap between words, 1 a letter of no sample.
+        self.codes = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), np.uint32, 0x110000)
         for i, c in enumerate(letters, 2):
             self.codes[ord(c)] = i
-        self.langs = sorted({lang for lang, _ in sample})
-        self.tables, self.norms = [], []
+        self.langs = sorted(own)
+        self.tables, self.maps, self.norms = [], [], []
         for lang in self.langs:
+            # Letters that the language's sample lacks are one symbol, the one behind them parts training texts.
+            mine = sorted(own[lang] - {" "})
+            to_own = np.ones(len(letters) + 2, np.uint32)
+            to_own[0] = 0
+            to_own[self.codes[[ord(c) for c in mine]]] = np.arange(2, len(mine) + 2)
             symbols: list[int] = []
             for owner, text in sample:
                 if owner == lang:
-                    symbols += [*self.encode(text).tolist(), self.size]
-            known = [s if s != 1 else self.size for s in symbols]
-            self.tables.append(phrase_table(known, self.size).reshape(-1))
+                    symbols += [*to_own[self.encode(text)].tolist(), len(mine) + 2]
+            known = [s if s != 1 else len(mine) + 2 for s in symbols]
+            self.tables.append(Phrases(known, len(mine) + 2))
+            self.maps.append(to_own)
             self.norms.append(math.log2(max(2, len(symbols))))
+        if sum(t.states * t.size for t in self.tables) <= cells:
+            for t in self.tables:
+                t.fill()
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text: lower-cased letters, one gap for whatever lies between words."""
@@ -144,14 +174,14 @@ class Models:
             lanes, mine = pieces[lo:lo + _LANES], owner[lo:lo + _LANES]
             lengths = np.array([len(p) for p in lanes])
             order = np.argsort(-lengths, kind="stable")
-            grid = np.zeros((int(lengths.max()), len(lanes)), np.uint8)
+            grid = np.zeros((int(lengths.max()), len(lanes)), np.uint32)
             for place, lane in enumerate(order):
                 grid[:lengths[lane], place] = lanes[lane]
             live = np.searchsorted(-lengths[order], -np.arange(len(grid)), side="left")
-            for k, table in enumerate(self.tables):
+            for k, (moves, to_own) in enumerate(zip(self.tables, self.maps)):
                 state, ends = np.zeros(len(lanes), np.uint32), np.zeros(len(lanes), np.uint32)
                 for row, n in zip(grid, live):
-                    step = table.take(state[:n] * np.uint32(self.size) + row[:n])
+                    step = moves.step(state[:n], to_own.take(row[:n]))
                     ends[:n] += step >> np.uint32(31)
                     state[:n] = step & _STATE
                 np.add.at(counts[:, k], mine[order], ends.astype(np.int64) + 1)

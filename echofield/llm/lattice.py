@@ -11,6 +11,7 @@ one after another.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -34,7 +35,8 @@ UNIT_SHARE = 2e-7
 MOST = 1 << 20  # units that travel to all tasks; the rest is joined, whatever its frequency
 PRIME = (1 << 31) - 1
 SPREAD = 4
-CHUNK = 1 << 18  # distinct words held by a task that counts
+WINDOW, LONG = 64, 256
+CHUNK = 1 << 17  # distinct words held by a task that counts
 
 
 @lru_cache(maxsize=2)
@@ -42,8 +44,8 @@ def _pieces(model: str) -> tuple[tuple[str, int, float], ...]:
     """(piece, id, score) of the ordinary pieces of a SentencePiece model file.
 
     The scores of a unigram model are log-probabilities.  Those of a BPE model
-    are ranks of merges (0, -1, -2, ...), whose sum would favour many early
-    pieces; they are read as the log-probabilities of Zipf's law, and each piece
+    are minus the order of the merges, whole numbers, whose sum would favour many
+    early pieces; their order is read as the rank in Zipf's law, and each piece
     costs PIECE_COST more, so that long pieces win as they do in merging.
     """
     import sentencepiece
@@ -51,8 +53,9 @@ def _pieces(model: str) -> tuple[tuple[str, int, float], ...]:
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     odd = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
     found = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)]
-    if sorted(-s for _, _, s in found) == list(range(len(found))):
-        found = [(p, i, -PIECE_COST - math.log(2.0 - s)) for p, i, s in found]
+    if all(s == int(s) for _, _, s in found):
+        rank = {i: n for n, (_, i, _) in enumerate(sorted(found, key=lambda piece: (-piece[2], piece[1])), 2)}
+        found = [(p, i, -PIECE_COST - math.log(rank[i])) for p, i, _ in found]
     return tuple(found)
 
 
@@ -103,35 +106,43 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     return coded.select(F.expr("substr(unit, 2)").alias("word"), "ids", "score")
 
 
-def encode_marked(units: DataFrame, model: str) -> DataFrame:
-    """(unit, ids, score) of distinct texts, whose first character alone may be a mark.
+def encode_marked(units: DataFrame, model: str, kind: str = "rare") -> DataFrame:
+    """(unit, ids, score) of distinct units, whose first character alone may be a mark.
 
+    A unit is named by its text, or by any name with the text in a column ``text``.
     Edges stay where the unit is: the piece table is broadcast, its size being
     that of the vocabulary, and units that are already partitioned by ``unit`` are
     not shuffled.  A unit's edges meet in one row, as its path is one value.
+    ``kind`` names the lattice in plans.
     """
     spark = units.sparkSession
     pieces = _pieces(model)
     longest = max(len(p) for p, _, _ in pieces)
     floor = _floor(model)
-    kept = ["unit"]
-    marked = units.select("unit", F.col("unit").alias("_w"))
-    place = F.explode(F.sequence(F.lit(1), F.char_length("_w"))).alias("start")
-    length = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("_w") - F.col("start") + 1))).alias("len")
-    parts = marked.select(*kept, "_w", place).select(*kept, "start", "_w", length).select(
-        *kept, (F.col("start") + F.col("len") - 1).alias("end"), "len", F.substr("_w", "start", "len").alias("part")
+    w, at = f"_{kind}", F.col("base")
+    body = F.coalesce("text", "unit") if "text" in units.columns else F.col("unit")
+    marked = units.select("unit", body.alias(w)).withColumn("size", F.char_length(w))
+    # A long text is cut in windows first, so that it is not copied once per substring.
+    windows = marked.select("unit", w, "size", F.explode(
+        F.sequence(F.lit(0), F.floor((F.col("size") - 1) / WINDOW).cast("int"))).alias("nth")
+    ).select("unit", (F.col("nth") * WINDOW).alias("base"), F.least(F.lit(WINDOW), F.col("size") - F.col("nth") * WINDOW).alias("n"),
+             F.substr(w, F.col("nth") * WINDOW + 1, F.lit(WINDOW + longest - 1)).alias("part_of"))
+    starts = windows.select("unit", "base", "part_of", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("start"))
+    most = F.least(F.lit(longest), F.char_length("part_of") - F.col("start") + 1)
+    parts = starts.select("unit", "base", "part_of", "start", F.explode(F.sequence(F.lit(1), most)).alias("len")).select(
+        "unit", (at + F.col("start") + F.col("len") - 1).alias("end"), "len", F.substr("part_of", "start", "len").alias("part")
     )
     inner = F.when(F.col("end") == F.col("len"), F.expr("substr(part, 2)")).otherwise(F.col("part"))
     table = F.broadcast(piece_table(spark, model))
     edges = parts.join(table, F.col("part") == F.col("piece"), "left").withColumn(
         "id", F.when(F.col("id").isNotNull() & ~F.contains(inner, F.lit(MARK)), F.col("id"))
     ).filter((F.col("len") == 1) | F.col("id").isNotNull())
-    # A step of the path is a piece id, or minus the place of a character that is written in bytes.
+    # A step of the path is a piece id, or minus the code point of a character that is written in bytes.
     edge = F.struct(
         "end", (-F.col("len")).alias("back"), F.when(F.col("id").isNull(), F.lit(floor)).otherwise(F.col("score")).alias("score"),
-        F.coalesce("id", -F.col("end")).alias("step"),
+        F.coalesce("id", -F.ascii("part")).alias("step"),
     )
-    lattice = edges.groupBy(*kept).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # The state: the place reached, its best score and last edge, the best scores of the places
     # before it, nearest first, and the last edges of all places before.  Paths are read once, at the end.
     past = f"slice(concat(array(s.score), s.past), 1, {longest})"
@@ -159,13 +170,21 @@ def encode_marked(units: DataFrame, model: str) -> DataFrame:
     octets = F.array(*[F.lit(i) for i in _bytes(model)])
 
     def written(step: Column) -> Column:
-        char = F.substr("unit", -step, F.lit(1)).cast("binary")
-        return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.get(
-            octets, F.conv(F.hex(F.substr(char, i, F.lit(1))), 16, 10).cast("int")))
+        """The byte pieces of a character's UTF-8."""
+        c = -step
 
-    found = lattice.select(*kept, best.alias("b")).select(*kept, "b.score", path.alias("path"))
-    ids = F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(written(x))))
-    return found.select(*kept, ids.alias("ids"), "score")
+        def tail(shift: int) -> Column:
+            return F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128
+
+        octet = F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 192, tail(0))).when(
+            c < 0x10000, F.array(F.shiftright(c, 12) + 224, tail(6), tail(0))
+        ).otherwise(F.array(F.shiftright(c, 18) + 240, tail(12), tail(6), tail(0)))
+        return F.transform(octet, lambda b: F.get(octets, b))
+
+    found = lattice.select("unit", best.alias("b")).select("unit", "b.score", path.alias("path"))
+    # No ordinary piece has the id 0, which is the unknown piece.
+    ids = F.flatten(F.transform("path", lambda x: F.when(x > 0, F.array(x)).otherwise(written(x))))
+    return found.select("unit", ids.alias("ids"), "score")
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,10 +218,15 @@ def with_text(coded: DataFrame, model: str) -> DataFrame:
     return coded.mapInArrow(read, coded.withColumn("text", F.lit("")).schema)
 
 
+def _name(unit: str) -> str:
+    """A unit itself, or two marks and a digest for one of more than LONG characters; no unit has two marks."""
+    return unit if len(unit) <= LONG else MARK * 2 + hashlib.sha256(unit.encode()).hexdigest()
+
+
 class _Units:
     """Which units of words are not known to all tasks, remembered for the words seen lately."""
 
-    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes], held: int = 1 << 18) -> None:
+    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes], held: int = 1 << 16) -> None:
         self.adjacent, self.known, self.held = adjacent, known, held
         self.seen: dict[str, tuple[str, ...]] = {}
 
@@ -349,10 +373,13 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     spread = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    head = encode_marked(frequent_units(docs, model, text, word_share).select("unit").repartition(spread, "unit"), model)
-    head = head.select("unit", "ids").toArrow()
+    often = frequent_units(docs, model, text, word_share).select(F.col("unit").alias("text"))
+    named = often.withColumn("unit", F.when(F.char_length("text") <= LONG, F.col("text")).otherwise(
+        F.concat(F.lit(MARK * 2), F.sha2("text", 256))))
+    head = encode_marked(named.repartition(spread, "unit"), model, "frequent").select("unit", "ids").toArrow()
+    coded_head = {u: _packed(ids) for u, ids in zip(head.column("unit").to_pylist(), head.column("ids").to_pylist())}
     sent = spark.sparkContext.broadcast((
-        _adjacent(model), {u: _packed(ids) for u, ids in zip(head.column("unit").to_pylist(), head.column("ids").to_pylist())}
+        _adjacent(model), {u: coded_head[_name(u)] for u in often.toArrow().column("text").to_pylist()}
     ))
     scores = np.zeros(1 + max(i for _, i, _ in _pieces(model)))
     octets = _bytes(model)
@@ -367,14 +394,16 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
         cutter = _Units(*sent.value)
         for batch in batches:
             for part in small(batch, 1):
-                rows, units, nth = [], [], []
+                rows, units, nth, longs = [], [], [], []
                 for row, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = cutter(_words(body))
                     rows += [row] * len(found)
-                    units += found
+                    units += map(_name, found)
                     nth += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(units, pa.string()), pa.array(nth, pa.int32())],
-                                                 ["row", "unit", "nth"])
+                    longs += [u if len(u) > LONG else None for u in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rows, pa.int64()), pa.array(units, pa.string()), pa.array(nth, pa.int32()), pa.array(longs, pa.string())
+                ], ["row", "unit", "nth", "text"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,14 +411,13 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
                 bodies = [zlib.compress(b, 6) for b in binary_texts(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], ["row", "key", "body"])
 
-    places = numbered.select("row", "text").mapInArrow(name_rare, "row bigint, unit string, nth int").repartition(spread, "unit")
-    # The count has both readers of this shuffle read the same columns, so that it is written once.
-    distinct = places.groupBy("unit").agg(F.count(F.struct("row", "nth")).alias("n")).filter("n > 0")
-    coded = encode_marked(distinct.select("unit"), model).select("unit", "ids")
+    places = shared_table(numbered.select("row", "text").mapInArrow(name_rare, "row bigint, unit string, nth int, text string"), "places")
+    distinct = places.select("unit", "text").distinct().repartition(spread, "unit")
+    coded = encode_marked(distinct, model).select("unit", "ids")
     # Two or four bytes a number travel, not an array.
     wide = 8 if max(i for _, i, _ in _pieces(model)) >= 1 << 16 else 4
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("long")), wide, "0")), ""))
-    told = places.join(coded.select("unit", packed.alias("ids")), "unit").select("row", "nth", "ids")
+    told = places.select("row", "unit", "nth").join(coded.select("unit", packed.alias("ids")), "unit").select("row", "nth", "ids")
     bodies = numbered.mapInArrow(squeeze, T.StructType([*numbered.schema.fields[:2], T.StructField("body", T.BinaryType())]))
     met = bodies.unionByName(told, allowMissingColumns=True).repartition(spread, "row").sortWithinPartitions("row", "nth")
     final = T.StructType([
@@ -410,7 +438,7 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
             for _, words, ids in texts:
                 if ids:
                     rare.update(zip(cutter(words), ids))
-            if len(coded.at) > 1 << 18:
+            if len(coded.at) > 1 << 17:
                 coded.clear()
             coded.add([w for w in dict.fromkeys(chain.from_iterable(t[1] for t in texts)) if w not in coded.at], rare)
             n_words = np.array([len(t[1]) for t in texts], np.int64)

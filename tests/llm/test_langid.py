@@ -89,3 +89,35 @@ def test_query_held_out_accuracy(spark):
     got = op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.98 and got.count() == 1000
+
+
+def test_two_scripts_of_over_a_thousand_letters():
+    rng = np.random.default_rng(4)
+    han, hangul = ([chr(base + i) for i in range(1500)] for base in (0x4E00, 0xAC00))
+
+    def text(letters):
+        common = rng.choice(letters[:300], (60, 4))
+        return " ".join("".join(w) for w in np.where(rng.random((60, 4)) < 0.8, common, rng.choice(letters, (60, 4))))
+
+    sample = tuple((lang, text(letters)) for lang, letters in (("ko", hangul), ("zh", han)) for _ in range(96))
+    sample += tuple(("en", text(list("etaoinshrdlu"))) for _ in range(20))
+    models = langid.Models(sample)
+    assert {lang: t.size > 1000 for lang, t in zip(models.langs, models.tables)} == {"en": False, "ko": True, "zh": True}
+    got, scores = models.judge([text(han) for _ in range(40)] + [text(hangul) for _ in range(40)])
+    assert got == ["zh"] * 40 + ["ko"] * 40 and np.mean(scores) > 0.1
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.text("xyzé ", min_size=1, max_size=30)), min_size=1, max_size=5), st.text("xyzéq ,", max_size=80))
+@settings(max_examples=100, deadline=None)
+def test_listed_moves_read_like_full_tables(sample, text):
+    sample = tuple(s for s in sample if s[1].strip()) or (("a", "x"),)
+    full, listed = langid.Models(sample), langid.Models(sample, cells=0)
+    assert all(t.table is not None for t in full.tables) and all(t.table is None for t in listed.tables)
+    assert full.judge([text]) == listed.judge([text])
+
+
+def test_labels_are_bounded(spark):
+    rows = [(i, f"text number {w} of it", f"l{i % 9:02d}") for i in range(400) for w in ("one", "two")] + [(1000 + i, f"word {i} more", "big") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    sample = langid.training_sample(docs, F.lit(True), texts=16, languages=3)
+    assert len({lang for lang, _ in sample}) == 3 and "big" in {lang for lang, _ in sample} and len(sample) <= 48

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,59 @@ def test_rare_and_frequent_words_and_repeated_keys(spark):
         coded = lattice.encodings(docs, PIECES, word_share=share)
         assert sorted((r["doc_id"] is None, r["text"]) for r in lattice.with_text(coded, PIECES).collect()) == want
     assert sorted((r["doc_id"] is None, r["text"]) for r in lattice.decode(lattice.encode(docs, PIECES), PIECES).collect()) == want
+
+
+def test_units_have_the_path_of_their_word():
+    adjacent = lattice._adjacent(PIECES)
+    for word in [*WORDS, "garden,", "(well-known)", "a1b22c333", "x▁", "▁▁y", "Dampfschifffahrtsgesellschaft.", "qzxjkvw"]:
+        units = lattice.units_of(word, adjacent)
+        assert "".join(units) == lattice.MARK + word
+        ids = []
+        for i, unit in enumerate(units):
+            if i and unit == lattice.MARK:
+                ids += [lattice._bytes(PIECES)[b] for b in unit.encode()]
+            elif i:
+                # A unit inside a word, read as if it stood behind a mark that no piece spans.
+                ids += inside(unit)
+            else:
+                ids += viterbi(unit[1:])[1]
+        assert ids == viterbi(word)[1]
+
+
+def inside(unit: str) -> list[int]:
+    best = [(0.0, [])]
+    for end in range(1, len(unit) + 1):
+        chosen = None
+        for size in range(min(LONGEST, end), 0, -1):
+            part = unit[end - size:end]
+            if part in TABLE:
+                ids, score = [TABLE[part][0]], TABLE[part][1]
+            elif size == 1:
+                ids, score = [lattice._bytes(PIECES)[b] for b in part.encode()], FLOOR
+            else:
+                continue
+            total = best[end - size][0] + score
+            if chosen is None or total > chosen[0]:
+                chosen = total, best[end - size][1] + ids
+        best.append(chosen)
+    return best[-1][1]
+
+
+def test_common_words_agree_with_the_library():
+    """The file holds merges, not probabilities, so the best path is not always the library's."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = "the quick brown things internationalization of house and people government water would before between children".split()
+    agree = sum(viterbi(w)[1] == sp.encode(w) for w in words)
+    assert agree >= 0.8 * len(words) and viterbi("the")[1] == sp.encode("the")
+
+
+def test_one_very_long_word(spark):
+    word = "internationalisation" * 1000
+    docs = spark.createDataFrame([(1, word), (2, f"{word} {word} x")], "doc_id int, text string")
+    begin = time.perf_counter()
+    rows = {r["doc_id"]: r for r in lattice.with_text(lattice.encodings(docs, PIECES, word_share=2.0), PIECES).collect()}
+    assert time.perf_counter() - begin < 60
+    assert rows[1]["text"] == word and rows[2]["text"] == f"{word} {word} x" and rows[2]["n_words"] == 3
+    assert rows[1]["n_pieces"] < len(word) / 3
