@@ -412,12 +412,16 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], ["row", "key", "body"])
 
     places = shared_table(numbered.select("row", "text").mapInArrow(name_rare, "row bigint, unit string, nth int, text string"), "places")
-    distinct = places.select("unit", "text").distinct().repartition(spread, "unit")
-    coded = encode_marked(distinct, model).select("unit", "ids")
+    by_unit = places.repartition(spread, "unit")
+    # Both readers of this shuffle read all its columns, by conditions that always hold, so that it is written once.
+    distinct = by_unit.groupBy("unit").agg(
+        F.max("text").alias("text"), F.count("nth").alias("n"), F.max("row").alias("last")).filter("n > 0 AND last >= 0")
+    coded = encode_marked(distinct.select("unit", "text"), model).select("unit", "ids")
     # Two or four bytes a number travel, not an array.
     wide = 8 if max(i for _, i, _ in _pieces(model)) >= 1 << 16 else 4
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("long")), wide, "0")), ""))
-    told = places.select("row", "unit", "nth").join(coded.select("unit", packed.alias("ids")), "unit").select("row", "nth", "ids")
+    told = by_unit.join(coded.select("unit", packed.alias("ids")), "unit").select(
+        "row", "nth", F.when(F.coalesce(F.char_length("text"), F.lit(0)) >= 0, F.col("ids")).alias("ids"))
     bodies = numbered.mapInArrow(squeeze, T.StructType([*numbered.schema.fields[:2], T.StructField("body", T.BinaryType())]))
     met = bodies.unionByName(told, allowMissingColumns=True).repartition(spread, "row").sortWithinPartitions("row", "nth")
     final = T.StructType([
