@@ -25,8 +25,8 @@ HEADLINE = [
     "class_transition", "fatigue_update", "fold_fatigue", "top_k_items", "selection_agreement", "ks_two_sample",
     "anova_oneway", "pairwise_ttests", "bootstrap_band", "abc_distance", "sobol_total", "check_params",
     "box_stats", "sobol_confidence", "cold_start", "explore_mix", "stream_fold", "read_snapshots",
-    "edge_affect_distance", "edges_from_shared", "rewire_edges_settled", "preferential_edges_settled",
-    "quantiles_from_sketches", "saltelli_design_sobol", "fatigue_update_bucketed", "stream_fold_events",
+    "edge_affect_distance", "edges_from_shared", "rewire_edges_settled",
+    "quantiles_from_sketches", "saltelli_design_sobol", "fatigue_update_bucketed",
 ]
 SMALLER = {"sf0.1": "sf0.01", "sf0.01": "sf0.001"}
 

@@ -88,6 +88,8 @@ def preferential_edges_settled(
     if names is not None:
         names = written(names, "names")
         numbers = names.select("id")
+    # A few nodes cost much computing and are few bytes: spread them over the cluster.
+    numbers = numbers.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     seed_edges = m * (m + 1) // 2
 
     def newer(edge: Column) -> Column:
