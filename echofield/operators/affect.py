@@ -141,8 +141,9 @@ def mean_affect_distance(edges: DataFrame, state: DataFrame, key: str = "humanId
 
 
 def interpolate(a: Column, b: Column, alpha: Column) -> Column:
-    """a(1 - alpha) + b alpha, limited to [-1, 1]."""
-    return clip(as_col(a) * (F.lit(1.0) - alpha) + as_col(b) * alpha, -1.0, 1.0)
+    """a(1 - alpha) + b alpha, limited to [-1, 1]; NaN stays NaN."""
+    between = as_col(a) * (F.lit(1.0) - alpha) + as_col(b) * alpha
+    return F.when(F.isnan(between), between).otherwise(clip(between, -1.0, 1.0))
 
 
 def fill_missing_steps(states: DataFrame, key: str = "humanId", step: str = "step") -> DataFrame:
