@@ -92,3 +92,19 @@ def test_empty_and_null_values(spark):
     stored = ranking.quantile_sketches(df, "x", ["g"])
     assert [(r.g, r.n, r.q0) for r in ranking.quantiles_from(df, "x", [0.5], stored, ["g"]).collect()] == [("b", 1, 1.0)]
     assert ranking.quantiles_from(df.limit(0), "x", [0.5], stored.limit(0), ["g"]).count() == 0
+
+
+def test_rows_do_not_move_to_the_bracket_of_their_group(spark):
+    """Two groups share all rows: a join by group would put them in two tasks."""
+    from echofield.session import setting
+
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), uni(5, "q", "id").alias("x"))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "65536"):
+        found = ranking.quantiles(df, "x", [0.5], ["g"])
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        rows = {r.g: r.q0 for r in found.collect()}
+    assert "BroadcastHashJoin" in plan and plan.count("SortMergeJoin") <= 1  # the offsets, SLICES rows a group
+    xs = {}
+    for r in df.collect():
+        xs.setdefault(r.g, []).append(r.x)
+    assert rows == {g: pytest.approx(exact(v, 0.5, "linear")) for g, v in xs.items()}
