@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofield.functions.columns import total
-from echofield.functions.skew import salted_join
+from echofield.functions.skew import hot_keys, salted_join
 from echofield.functions.tables import written
 
 PER_TASK = 1 << 18  # pairs that one task searches for triangles
 COLOURS = 4  # never fewer, so that small graphs are searched by several tasks
 WEDGES = 1 << 21  # paths of two edges held at once
+ITEMS = 1 << 10  # items of a neighbour that travel as one list
 
 
 def graph_counts(edges: DataFrame) -> DataFrame:
@@ -187,17 +188,33 @@ def degree_check(
 def neighbor_activity(edges: DataFrame, interactions: DataFrame) -> DataFrame:
     """(humanId, contentId, neighbor_count): interactions of one's neighbours with each item.
 
-    Repeats of one neighbour with one item are counted before the join, so a
-    very active neighbour enters it once per item.
+    Repeats of one neighbour with one item are counted first, and the items of
+    a neighbour travel as lists of about ITEMS: an edge moves one row per list
+    to its source, where the lists are opened and summed, not one row per item.
+    Neighbours with very many edges are spread, and so are sources with very many neighbours.
     """
     activity = interactions.groupBy(F.col("humanId").alias("target"), "contentId").agg(
         F.count(F.lit(1)).alias("_c")
     )
-    return (
-        salted_join(edges.select("source", "target"), activity, "target")
-        .groupBy(F.col("source").alias("humanId"), "contentId")
-        .agg(F.sum("_c").alias("neighbor_count"))
+    many = activity.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ITEMS)
+    pieces = F.coalesce(F.ceil(F.col("_n") / F.lit(ITEMS)), F.lit(1))
+    lists = activity.join(many, "target", "left").groupBy(
+        "target", F.pmod(F.xxhash64("contentId"), pieces).alias("_piece")
+    ).agg(F.collect_list(F.struct("contentId", "_c")).alias("_items")).select(
+        # Ids and counts apart, and counts of 1 left out: lists of few different bytes are shuffled small.
+        "target", F.transform(F.filter("_items", lambda x: x["_c"] == 1), lambda x: x["contentId"]).alias("_once"),
+        F.filter("_items", lambda x: x["_c"] > 1).alias("_more"),
     )
+    ends = edges.select("source", "target")
+    spread = F.pmod(F.xxhash64("target"), F.col("_salts")).cast("int")
+    wide = F.broadcast(hot_keys(ends, "source"))
+    dealt = ends.join(wide, "source", "left").withColumn("_at", F.coalesce(spread, F.lit(0))).drop("_salts")
+    met = salted_join(dealt, lists, "target").select("source", "_at", "_once", "_more").repartition("source", "_at")
+    once = F.transform("_once", lambda x: F.struct(x.alias("contentId"), F.lit(1).cast("long").alias("_c")))
+    opened = met.select("source", "_at", F.explode(F.concat(once, "_more")).alias("_i")).select("source", "_at", "_i.*")
+    # Summed where the lists were sent; only the sums move again.
+    sums = opened.groupBy("source", "_at", "contentId").agg(F.sum("_c").alias("_c"))
+    return sums.groupBy(F.col("source").alias("humanId"), "contentId").agg(F.sum("_c").alias("neighbor_count"))
 
 
 def neighbor_mean(

@@ -642,3 +642,20 @@ def test_check_ranges_reports_missing_columns(spark):
     df = spark.createDataFrame([(0.5,), (2.0,), (None,)], "valence double")
     got = rows(quality.check_ranges(df, {"valence": (-1, 1), "arousal": (-1, 1)}), "column", "present", "violations")
     assert got == [("arousal", False, None), ("valence", True, 1)]
+
+
+def test_neighbor_activity_moves_lists(spark, monkeypatch):
+    """Hubs on both ends and long lists; an edge is shuffled as lists of its neighbour's items, not as rows per item."""
+    monkeypatch.setattr(graph, "ITEMS", 3)
+    rnd = random.Random(4)
+    pairs = [(0, t) for t in range(1, 60)] + [(s, 0) for s in range(1, 60)] + [(rnd.randrange(20), rnd.randrange(20)) for _ in range(90)]
+    acts = [(rnd.randrange(60), rnd.randrange(12)) for _ in range(300)] + [(0, i) for i in range(12)] * 2 + [(5, None)]
+    want = {}
+    for s, t in pairs:
+        for who, item in acts:
+            if who == t:
+                want[s, item] = want.get((s, item), 0) + 1
+    e = spark.createDataFrame(pairs, "source long, target long")
+    df = graph.neighbor_activity(e, spark.createDataFrame(acts, "humanId long, contentId long"))
+    assert {(r.humanId, r.contentId): r.neighbor_count for r in df.collect()} == want
+    assert "collect_list" in df._jdf.queryExecution().sparkPlan().toString()
