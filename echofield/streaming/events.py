@@ -66,29 +66,33 @@ class FoldSteps(StatefulProcessor):
             for step, n in pdf.groupby("step")["n"].sum().items():
                 counts[int(step)] = counts.get(int(step), 0) + int(n)
         late = sorted(s for s in counts if self._ends(s) <= now)
-        for step in counts.keys() - set(late):
-            if self.open.containsKey((step,)):
-                counts[step] += self.open.getValue((step,))[0]
-            else:
-                self.handle.registerTimer(self._ends(step))
-            self.open.updateValue((step,), (counts[step],))
+        fresh = counts.keys() - set(late)
+        held = {s: n for (s,), (n,) in self.open.iterator()} if fresh else {}
+        for step in fresh:
+            self.open.updateValue((step,), (counts[step] + held.get(step, 0),))
+        # One timer, for the earliest open step; what it folds asks for the next one.
+        if fresh and (not held or min(fresh) < min(held)):
+            self.handle.registerTimer(self._ends(min(fresh)))
         if late:
             yield self._rows(key, late, [counts[s] for s in late], [None] * len(late), True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted(s for (s,) in self.open.keys() if self._ends(s) <= now)
+        now = timerValues.getCurrentWatermarkInMs()
+        held = {s: n for (s,), (n,) in self.open.iterator()}
+        ready = sorted(s for s in held if self._ends(s) <= now)
         if not ready:
             return
         at, level = self.level.get() if self.level.exists() else (-1, self.start)
         counts, levels = [], []
         for step in ready:
-            n = self.open.getValue((step,))[0]
+            n = held[step]
             level = _advance(level, step - at - 1, n, self.accumulation, self.recovery)
             at = step
             counts.append(n)
             levels.append(level)
             self.open.removeKey((step,))
+        if len(ready) < len(held):
+            self.handle.registerTimer(self._ends(min(held.keys() - set(ready))))
         self.level.update((at, level))
         yield self._rows(key, ready, counts, levels, False)
 
