@@ -3,7 +3,8 @@
 Texts are cut at blanks into words.  All substrings of the distinct words, up
 to the length of the longest piece, are joined with the piece table; the
 matches are the edges of each word's lattice, and one fold over them
-(``aggregate``) keeps the best path to every place: Viterbi.  A character that
+(``aggregate``) keeps the best path to every place: Viterbi.  Units too rare
+to be known to all tasks go through the same lattice in numpy in their task.  A character that
 is no piece is an edge of byte pieces, so every text can be encoded, and
 decoding gives the text back exactly.  The ids of a text are its words' ids
 one after another.
@@ -13,11 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echofield.llm.common import binary_texts, shared_table, small
+from echofield.llm.common import shared_table, small
 
 MARK = "▁"  # stands for the blank before a word
 BYTE_COST = 10.0
@@ -36,7 +35,9 @@ MOST = 1 << 20  # units that travel to all tasks; the rest is joined, whatever i
 PRIME = (1 << 31) - 1
 SPREAD = 4
 WINDOW, LONG = 64, 256
-CHUNK = 1 << 17  # distinct words held by a task that counts
+CHUNK = 1 << 17  # distinct words held by a task
+PART = 1 << 22  # bytes of text that a task cuts at once
+CELLS = 1 << 16  # characters of the units that go through the lattice of a task together
 
 
 @lru_cache(maxsize=2)
@@ -201,19 +202,28 @@ def with_text(coded: DataFrame, model: str) -> DataFrame:
     """The rows of ``coded``, with the text that their ``ids`` stand for."""
     table = {i: p.replace(MARK, " ").encode() for p, i, _ in _pieces(model)}
     table |= {i: bytes([b]) for b, i in enumerate(_bytes(model))}
-    sent = coded.sparkSession.sparkContext.broadcast(table)
+    sent = coded.sparkSession.sparkContext.broadcast([table.get(i) for i in range(1 + max(table))])
     names = coded.columns
     at = names.index("ids")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        octets = sent.value
+        octets = pa.array(sent.value, pa.large_binary())
         for batch in batches:
-            # The first octet is the blank before the first word.
-            flat = batch.column(at).flatten().to_numpy()
+            taken = pc.take(octets, batch.column(at).flatten())
+            if taken.null_count:
+                raise ValueError("ids that stand for no text")
             ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()])
-            texts = [b"".join(map(octets.__getitem__, flat[lo:hi].tolist()))[1:].decode("utf-8", "replace")
-                     for lo, hi in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+            places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset + ends]
+            # The first octet is the blank before the first word.
+            data, full = taken.buffers()[2], places[1:] > places[:-1]
+            data = np.delete(np.frombuffer(data or b"", np.uint8), places[:-1][full])
+            places = places - np.append(0, np.cumsum(full))
+            whole = pa.Array.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(places), pa.py_buffer(data)])
+            try:
+                texts = whole.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # ids from elsewhere need not end at whole characters
+                texts = pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "text"])
 
     return coded.mapInArrow(read, coded.withColumn("text", F.lit("")).schema)
 
@@ -223,38 +233,96 @@ def _name(unit: str) -> str:
     return unit if len(unit) <= LONG else MARK * 2 + hashlib.sha256(unit.encode()).hexdigest()
 
 
-class _Units:
-    """Which units of words are not known to all tasks, remembered for the words seen lately."""
-
-    def __init__(self, adjacent: frozenset[str], known: dict[str, bytes], held: int = 1 << 16) -> None:
-        self.adjacent, self.known, self.held = adjacent, known, held
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def units(self, word: str) -> list[str]:
-        """The units of a word without the marks inside it, which are always written in bytes."""
-        units = units_of(word, self.adjacent)
-        return units if MARK not in word else [u for i, u in enumerate(units) if not (i and u == MARK)]
-
-    def __call__(self, words: list[str]) -> dict[str, int]:
-        """The rare units of a text, numbered in the order in which they come up."""
-        found: dict[str, int] = {}
-        seen = self.seen
-        for word in dict.fromkeys(words):
-            rare = seen.get(word)
-            if rare is None:
-                if len(seen) >= self.held:
-                    seen.clear()
-                rare = seen[word] = tuple(u for u in self.units(word) if u not in self.known)
-            for unit in rare:
-                found.setdefault(unit, len(found))
-        return found
+@lru_cache(maxsize=2)
+def _prefixes(model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of the pieces' prefixes: sorted (node, next character), where each leads, and the nodes' ids and scores."""
+    nodes = {"": 0}
+    for p, _, _ in _pieces(model):
+        for i in range(1, len(p) + 1):
+            nodes.setdefault(p[:i], len(nodes))
+    ids, scores = np.zeros(len(nodes), np.int64), np.full(len(nodes), -np.inf)
+    for p, i, score in _pieces(model):
+        ids[nodes[p]], scores[nodes[p]] = i, score
+    steps = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in nodes if p], np.int64)
+    order = np.argsort(steps)
+    return steps[order], order + 1, ids, scores
+
+
+def unit_paths(units: list[str], model: str) -> list[bytes]:
+    """The packed ids of units, whose first character alone may be a mark: the paths of ``encode_marked``, in this task."""
+    found = [b""] * len(units)
+    order = sorted(range(len(units)), key=lambda i: len(units[i]))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * len(units[order[hi]]) <= CELLS:
+            hi += 1
+        for i, ids in zip(order[lo:hi], _paths([units[i] for i in order[lo:hi]], model)):
+            found[i] = ids
+        lo = hi
+    return found
+
+
+def _paths(units: list[str], model: str) -> list[bytes]:
+    """``unit_paths`` of units of about one length, all of them one place further at a time."""
+    steps, to, piece, score = _prefixes(model)
+    longest, floor = max(len(p) for p, _, _ in _pieces(model)), _floor(model)
+    sizes, every = np.array([len(u) for u in units]), np.arange(len(units))
+    most = int(sizes.max())
+    unit = np.repeat(every, sizes)
+    start = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = np.zeros((most, len(units)), np.int64)
+    letters[start, unit] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    # edges[end, longest - size, unit]: the node of the piece of that size that ends there; 0 is none.
+    edges = np.zeros((most + 1, longest, len(units)), np.int32)
+    node = np.zeros(len(unit), np.int64)
+    for size in range(1, longest + 1):
+        inside = start + size <= sizes[unit]
+        start, unit, node = start[inside], unit[inside], node[inside]
+        step = node << 21 | letters[start + size - 1, unit]
+        at = np.minimum(np.searchsorted(steps, step), len(steps) - 1)
+        met = steps[at] == step
+        start, unit, node = start[met], unit[met], to[at[met]]
+        edges[start + size, longest - size, unit] = node
+    # The scores of the places lie behind those of longest - 1 places before the first.
+    best = np.full((most + longest, len(units)), -np.inf)
+    best[longest - 1] = 0.0
+    back = np.zeros((most + 1, len(units)), np.int16)
+    for end in range(1, most + 1):
+        scores = score[edges[end]]
+        scores[-1] = np.where(scores[-1] == -np.inf, floor, scores[-1])
+        scores += best[end - 1:end - 1 + longest]
+        back[end] = scores.argmax(axis=0)  # of equal ones the first: the longest piece
+        best[end + longest - 1] = scores[back[end], every]
+    # From the last places back; a character that is no piece is written in bytes, and met as minus its code point.
+    place, live, owners, met = sizes.copy(), every, [], []
+    while len(live):
+        end, kind = place[live], back[place[live], live]
+        ids = piece[edges[end, kind, live]]
+        owners.append(live)
+        met.append(np.where(ids > 0, ids, -letters[end - 1, live]))
+        place[live] -= longest - kind
+        live = live[place[live] > 0]
+    owner, step = np.concatenate(owners)[::-1], np.concatenate(met)[::-1]
+    order = np.argsort(owner, kind="stable")
+    owner, step = owner[order], step[order]
+    width = np.where(step > 0, 1, 1 + (step <= -0x80) + (step <= -0x800) + (step <= -0x10000))
+    left = np.repeat(np.cumsum(width), width) - 1 - np.arange(width.sum())
+    whole, width_of = np.repeat(step, width), np.repeat(width, width)
+    first = left == width_of - 1
+    octet = np.abs(whole) >> 6 * left
+    octet = np.where(first, octet | np.array([0, 0, 0xC0, 0xE0, 0xF0])[width_of], octet & 63 | 128)
+    ids = np.where(whole > 0, whole, np.array(_bytes(model))[octet & 255]).astype(np.int32)
+    ends = np.cumsum(np.bincount(owner, width, len(units)).astype(np.int64)) * 4
+    packed = ids.tobytes()
+    return [packed[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
 
 class _Coded:
     """Ids, sums and hashes of words, as arrays that grow with the words asked for."""
 
-    def __init__(self, known: dict[str, bytes], adjacent: frozenset[str], mark: bytes, scores: np.ndarray) -> None:
-        self.known, self.adjacent, self.mark, self.scores = known, adjacent, mark, scores
+    def __init__(self, known: dict[str, bytes], adjacent: frozenset[str], mark: bytes, scores: np.ndarray, model: str) -> None:
+        self.known, self.adjacent, self.mark, self.scores, self.model = known, adjacent, mark, scores, model
         self.clear()
 
     def clear(self) -> None:
@@ -263,11 +331,13 @@ class _Coded:
         self.starts = self.sizes = self.hashes = np.zeros(0, np.int64)
         self.totals = np.zeros(0)
 
-    def add(self, words: list[str], rare: dict[str, bytes]) -> None:
-        """Enter words that are not there yet; ``rare`` has the ids of their units that not all tasks know."""
+    def add(self, words: list[str]) -> None:
+        """Enter words that are not there yet; their units that not all tasks know go through the lattice here."""
         known, mark, parts, sizes = self.known, self.mark, [], []
-        for word in words:
-            units = units_of(word, self.adjacent)
+        cut = [units_of(word, self.adjacent) for word in words]
+        new = list({u: None for units in cut for i, u in enumerate(units) if u not in known and not (i and u == MARK)})
+        rare = dict(zip(new, unit_paths(new, self.model)))
+        for word, units in zip(words, cut):
             if len(units) == 1:
                 ids = known.get(units[0]) or rare[units[0]]
             else:
@@ -292,8 +362,12 @@ class _Coded:
         return self.flat[index]
 
 
-def _words(text: str | None) -> list[str]:
-    return text.split(" ") if text else []
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and the words of all one after another; a null or empty text has none."""
+    cut = pc.split_pattern(texts, " ")
+    n_words = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0
+    return n_words * full, pc.list_flatten(cut).filter(pa.array(np.repeat(full, n_words)))
 
 
 def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> DataFrame:
@@ -306,14 +380,14 @@ def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> Data
     adjacent = docs.sparkSession.sparkContext.broadcast(_adjacent(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Units(adjacent.value, {})
         words: Counter[str] = Counter()
 
         def passed() -> pa.RecordBatch:
             units: Counter[str] = Counter()
             for word, n in words.items():
-                for unit in cutter.units(word):
-                    units[unit] += n
+                for i, unit in enumerate(units_of(word, adjacent.value)):
+                    if not i or unit != MARK:  # a mark inside a word is always written in bytes
+                        units[unit] += n
             total = units.total()
             least = max(2, share * total)
             found = {u: n for u, n in units.items() if n >= least}
@@ -322,8 +396,10 @@ def frequent_units(docs: DataFrame, model: str, text: str, share: float) -> Data
             )
 
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                words.update(_words(body))
+            for part in small(batch, 0, PART):
+                counted = pc.value_counts(_words(part.column(0))[1])
+                for word, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+                    words[word] += n
                 if len(words) > CHUNK:
                     yield passed()
                     words.clear()
@@ -364,12 +440,10 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     ``digest`` is the sum over the words, modulo PRIME, of (2 place + 1) times
     the xxhash64 of the word's ids, so it depends on the ids and their order.
 
-    Words are cut into units where no piece spans, and every distinct unit is
-    encoded once, whatever its frequency.  The units of at least ``word_share`` of
-    all travel to all tasks.  The others go by unit through the lattice and
-    from there, as ids, to their texts; a text itself is shuffled once,
-    compressed.  ``docs`` is read three times and has to give its rows in the
-    same order each time, as tables on files do.
+    Words are cut into units where no piece spans.  The units of at least
+    ``word_share`` of all go through the lattice once and travel to all tasks; a
+    task takes the others through the same lattice, once per batch of texts.
+    No text is shuffled.
     """
     spark = docs.sparkSession
     spread = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -387,103 +461,44 @@ def encodings(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     scores[[i for b, i in enumerate(octets) if b & 0xC0 != 0x80]] = _floor(model)
     scores[[i for _, i, _ in _pieces(model)]] = [s for _, _, s in _pieces(model)]
     mark = _packed([octets[b] for b in MARK.encode()])
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = numbered.schema["key"].dataType
-
-    def name_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Units(*sent.value)
-        for batch in batches:
-            for part in small(batch, 1):
-                rows, units, nth, longs = [], [], [], []
-                for row, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = cutter(_words(body))
-                    rows += [row] * len(found)
-                    units += map(_name, found)
-                    nth += found.values()
-                    longs += [u if len(u) > LONG else None for u in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows, pa.int64()), pa.array(units, pa.string()), pa.array(nth, pa.int32()), pa.array(longs, pa.string())
-                ], ["row", "unit", "nth", "text"])
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small(batch, 2):
-                bodies = [zlib.compress(b, 6) for b in binary_texts(part.column(2))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], ["row", "key", "body"])
-
-    places = shared_table(numbered.select("row", "text").mapInArrow(name_rare, "row bigint, unit string, nth int, text string"), "places")
-    by_unit = places.repartition(spread, "unit")
-    # Both readers of this shuffle read all its columns, by conditions that always hold, so that it is written once.
-    distinct = by_unit.groupBy("unit").agg(
-        F.max("text").alias("text"), F.count("nth").alias("n"), F.max("row").alias("last")).filter("n > 0 AND last >= 0")
-    coded = encode_marked(distinct.select("unit", "text"), model).select("unit", "ids")
-    # Two or four bytes a number travel, not an array.
-    wide = 8 if max(i for _, i, _ in _pieces(model)) >= 1 << 16 else 4
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("long")), wide, "0")), ""))
-    told = by_unit.join(coded.select("unit", packed.alias("ids")), "unit").select(
-        "row", "nth", F.when(F.coalesce(F.char_length("text"), F.lit(0)) >= 0, F.col("ids")).alias("ids"))
-    bodies = numbered.mapInArrow(squeeze, T.StructType([*numbered.schema.fields[:2], T.StructField("body", T.BinaryType())]))
-    met = bodies.unionByName(told, allowMissingColumns=True).repartition(spread, "row").sortWithinPartitions("row", "nth")
+    named_docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = named_docs.schema["key"].dataType
     final = T.StructType([
         T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_pieces")),
         T.StructField("score", T.DoubleType()), T.StructField("digest", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
     ])
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one text follow each other: the text, then the ids of its rare units by number."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adjacent, known = sent.value
-        cutter, coded = _Units(adjacent, known), _Coded(known, adjacent, mark, scores)
-        texts: list[tuple] = []  # (key, words, ids of the rare units)
-        size, like = 0, pa.null()
-
-        def put_together() -> pa.RecordBatch:
-            rare: dict[str, bytes] = {}
-            for _, words, ids in texts:
-                if ids:
-                    rare.update(zip(cutter(words), ids))
-            if len(coded.at) > 1 << 17:
-                coded.clear()
-            coded.add([w for w in dict.fromkeys(chain.from_iterable(t[1] for t in texts)) if w not in coded.at], rare)
-            n_words = np.array([len(t[1]) for t in texts], np.int64)
-            places = np.fromiter(map(coded.at.__getitem__, chain.from_iterable(t[1] for t in texts)), np.int64, n_words.sum())
-            ends = np.cumsum(n_words)
-            nth = np.arange(len(places)) - np.repeat(ends - n_words, n_words)
-            terms = (2 * nth + 1) % PRIME * coded.hashes[places] % PRIME
-
-            def per_text(values: np.ndarray) -> np.ndarray:
-                sums = np.append(values.dtype.type(0), np.cumsum(values))
-                return sums[ends] - sums[ends - n_words]
-
-            n_pieces = per_text(coded.sizes[places])
-            edges = np.append(0, np.cumsum(n_pieces)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([
-                pa.array([t[0] for t in texts], like), pa.array(n_words), pa.array(n_pieces),
-                pa.array(per_text(coded.totals[places])), pa.array(per_text(terms) % PRIME),
-                pa.ListArray.from_arrays(pa.array(edges), pa.array(coded.ids(places))),
-            ], final.names)
-
+        coded = _Coded(known, adjacent, mark, scores, model)
         for batch in batches:
-            like = batch.schema.field("key").type
-            for owner, body, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "ids"))):
-                if body is None:
-                    texts[-1][2].append(_widened(ids, wide))
-                    continue
-                if size > 1 << 22:
-                    yield put_together()
-                    texts, size = [], 0
-                text = zlib.decompress(body).decode()
-                texts.append((owner, _words(text), []))
-                size += len(text)
-        if texts:
-            yield put_together()
-
-    return met.select("key", "body", "ids").mapInArrow(assemble, final)
-
-
-def _widened(ids: bytes, wide: int) -> bytes:
-    """Big-endian numbers of ``wide`` / 2 bytes as four-byte numbers of this machine."""
-    return np.frombuffer(ids, ">u2" if wide == 4 else ">u4").astype(np.int32).tobytes()
+            for part in small(batch, 1, PART):
+                n_words, words = _words(part.column(1))
+                words = words.dictionary_encode()
+                distinct = words.dictionary.to_pylist()
+                if len(coded.at) > CHUNK:
+                    coded.clear()
+                coded.add([w for w in distinct if w not in coded.at])
+                at = np.fromiter(map(coded.at.__getitem__, distinct), np.int64, len(distinct))
+                places = at[words.indices.to_numpy()]
+                ends = np.cumsum(n_words)
+                nth = np.arange(len(places)) - np.repeat(ends - n_words, n_words)
+                terms = (2 * nth + 1) % PRIME * coded.hashes[places] % PRIME
+
+                def per_text(values: np.ndarray) -> np.ndarray:
+                    sums = np.append(values.dtype.type(0), np.cumsum(values))
+                    return sums[ends] - sums[ends - n_words]
+
+                n_pieces = per_text(coded.sizes[places])
+                edges = np.append(0, np.cumsum(n_pieces)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(n_words), pa.array(n_pieces),
+                    pa.array(per_text(coded.totals[places])), pa.array(per_text(terms) % PRIME),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(coded.ids(places))),
+                ], final.names)
+
+    return named_docs.mapInArrow(code, final)
 
 
 def _packed(ids: list[int]) -> bytes:
