@@ -134,7 +134,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     members = table.filter("full").select("seg", "val", "fp")
     entries = table.filter(F.col("full").isNull()).select("seg", F.col("val").alias("at"), F.col("fp").alias("b"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("b")))
-    pairs = probes.join(entries, ["seg", "at"]).filter(
+    # Spark takes exploded rows for no more than the rows they come from, and would broadcast millions of probes.
+    pairs = probes.hint("merge").join(entries, ["seg", "at"]).filter(
         (~F.col("own") | (F.col("fp") < F.col("b"))) & (apart <= DISTANCE)
     ).select(F.col("fp").alias("a"), "b")
     visitors = probes.filter(~F.col("own")).select("seg", F.col("at").alias("val"), "fp").join(

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from echofield.llm import simhash
 from echofield.llm.common import components
@@ -89,3 +91,11 @@ def test_keep_one(spark, odd, odd_docs, none):
     assert len(rows) == len(groups)
     assert len(set(classes([fingerprint(r["text"]) for r in rows]))) == len(rows)
     assert simhash.keep_one(none).count() == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    """They are 17 times the rows that Spark estimates, so their join is by shuffle however small they look."""
+    prints = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(prints)._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[seg#\d+, at#\d+L\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[seg#\d+, at#\d+L\]", plan)
