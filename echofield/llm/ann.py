@@ -119,7 +119,8 @@ def _matrix(column) -> np.ndarray:
 def _chunks(rows: DataFrame) -> DataFrame:
     """(tree, leaf, ids, vecs): the rows of each leaf in chunks of about CHUNK, however many there are."""
     counts = rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts"))
-    salted = rows.join(counts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # A row per leaf of the forest; the rows are many more than Spark takes them for.
+    salted = rows.join(F.broadcast(counts), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     return salted.groupBy("tree", "leaf", "part").agg(F.collect_list(F.struct("id", "vec")).alias("s")).select(
         "tree", "leaf", F.col("s.id").alias("ids"), F.flatten("s.vec").alias("vecs")
     )
@@ -305,7 +306,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     shape = "tree int, leaf bigint, id bigint, vec array<double>"
     blocks = _chunks(index.select("id", "vec").mapInArrow(place, shape))
     asked = _chunks(sought.repartition("id").mapInArrow(route, shape)).withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"})
-    scored = asked.join(blocks, ["tree", "leaf"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(
+    # Both are many times what Spark takes them for: every vector stands in a leaf of each tree, a query in all it visits.
+    scored = asked.hint("merge").join(blocks, ["tree", "leaf"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(
         score, "q bigint, ids array<bigint>, scores array<double>"
     )
     best = scored.repartition("q").sortWithinPartitions("q").mapInArrow(merge, "q bigint, id bigint, score double").select(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -115,3 +117,13 @@ def test_extra_columns_with_clashing_names(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id bigint, vec array<int>, score string")
     found = ann.nearest(frame, F.col("id") % 10 == 0, k=2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["id"]) for r in found] == [(0, 1), (0, 2), (10, 29), (10, 28), (20, 29), (20, 28)]
+
+
+def test_vectors_in_leaves_are_not_broadcast(spark):
+    """A vector stands in 16 leaves, a query in every one it visits; Spark counts one row of each."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    plan = ann.nearest(frame, F.col("id") % 20 == 0, k=3, leaf=8)._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(\w+Join) \[tree#\d+, leaf#\d+L\], \[tree#\d+, leaf#\d+L\], \w+(, \w+)?", plan)
+    assert sorted(joins) == [("BroadcastHashJoin", ", BuildRight"), ("BroadcastHashJoin", ", BuildRight"), ("SortMergeJoin", "")]
