@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from echofield.llm import simhash
 from echofield.llm.common import shared_table
 
 from test_simhash import classes, fingerprint
@@ -46,3 +49,16 @@ def test_texts_without_any_label_stay(spark, odd, odd_docs):
     assert kept.columns == odd.columns
     want = [d[1] for d in odd_docs if d[1] and any(c.isalpha() for c in d[1])]
     assert sorted(r["text"] for r in kept.collect()) == sorted(want)
+
+
+def test_near_dedup_broadcasts_no_probes(spark, odd, monkeypatch):
+    plans, whole = [], simhash.components
+
+    def watched(edges):
+        plans.append(edges._jdf.queryExecution().sparkPlan().toString())
+        return whole(edges)
+
+    monkeypatch.setattr(simhash, "components", watched)
+    corpus_pipeline.near_dedup(spark, odd, "")
+    assert len(plans) == 1 and re.search(r"SortMergeJoin \[seg#\d+, at#\d+L\]", plans[0])
+    assert not re.search(r"BroadcastHashJoin \[seg#\d+, at#\d+L\]", plans[0])
