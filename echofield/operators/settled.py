@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofield.functions.columns import require, total, uni
+from echofield.functions.columns import HEX_DIGITS, SCALE, require, total, uni
 from echofield.functions.tables import written
 from echofield.operators.edges import _candidates, _first_valid, _indexed, _named, both_directions
 
 WINDOWS = (4, 8, 16, 32)  # candidates an edge looks at per round; the last round has the rest
 REPLACED = 1 << 16  # most replaced first draws that are handed to every task
+RUN = 1 << 12  # nodes that are worth a task of their own
 
 
 def windows(tries: int) -> list[tuple[int, int]]:
@@ -69,6 +76,65 @@ def rewire_edges_settled(
     return _named(both_directions(moved), names), report
 
 
+def _attached(
+    batches: Iterator[pa.RecordBatch], m: int, seed: int, max_hops: int, replaced: dict[int, int]
+) -> Iterator[pa.RecordBatch]:
+    """The ends of a run of nodes in ascending order, see ``preferential_edges_settled``.
+
+    ``replaced`` has the replaced draws known from the round before; those of the
+    run itself are found anew on the way and hold for its later nodes at once.
+    """
+    known = dict(replaced)
+    seeds = m * (m + 1) // 2
+    draws = 64 + 16 * m * m.bit_length()
+
+    def drawn(salt: str, keys: str, older: int) -> int:
+        """The slot among ``older`` ones that the keys draw, as by ``uni``."""
+        digest = hashlib.md5(f"{seed}|{salt}|{keys}".encode(), usedforsecurity=False).hexdigest()
+        return math.floor(int(digest[:HEX_DIGITS], 16) / SCALE * older)
+
+    def picked(edge: int) -> int:
+        return drawn("attach", str(edge), 2 * (seeds + (edge - seeds) // m * m))
+
+    def node(slot: int) -> int:
+        """The node that holds a slot: odd ones of new edges are copies of another slot."""
+        for _ in range(max_hops):
+            if slot < 2 * seeds or slot % 2 == 0:
+                break
+            edge = slot // 2
+            slot = known[edge] if edge in known else picked(edge)
+        return slot // m if slot < 2 * seeds else (slot // 2 - seeds) // m + m + 1
+
+    for batch in batches:
+        ids, found, edges, slots = batch.column(0).to_pylist(), [], [], []
+        for i in ids:
+            first = seeds + (i - m - 1) * m
+            ends: list[int] = []
+            own: list[tuple[int, int]] = []
+            for draw in range(draws):
+                # The first m draws are those of the edges, later ones have a hash of their own.
+                slot = picked(first + draw) if draw < m else drawn("attach.again", f"{first}|{draw}", 2 * first)
+                end = node(slot)
+                if end in ends:
+                    continue
+                if draw != len(ends):
+                    own.append((first + len(ends), slot))
+                ends.append(end)
+                if len(ends) == m:
+                    break
+            for edge in range(first, first + m) if known else ():
+                known.pop(edge, None)
+            known.update(own)
+            found.append(ends)
+            edges.append([e for e, _ in own])
+            slots.append([s for _, s in own])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found, kind), pa.array(edges, kind), pa.array(slots, kind)],
+            ["id", "_ends", "_edges", "_slots"],
+        )
+
+
 def preferential_edges_settled(
     nodes: DataFrame, m: int, key: str = "id", seed: int = 42, max_hops: int = 128, dense: bool = False
 ) -> DataFrame:
@@ -77,75 +143,35 @@ def preferential_edges_settled(
     A new edge copies a uniformly chosen earlier slot and a slot that is itself
     a copy is followed by its hash.  A node that draws an end twice draws
     again, so some edges do not lead where their first draw led.  These replaced
-    draws are found in rounds: with those known so far every node finds its ends
-    alone, which tells the replaced ones anew, until they repeat; by induction
-    on the nodes the result is that of adding one node after the other.  Among n
-    nodes about (ln n)^2 draws are replaced, so each round reads the nodes once
-    and shuffles nothing; more than REPLACED are refused.
+    draws are found in rounds: with those known so far every run of nodes finds
+    its ends alone, which tells the replaced ones anew, until they repeat; by
+    induction on the nodes the result is that of adding one node after the
+    other.  Among n nodes about (ln n)^2 draws are replaced, so each round makes
+    the nodes once and shuffles nothing; more than REPLACED are refused.
     """
     require(m >= 1, f"m must be at least 1, got {m}")
+    spark = nodes.sparkSession
     numbers, names = _indexed(nodes, key, dense)
     if names is not None:
         names = written(names, "names")
         numbers = names.select("id")
-    # A few nodes cost much computing and are few bytes: spread them over the cluster.
-    numbers = numbers.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    seed_edges = m * (m + 1) // 2
-
-    def newer(edge: Column) -> Column:
-        return F.floor((edge - seed_edges) / F.lit(m)).cast("long") + m + 1
-
-    def older(edge: Column) -> Column:
-        """Slots that exist before the node of an edge comes."""
-        return (F.lit(seed_edges) + (newer(edge) - m - 1) * m) * 2
-
-    def pick(edge: Column) -> Column:
-        return F.floor(uni(seed, "attach", edge) * older(edge)).cast("long")
-
-    def drawn(first: Column, draw: Column) -> Column:
-        """The slot of a node's draw: the first m by its edges, later ones by their own hash."""
-        again = F.floor(uni(seed, "attach.again", first, draw) * older(first)).cast("long")
-        return F.when(draw < m, pick(first + draw)).otherwise(again)
-
-    draws = 64 + 16 * m * m.bit_length()
-    first = F.lit(seed_edges) + (F.col("id") - m - 1) * m
+    last = numbers.agg(F.max("id")).first()[0]
+    n = 0 if last is None else last + 1
+    # Ids are 0..n-1, so a task can have a run of them without a shuffle.
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RUN)))
+    grow = spark.range(m + 1, max(n, m + 1), 1, parts)
 
     def ends(replaced: dict[int, int]) -> DataFrame:
-        """(id, _ends, _draws): the m different ends of each node and the numbers of the draws that gave them."""
-        table = F.create_map(*[F.lit(x).cast("long") for kv in replaced.items() for x in kv]) if replaced else None
-
-        def followed(slot: Column, _: Column) -> Column:
-            edge = F.floor(slot / 2).cast("long")
-            onward = pick(edge) if table is None else F.coalesce(F.try_element_at(table, edge), pick(edge))
-            return F.when((slot >= 2 * seed_edges) & (slot % 2 == 1), onward).otherwise(slot)
-
-        def node(slot: Column) -> Column:
-            end = F.aggregate(F.sequence(F.lit(1), F.lit(max_hops)), slot, followed)
-            return F.when(end < 2 * seed_edges, F.floor(end / F.lit(m)).cast("long")).otherwise(
-                newer(F.floor(end / 2).cast("long")))
-
-        none = F.struct(
-            F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<int>").alias("draws"), first.alias("edge")
-        )
-
-        def fill(s: Column, i: Column) -> Column:
-            more = F.transform(F.array(node(drawn(s["edge"], i))), lambda x: F.when(
-                F.array_contains(s["ends"], x), s
-            ).otherwise(F.struct(
-                F.array_append(s["ends"], x).alias("ends"), F.array_append(s["draws"], i).alias("draws"), s["edge"].alias("edge")
-            )))[0]
-            return F.when(F.size(s["ends"]) >= m, s).otherwise(more)
-
-        filled = F.aggregate(F.sequence(F.lit(0), F.lit(draws - 1)), none, fill)
-        grown = numbers.filter(F.col("id") > m).select("id", filled.alias("_f"))
-        return grown.select("id", F.col("_f.ends").alias("_ends"), F.col("_f.draws").alias("_draws"))
+        """(id, _ends, _edges, _slots): the m different ends of each node, the replaced draws among its edges and their slots."""
+        attach = partial(_attached, m=m, seed=seed, max_hops=max_hops, replaced=replaced)
+        return grow.mapInArrow(attach, "id bigint, _ends array<bigint>, _edges array<bigint>, _slots array<bigint>")
 
     replaced: dict[int, int] = {}
     while True:
         found = ends(replaced)
-        changed = found.select(first.alias("_first"), F.posexplode("_draws").alias("_k", "_d")).filter("_k <> _d")
-        rows = changed.select((F.col("_first") + F.col("_k")).alias("e"), drawn(F.col("_first"), F.col("_d")).alias("slot"))
-        now = {r.e: r.slot for r in rows.limit(REPLACED + 1).collect()}
+        changed = found.select(F.explode(F.arrays_zip("_edges", "_slots")).alias("_r")).select("_r._edges", "_r._slots")
+        # Ordered, because a limit alone reads a few partitions at a time.
+        now = {e: slot for e, slot in changed.orderBy("_edges").limit(REPLACED + 1).collect()}
         require(len(now) <= REPLACED, f"more than {REPLACED} replaced draws")
         if now == replaced:
             break
@@ -154,7 +180,7 @@ def preferential_edges_settled(
     grown = found.select(
         F.col("id").alias("_b"), F.explode(F.when(F.size("_ends") == m, F.col("_ends")).otherwise(short)).alias("_a")
     )
-    clique = numbers.filter(F.col("id") <= m).select(F.col("id").alias("_b")).withColumn(
+    clique = spark.range(min(n, m + 1)).select(F.col("id").alias("_b")).withColumn(
         "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m).cast("long")))
     ).filter(F.col("_a") < F.col("_b"))
     pairs = clique.select("_a", "_b").unionByName(grown.select("_a", "_b")).withColumn("weight", F.lit(1.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -109,3 +110,25 @@ def test_attachment_of_any_ids(spark):
     nodes = spark.range(100).select((F.col("id") * 7 + 1000).alias("id"))
     got = pairs_of(settled.preferential_edges_settled(nodes, 3))
     assert len(got) == 6 + 96 * 3 and all(a >= 1000 for a, _ in got)
+
+
+def test_attachment_in_many_runs(spark, monkeypatch):
+    """Draws replaced in one run of nodes are followed in all others."""
+    monkeypatch.setattr(settled, "RUN", 40)
+    got = pairs_of(settled.preferential_edges_settled(spark.range(700), 4, dense=True))
+    want, redrawn = grown(700, 4)
+    assert got == want and redrawn > 0
+
+
+def test_attachment_of_many_nodes(spark):
+    """Three times the nodes of 0.1 GB of events; interpreted hops took a minute for 1,500 nodes."""
+    began = time.time()
+    got = pairs_of(settled.preferential_edges_settled(spark.range(27_000), 3, dense=True))
+    assert time.time() - began < 120
+    assert got == grown(27_000, 3)[0]
+
+
+def test_attachment_refuses_other_ids(spark):
+    with pytest.raises(Exception, match="dense node ids must be 0..n-1"):
+        settled.preferential_edges_settled(spark.range(1, 30), 2, dense=True).collect()
+    assert settled.preferential_edges_settled(spark.range(0), 2, dense=True).collect() == []
